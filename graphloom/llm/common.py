@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows per Arrow batch sent to Python: keeps a batch of long texts within a worker's memory.
 ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the Python operators rely on (small Arrow batches)."""
+    """What the Python operators rely on: the package on the executors, and small Arrow batches."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
