@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import Hashes, materialise, mix, prepare, table
 from .components import components
 
-WIDTH, PERCENT = 4, 80
+#: Words in a shingle and the least similarity in percent.
+WIDTH, PERCENT = 5, 80
 TREES, COORDINATES = 8, 120
 NEAR = 0.66
 SMALL = 192
@@ -336,5 +337,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's components of ``documents``: 4-word shingles, similarity of 0.8 or more."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
