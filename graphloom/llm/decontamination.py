@@ -175,7 +175,7 @@ class Phrases:
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
         window = np.repeat(hit, count)
-        ahead = np.concatenate([[0], np.cumsum(count)[:-1]])
+        ahead = np.cumsum(count) - count
         rows = np.arange(len(window)) - np.repeat(ahead, count) + np.repeat(low[hit], count)
         start = place[index.locate(rows)]
         np.add.at(mask, start, 1)
