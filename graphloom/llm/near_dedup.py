@@ -2,8 +2,8 @@
 
 Documents are sets of word shingles. Equal sets are folded into one representative, the document with the smallest
 id. ``TREES`` independent trees branch the representatives by minwise tokens: all that share the minwise token of a
-tree's first coordinate form a node. Nodes of at most ``SMALL`` members are compared exhaustively by sketch; in a
-larger node all members are compared with a pivot, the member nearest to the node's most common tokens, and the
+tree's first coordinate form a node. Nodes with at most ``SMALL`` pairs of members that are not linked yet are compared
+exhaustively by sketch; in a larger node all members are compared with a pivot, the member nearest to the node's most common tokens, and the
 node branches again, on two coordinates that its own path chooses. A node whose members are all linked already is
 done. Candidate links, with a sketched similarity of at least ``NEAR``, are confirmed on full shingle sets.
 
@@ -38,7 +38,8 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 TREES, COORDINATES = 8, 120
 NEAR = 0.66
-SMALL = 192
+#: Pairs of members in different components up to which a node is compared exhaustively.
+SMALL = 200_000
 #: Levels of branching, far beyond what nodes of unlinked members need.
 LEVELS = 24
 #: Shingles in the texts of a block: 32 MB of hashes.
@@ -148,7 +149,7 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _offers(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate links within small nodes: a spanning forest of the best, or all between different components.
 
-    ``members`` has node, rep, component, n, sketch; a node's rows are in one task, at most ``SMALL`` of them.
+    ``members`` has node, rep, component, n, sketch; a node's rows are in one task, ``SMALL`` + 1 of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +157,13 @@ def _offers(members: DataFrame, percent: int, forest: bool) -> DataFrame:
         for group in _by_key(batches):
             node = group.column("node")[0].as_py()
             rep, own, n = (group.column(c).to_numpy() for c in ("rep", "component", "n"))
-            sketch = _sketches(group.column("sketch"))
+            # The largest component comes last: none of its members starts a comparison.
+            _, at, size = np.unique(own, return_inverse=True, return_counts=True)
+            order = np.lexsort((rep, own, size[at]))
+            rep, own, n = rep[order], own[order], n[order]
+            sketch = _sketches(group.column("sketch"))[order]
             found = []
-            for i in range(len(rep) - 1):
+            for i in range(len(rep) - int(size.max())):
                 near = (sketch[i + 1 :] == sketch[i]).mean(1)
                 low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
                 for j in np.flatnonzero((near >= NEAR) & (own[i + 1 :] != own[i]) & (100 * low >= percent * high)).tolist():
@@ -199,7 +204,6 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
                 same = (_sketches(batch.column(2))[:, :VOTERS] == want).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int64))], names=["node", "rep", "same"])
 
-    # One row a large node: a checked few, as a node holds more than SMALL rows.
     agreed = members.join(common, "node").select("node", "rep", "sketch", "common").mapInArrow(agree, "node long, rep long, same long")
     best = agreed.groupBy("node").agg(F.max(F.struct("same", F.negative("rep").alias("r"))).alias("w")).select("node", F.negative("w.r").alias("rep"))
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -294,19 +298,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reps = materialise(folded.select("body", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.first").alias("first"), F.col("r.sketch").alias("sketch")))
     # Sets of one doc_id that differ (ids that are not unique) are one document's.
     nodes = reps.select("rep", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep").distinct()
+    sketches = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
     links, homes, waiting = None, None, None
     for level in range(LEVELS):
-        # Nodes that hold two components or more; of nodes with the same members, one.
+        # Nodes that hold two components or more; of small nodes with the same members, one.
         if homes is not None:
             nodes = nodes.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         else:
             nodes = nodes.withColumn("component", F.col("rep"))
         mark = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
-        stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), mark.alias("mark")).where("low < high")
-        stats = stats.groupBy("size", "mark").agg(F.min("node").alias("node"))
-        sketches = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
-        members = materialise(nodes.join(stats.select("node", "size"), "node").join(sketches, "rep").select("node", "rep", "component", "n", "sketch", "size"))
-        small, large = members.where(f"size <= {SMALL}"), members.where(f"size > {SMALL}")
+        parts = nodes.groupBy("node", "component").agg(F.count("*").cast("double").alias("c"), mark.alias("mark"))
+        stats = parts.groupBy("node").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("size"), F.sum("mark").alias("mark"))
+        stats = materialise(stats.where("pairs > 0").withColumn("small", F.col("pairs") <= SMALL))
+        once = stats.where("small").groupBy("size", "mark").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("small"))
+        chosen = once.unionByName(stats.where("not small").select("node", "small"))
+        members = materialise(nodes.join(chosen, "node").join(sketches, "rep").select("node", "rep", "component", "n", "sketch", "small"))
+        small, large = members.where("small"), members.where("not small")
         branching = not large.isEmpty()
         edges = _offers(small, percent, forest=True)
         if branching:
