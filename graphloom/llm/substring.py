@@ -29,9 +29,9 @@ from .common import Hashes, RollingHash, materialise, mix, prepare, table
 
 WINDOW = 50
 GRAM = 8
-#: Result rows (documents with removals) up to which their intervals are broadcast instead of shuffling all texts.
-BROADCAST_ROWS = 100_000
-#: Intervals in all, for the same.
+#: Documents with runs to count, or with removals, up to which these are broadcast instead of shuffling all texts.
+BROADCAST_ROWS = 200_000
+#: Runs or intervals in all, for the same (32 bytes each).
 BROADCAST_SPANS = 1_000_000
 
 
@@ -55,42 +55,69 @@ def runs_of(tokens: np.ndarray, roll: RollingHash, window: int, gram: int) -> tu
     return least[start], np.append(start, len(hashes)), hashes
 
 
+def _bodies(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A hash of all windows of each run, in order."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    within = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+    np.cumsum(mix(hashes + within.astype(np.uint64) * np.uint64(RollingHash.BASE)), out=total[1:])
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
+
+
 def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per run of windows with one anchor: anchor, run (hash of all its windows), doc_id, start, hashes."""
+    """One row per run of windows with one anchor: anchor, run (hash of all its windows), doc_id, start, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, roll = Hashes(), RollingHash()
         for batch in batches:
-            anchors, bodies, ids, starts, sizes, hashes = [], [], [], [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 w = text.split() if text and doc is not None else ()
+                if len(w) >= window:
+                    anchor, at, h = runs_of(known.of(w), roll, window, gram)
+                    for c, x in zip(columns, (anchor, _bodies(at, h), np.full(len(anchor), doc), at[:-1], np.diff(at)), strict=True):
+                        c.append(x)
+            if columns[0]:
+                anchor, body, doc, start, n = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["anchor", "run", "doc_id", "start", "n"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, run long, doc_id long, start int, n int")
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
+    """anchor, run, doc_id, at, hash: the single windows of the runs in ``wanted`` (one copy of each)."""
+    named = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "anchor", "run")).alias("runs"))
+    joined = docs.join(_small(materialise(named), F.size("runs")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, roll = Hashes(), RollingHash()
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                w = text.split() if text else ()
                 if len(w) < window:
                     continue
                 anchor, at, h = runs_of(known.of(w), roll, window, gram)
-                total = np.zeros(len(h) + 1, np.uint64)
-                within = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-                np.cumsum(mix(h + within.astype(np.uint64) * np.uint64(RollingHash.BASE)), out=total[1:])
-                anchors.append(anchor)
-                bodies.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
-                ids.append(np.full(len(anchor), doc, np.int64))
-                starts.append(at[:-1].astype(np.int32))
-                sizes.append(np.diff(at))
-                hashes.append((h >> np.uint64(24)).astype(np.int64))
-            if not anchors:
-                continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(anchors).view(np.int64)),
-                    pa.array(np.concatenate(bodies).view(np.int64)),
-                    pa.array(np.concatenate(ids)),
-                    pa.array(np.concatenate(starts)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes))),
-                ],
-                names=["anchor", "run", "doc_id", "start", "hashes"],
-            )
+                body = _bodies(at, h).view(np.int64)
+                place = {a: k for k, a in enumerate(at[:-1].tolist())}
+                for r in asked:
+                    k = place.get(r["start"])
+                    if k is not None and body[k] == r["run"]:  # else another text of the same id
+                        own = h[at[k] : at[k + 1]].view(np.int64)
+                        for c, x in zip(columns, (np.full(len(own), r["anchor"]), np.full(len(own), r["run"]), np.full(len(own), doc), np.arange(len(own), dtype=np.int32), own), strict=True):
+                            c.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "run", "doc_id", "at", "hash"])
+
+    return joined.select("doc_id", "text", "runs").mapInArrow(run, "anchor long, run long, doc_id long, at int, hash long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, run long, doc_id long, start int, hashes array<long>")
+
+def _small(found: DataFrame, weight) -> DataFrame:
+    """``found``, broadcast if it is small in rows and weight; otherwise the join is a shuffle."""
+    rows, total = found.agg(F.count("*"), F.sum(weight)).first()
+    return F.broadcast(found) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_SPANS else found
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -98,30 +125,24 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialise(runs(docs, window, gram))
-    bodies = found.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    bodies = materialise(found.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     anchors = bodies.groupBy("anchor").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("bodies")).where("least < most")
     # Runs that can matter: of an anchor in two documents or more.
-    live = materialise(bodies.join(anchors.select("anchor", "bodies"), "anchor").select("anchor", "run", "first", "last", "bodies"))
+    live = materialise(bodies.join(anchors.select("anchor", "bodies"), "anchor").select("anchor", "run", "first", "bodies"))
     # An anchor with one body: all its windows first start in the body's first document.
     plain = live.where("bodies = 1").select("anchor", "run", F.array("first").alias("owners"))
     # Otherwise windows are counted, over one copy of each body.
-    copies = (
-        found.join(live.where("bodies > 1").select("anchor", "run", F.col("first").alias("doc_id")), ["anchor", "run", "doc_id"])
-        .groupBy("anchor", "run", "doc_id")
-        .agg(F.min("start").alias("start"))
-        .join(found, ["anchor", "run", "doc_id", "start"])
-        .select("anchor", "run", "doc_id", "hashes")
-        .dropDuplicates(["anchor", "run"])
-    )
-    windows = copies.select("anchor", "run", "doc_id", F.posexplode("hashes").alias("at", "hash"))
+    copies = found.join(live.where("bodies > 1").select("anchor", "run", F.col("first").alias("doc_id")), ["anchor", "run", "doc_id"])
+    copies = copies.groupBy("anchor", "run", "doc_id").agg(F.min("start").alias("start"))
+    windows = materialise(_windows(docs, copies, window, gram))
     owners = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("owner"))
     counted = (
         windows.join(owners, ["anchor", "hash"])
         .groupBy("anchor", "run")
-        .agg(F.expr("transform(array_sort(collect_list(struct(at, owner))), x -> x.owner)").alias("owners"))
+        .agg(F.expr("transform(array_sort(collect_set(struct(at, owner))), x -> x.owner)").alias("owners"))
     )
     settled = plain.unionByName(counted).withColumn("least", F.array_min("owners"))
-    hits = found.select("anchor", "run", "doc_id", "start", F.size("hashes").alias("n")).join(settled, ["anchor", "run"]).where("least < doc_id")
+    hits = found.join(settled, ["anchor", "run"]).where("least < doc_id")
     at = F.expr("if(size(owners) = 1, sequence(start, start + n - 1), transform(filter(sequence(0, n - 1), i -> owners[i] < doc_id), i -> start + i))")
     return hits.select("doc_id", at.alias("at")).groupBy("doc_id").agg(F.expr("array_sort(flatten(collect_set(at)))").alias("windows"))
 
@@ -139,10 +160,8 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             ).alias("intervals"),
         )
     )
-    size = found.agg(F.count("*"), F.sum(F.size("intervals"))).first()
-    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_SPANS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.join(F.broadcast(found) if small else found, "doc_id", "left")
+    joined = docs.join(_small(found, F.size("intervals")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
