@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import lookup, retrieval, structure, traversal  # noqa: F401  (they register their queries)
+
+QUERIES = lookup.QUERIES
+SQL = lookup.SQL

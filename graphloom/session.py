@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +23,20 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f"graphloom/{f.relative_to(root)}")
         sc.addPyFile(str(target))
     sc._graphloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="graphloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: an iterative plan starts anew, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
