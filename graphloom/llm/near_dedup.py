@@ -2,19 +2,18 @@
 
 Documents are sets of word shingles. Equal sets are folded into one representative, the document with the smallest
 id. ``TREES`` independent trees branch the representatives by minwise tokens: all that share the minwise token of a
-tree's first coordinate form a node. Nodes with at most ``SMALL`` pairs of members that are not linked yet are compared
-exhaustively by sketch; in a larger node all members are compared with a pivot, the member nearest to the node's most common tokens, and the
-node branches again, on two coordinates that its own path chooses. A node whose members are all linked already is
-done. Candidate links, with a sketched similarity of at least ``NEAR``, are confirmed on full shingle sets.
+tree's first coordinate form a node. Members of small nodes are compared exhaustively by sketch; in a larger node all
+are compared with a pivot, the member nearest to the node's most common tokens, and the node branches again, on two
+coordinates that its own path chooses. A node whose members are all linked already is done.
 
-Recall: links of similarity J meet in a tree's small first node with chance J, so 8 trees miss a link of 0.8 with a
-chance of 3 in a million; each further branching on two coordinates keeps a link with chance 1 - (1 - J)**2 = 0.96.
-The sketch (120 coordinates) of a link of exactly 0.8 falls below ``NEAR`` once in about 8,000 times.
+Candidates are pairs with a sketched similarity of at least ``NEAR`` in different components. A node offers no pairs
+but a spanning forest of its candidates, so rows stay linear in a group of copies. Texts that candidates connect form
+a block, in which every pair is confirmed on full shingle sets through an inverted list of shingles; a component of
+more than ``BLOCK_SHINGLES`` is confirmed node by node instead, or along the pivot's part of a node.
 
-Only links between different components are looked for: a node first offers a spanning forest of its best
-candidates, then, in the next round, every candidate pair that still joins two components. So rows stay linear in
-a group of copies, and no link that changes a component is lost. Texts travel once per block of candidates; a block
-is a candidate component, or a node where a component holds more than ``BLOCK_SHINGLES``.
+Recall: links of similarity J meet in a tree's first node with chance J, so 8 trees miss a link of 0.8 with a chance
+of 3 in a million; each further branching on two coordinates keeps a link with chance 1 - (1 - J)**2 = 0.96. The
+sketch (120 coordinates) of a link of exactly 0.8 falls below ``NEAR`` once in about 8,000 times.
 
 Defined results: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle
 is one shingle; rows with a null doc_id are kept unlinked (component_id null); repeated rows of one doc_id share
@@ -38,12 +37,12 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 TREES, COORDINATES = 8, 120
 NEAR = 0.66
-#: Pairs of members in different components up to which a node is compared exhaustively.
-SMALL = 200_000
+#: Pairs of members in different components, and members, up to which a node is compared exhaustively.
+SMALL, MEMBERS = 2_000_000, 20_000
 #: Levels of branching, far beyond what nodes of unlinked members need.
 LEVELS = 24
-#: Shingles in the texts of a block: 32 MB of hashes.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles in the texts of a block: 16 MB of hashes.
+BLOCK_SHINGLES = 2_000_000
 #: Members of blocks up to which their ids are broadcast to the texts (two longs each); beyond it texts are shuffled.
 BROADCAST_ROWS = 200_000
 #: Coordinates that elect a pivot.
@@ -122,60 +121,41 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
-class _Union:
-    def __init__(self):
-        self.to: dict = {}
+_EDGE = "a long, b long, block long"
 
-    def root(self, x):
-        while (y := self.to.get(x, x)) != x:
-            self.to[x] = self.to.get(y, y)
-            x = y
-        return x
 
-    def join(self, x, y) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.to[max(x, y)] = min(x, y)
-        return x != y
+def _edge_batch(a: np.ndarray, b: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(block)], names=["a", "b", "block"])
 
 
-_EDGE = "a long, b long, near float, block long"
+def _offers(members: DataFrame, percent: int) -> DataFrame:
+    """For small nodes, links that connect whatever candidates connect.
 
-
-def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float32()), pa.array(columns[3], pa.int64())], names=["a", "b", "near", "block"])
-
-
-def _offers(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate links within small nodes: a spanning forest of the best, or all between different components.
-
-    ``members`` has node, rep, component, n, sketch; a node's rows are in one task, ``SMALL`` + 1 of them at most.
+    ``members`` has node, rep, component, n, sketch; a node's rows are in one task, ``MEMBERS`` of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
         for group in _by_key(batches):
-            node = group.column("node")[0].as_py()
             rep, own, n = (group.column(c).to_numpy() for c in ("rep", "component", "n"))
             # The largest component comes last: none of its members starts a comparison.
             _, at, size = np.unique(own, return_inverse=True, return_counts=True)
             order = np.lexsort((rep, own, size[at]))
             rep, own, n = rep[order], own[order], n[order]
             sketch = _sketches(group.column("sketch"))[order]
-            found = []
+            label, left, right = np.arange(len(rep)), [], []
             for i in range(len(rep) - int(size.max())):
-                near = (sketch[i + 1 :] == sketch[i]).mean(1)
-                low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                for j in np.flatnonzero((near >= NEAR) & (own[i + 1 :] != own[i]) & (100 * low >= percent * high)).tolist():
-                    found.append((-float(near[j]), i, i + 1 + j))
-            if forest:
-                union = _Union()
-                found = [e for e in sorted(found) if union.join(int(own[e[1]]), int(own[e[2]]))]
-            rows += [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j])), -near, node) for near, i, j in found]
-            if len(rows) > 50_000:
-                yield _edge_batch(rows)
-                rows = []
-        yield _edge_batch(rows)
+                later = slice(i + 1, None)
+                fits = (own[later] != own[i]) & (100 * np.minimum(n[i], n[later]) >= percent * np.maximum(n[i], n[later]))
+                j = np.flatnonzero(fits) + i + 1
+                j = j[(sketch[j] == sketch[i]).mean(1) >= NEAR]
+                new, first = np.unique(label[j], return_index=True)
+                first = first[new != label[i]]
+                if len(first):
+                    left += [rep[i]] * len(first)
+                    right += rep[j[first]].tolist()
+                    label[np.isin(label, new)] = label[i]
+            if left:
+                yield _edge_batch(np.array(left, np.int64), np.array(right, np.int64), np.full(len(left), group.column("node")[0].as_py(), np.int64))
 
     ordered = members.select("node", "rep", "component", "n", "sketch").repartition("node").sortWithinPartitions("node", "rep")
     return ordered.mapInArrow(run, _EDGE)
@@ -217,8 +197,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
                 c = {name: batch.column(name) for name in batch.schema.names}
                 near = (_sketches(c["sketch"]) == _sketches(c["p_sketch"])).mean(1)
                 hit = np.flatnonzero(near >= NEAR)
-                rep, pivot, block = (c[x].to_numpy()[hit] for x in ("rep", "pivot", "block"))
-                yield _edge_batch(list(zip(np.minimum(rep, pivot).tolist(), np.maximum(rep, pivot).tolist(), near[hit].tolist(), block.tolist(), strict=True)))
+                yield _edge_batch(*(c[x].to_numpy()[hit] for x in ("rep", "pivot", "block")))
 
     pairs = members.join(pivots, "node").where("component <> p_component").where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
     block = F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.col("parts")))
@@ -243,50 +222,63 @@ def _children(members: DataFrame) -> DataFrame:
     return members.select("node", "rep", "sketch").mapInArrow(run, "node long, rep long")
 
 
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of places that connect all whose sets are similar enough, by exact sizes of intersections.
+
+    Members of the largest component so far start no comparison, as the others meet them from their side.
+    """
+    size = np.array([len(x) for x in sets])
+    each, number = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(number, kind="stable")
+    posting = holder[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(each)))])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    often = np.diff(start)[number]
+    central = np.add.reduceat(often, begin[:-1]) / size
+    label, out = np.arange(len(sets)), []
+    # the most central first: a group's common source links most of it at once
+    for i in np.argsort(-central, kind="stable").tolist():
+        count = np.bincount(label)
+        if count[label[i]] == count.max() and count.max() > 1:
+            continue
+        own = number[begin[i] : begin[i + 1]]
+        length = start[own + 1] - start[own]
+        flat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[own], length)
+        both = np.bincount(posting[flat], minlength=len(sets))
+        j = np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+        new, first = np.unique(label[j], return_index=True)
+        first = first[new != label[i]]
+        if len(first):
+            out += [(i, k) for k in j[first].tolist()]
+            label[np.isin(label, new)] = label[i]
+    return out
+
+
 def _confirm(edges: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the candidate links, enough true ones to connect whatever true ones connect (a, b)."""
+    """True links (a, b) that connect all similar documents of each block of candidates."""
     found = components(edges)
     weight = found.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("weight"))
     homes = found.join(weight, "component").select(F.col("id").alias("a"), "component", "weight")
     home = F.when(F.col("weight") <= BLOCK_SHINGLES, F.xxhash64(F.lit("component"), "component")).otherwise(F.col("block"))
-    dealt = materialise(edges.join(homes, "a").select(home.alias("block"), "a", "b", "near"))
-    members = materialise(dealt.select("block", F.explode(F.array("a", "b")).alias("rep")).distinct())
+    dealt = edges.join(homes, "a").select(home.alias("block"), F.explode(F.array("a", "b")).alias("rep"))
+    members = materialise(dealt.distinct())
     small = members.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep")
-    rows = dealt.select("block", F.lit(1).alias("kind"), "a", "b", "near", F.lit(None).cast("string").alias("text")).unionByName(
-        texts.select("block", F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("float").alias("near"), "text")
-    )
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep").select("block", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, out, last = Hashes(), [], None
-        sets: dict[int, np.ndarray] = {}
-        offers: list[tuple] = []
-
-        def settle() -> None:
-            union = _Union()
-            for near, a, b in sorted(offers, reverse=True):
-                if union.root(a) != union.root(b):
-                    x, y = sets[a], sets[b]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        union.join(a, b)
-                        out.append((a, b))
+        known = Hashes()
+        for group in _by_key(batches):
+            sets: dict[int, np.ndarray] = {}
+            for rep, text in zip(group.column("rep").to_pylist(), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if rep not in sets and len(x := shingles(text, known, width)):
+                    sets[rep] = x
+            if len(sets) > 1:
+                rep = np.array(list(sets), np.int64)
+                out = np.array(linked(list(sets.values()), percent), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[out[:, 0]]), pa.array(rep[out[:, 1]])], names=["a", "b"])
 
-        for batch in batches:
-            c = [batch.column(k) for k in range(6)]
-            texts = c[5].cast(pa.binary())
-            for i, (block, kind, a, b, near) in enumerate(zip(*(x.to_pylist() for x in c[:5]), strict=True)):
-                if block != last:
-                    settle()
-                    sets, offers, last = {}, [], block
-                if kind:
-                    offers.append((near, a, b))
-                elif a not in sets:
-                    sets[a] = shingles(texts[i].as_py(), known, width)
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["a", "b"])
-
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "a").mapInArrow(run, "a long, b long")
+    return texts.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -297,44 +289,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     folded = base.where("body is not null and doc_id is not null").groupBy("body").agg(F.min(F.struct("doc_id", "n_shingles", "first", "sketch")).alias("r"))
     reps = materialise(folded.select("body", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.first").alias("first"), F.col("r.sketch").alias("sketch")))
     # Sets of one doc_id that differ (ids that are not unique) are one document's.
-    nodes = reps.select("rep", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep").distinct()
     sketches = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
-    links, homes, waiting = None, None, None
-    for level in range(LEVELS):
+    nodes = reps.select("rep", "n", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep", "n").distinct()
+    links, homes = None, None
+    for _ in range(LEVELS):
         # Nodes that hold two components or more; of small nodes with the same members, one.
         if homes is not None:
             nodes = nodes.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         else:
             nodes = nodes.withColumn("component", F.col("rep"))
         mark = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
-        parts = nodes.groupBy("node", "component").agg(F.count("*").cast("double").alias("c"), mark.alias("mark"))
-        stats = parts.groupBy("node").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("size"), F.sum("mark").alias("mark"))
-        stats = materialise(stats.where("pairs > 0").withColumn("small", F.col("pairs") <= SMALL))
+        parts = nodes.groupBy("node", "component").agg(F.count("*").cast("double").alias("c"), F.sum("n").alias("weight"), mark.alias("mark"))
+        stats = parts.groupBy("node").agg(
+            ((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("size"), F.sum("weight").alias("weight"), F.sum("mark").alias("mark")
+        )
+        is_small = (F.col("pairs") <= SMALL) & (F.col("size") <= MEMBERS) & (F.col("weight") <= BLOCK_SHINGLES)
+        stats = materialise(stats.where("pairs > 0").withColumn("small", is_small | (F.col("size") == 2)))
         once = stats.where("small").groupBy("size", "mark").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("small"))
         chosen = once.unionByName(stats.where("not small").select("node", "small"))
-        members = materialise(nodes.join(chosen, "node").join(sketches, "rep").select("node", "rep", "component", "n", "sketch", "small"))
+        members = materialise(nodes.select("node", "rep", "component").join(chosen, "node").join(sketches, "rep").select("node", "rep", "component", "n", "sketch", "small"))
         small, large = members.where("small"), members.where("not small")
         branching = not large.isEmpty()
-        edges = _offers(small, percent, forest=True)
+        edges = _offers(small, percent)
         if branching:
             edges = edges.unionByName(_stars(large, percent))
-        if waiting is not None:
-            again = waiting.drop("component").join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            edges = edges.unionByName(_offers(again, percent, forest=False))
-        edges = materialise(edges.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("block").alias("block")))
+        edges = materialise(edges.groupBy("a", "b").agg(F.min("block").alias("block")))
         if not edges.isEmpty():
             new = materialise(_confirm(edges, sketches, docs, width, percent))
             links = new if links is None else materialise(links.unionByName(new))
             homes = components(links)
-            if not small.isEmpty():
-                waiting = small
-            else:
-                waiting = None
-        else:
-            waiting = None
-        if not branching and waiting is None:
+        if not branching:
             break
-        nodes = _children(large).distinct() if branching else members.where("false").select("node", "rep")
+        nodes = _children(large).join(sketches.select("rep", "n"), "rep").select("node", "rep", "n").distinct()
     named = reps.select("body", "rep")
     if homes is not None:
         named = named.join(homes, named.rep == homes.id, "left").select("body", F.coalesce("component", "rep").alias("rep"))
