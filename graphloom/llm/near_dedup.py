@@ -217,9 +217,10 @@ def _children(members: DataFrame) -> DataFrame:
                     at = mix(node + np.uint64(k)) % np.uint64(COORDINATES)
                     value = sketch[np.arange(len(rep)), at.astype(np.int64)]
                     parts.append(mix(node * _STEP + at * np.uint64(65536) + value).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.tile(rep, 2))], names=["node", "rep"])
+                n = batch.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.tile(rep, 2)), pa.array(np.tile(n, 2))], names=["node", "rep", "n"])
 
-    return members.select("node", "rep", "sketch").mapInArrow(run, "node long, rep long")
+    return members.select("node", "rep", "sketch", "n").mapInArrow(run, "node long, rep long, n long")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             homes = components(links)
         if not branching:
             break
-        nodes = _children(large).join(sketches.select("rep", "n"), "rep").select("node", "rep", "n").distinct()
+        nodes = _children(large).distinct()
     named = reps.select("body", "rep")
     if homes is not None:
         named = named.join(homes, named.rep == homes.id, "left").select("body", F.coalesce("component", "rep").alias("rep"))
