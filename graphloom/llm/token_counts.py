@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import materialise, prepare, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary splits text before its merges: contractions, words, numbers, other signs, white space.
@@ -66,7 +66,7 @@ def suffix_sums(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Two levels, so that no task sorts the whole histogram of a group: sums of blocks of lengths, then sums within.
     """
-    hist = hist.withColumn("block", F.expr(f"length div {BLOCK}")).withColumn("tokens", F.expr("length * n_docs"))
+    hist = materialise(hist).withColumn("block", F.expr(f"length div {BLOCK}")).withColumn("tokens", F.expr("length * n_docs"))
     after = Window.partitionBy(*by).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy(*by, "block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     every = Window.partitionBy(*by)
