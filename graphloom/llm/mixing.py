@@ -121,6 +121,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
         tokens(F.col("text")).alias("n_tokens"),
         *keep,
     )
+    if not keep:  # five narrow columns are cheaper to write than texts to read again
+        named = materialise(named)
     counted = materialise(cells(named))
     targets = targets or {d: tempered(counted, d) for d in DIMENSIONS}
     calibrated = materialise(probabilities(rake(counted, targets), budget).select(*DIMENSIONS, "p"))
