@@ -7,6 +7,7 @@ import posixpath
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Extension -> language.
 LANGUAGES = {
@@ -72,7 +73,7 @@ def truncated(text: Column, signs: int, lines: int | None = None) -> Column:
     return F.substring(kept, 1, signs)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(path: pd.Series) -> pd.Series:
     """A path without ``.`` and ``..`` steps."""
     return path.map(lambda p: None if p is None else posixpath.normpath(p))
