@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import GRAPH_SQL, dense_calls, symbols
 from ..operators.expand import capped, shortest_path, traverse
 from ..session import cut
+from .build import dependencies, file_links
 from .lookup import query
 
 _ROOT = "(select k from sym where label = 'Function' order by cast(substr(k, 2) as bigint) limit 1)"
@@ -114,15 +115,9 @@ def q_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     at = symbols(spark, sf).select("k", "path")
     pairs = dense_calls(spark, sf).join(at.select(F.col("k").alias("src"), F.col("path").alias("s")), "src").join(at.select(F.col("k").alias("dst"), F.col("path").alias("d")), "dst")
     pairs = cut(pairs.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
-    imports = capped(pairs.where(F.md5(F.concat("src", "dst")) < "1"), ["dst"], 50).withColumn("kind", F.lit("IMPORTS"))
-    calls = capped(pairs, ["dst"], 30).withColumn("rank", F.col("rank") + 50).withColumn("kind", F.lit("CALLS"))
+    links = file_links(pairs.where(F.md5(F.concat("src", "dst")) < "1"), pairs)
     start = at.join(_root(spark, sf).withColumnRenamed("id", "k"), "k").select(F.col("path").alias("id"))
-    found = traverse(cut(imports.unionByName(calls)), start, 2)
-    w = Window.partitionBy("dst").orderBy("depth", "key")
-    first = found.withColumn("first", F.row_number().over(w) == 1).join(start.select(F.col("id").alias("dst"), F.lit(True).alias("home")), "dst", "left")
-    kept = first.where((F.col("kind") == "IMPORTS") | (F.col("first") & F.col("home").isNull()))
-    position = F.row_number().over(Window.orderBy("depth", "key"))
-    return kept.orderBy("depth", "key").limit(100).select(position.alias("position"), "src", "dst", "kind", (F.col("depth") > 1).alias("transitive"))
+    return dependencies(start, traverse(cut(links), start, 2))
 
 
 _LOCAL = "ranked as materialized (select src, dst, cast(row_number() over (partition by src order by l_orderkey, line_number, dst) as integer) as rank from (select src, dst, min(l_orderkey) as l_orderkey, min(line_number) as line_number from raw where call_kind = 'local' and dst is not null and src <> dst group by src, dst))"
