@@ -53,11 +53,38 @@ def numbered(members: DataFrame) -> DataFrame:
     return members.join(order, "community").select("uid", "community_id")
 
 
-def communities(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+def hubs(edges: DataFrame, nodes: DataFrame, percentile: float) -> DataFrame:
+    """uid, degree: ``nodes`` with more neighbours than the one at a percentile of all degrees, isolates included.
+
+    The threshold is read from the histogram of degrees, which has a row for each distinct degree.
+    """
+    counts = _both(edges).groupBy(F.col("u").alias("uid")).agg(F.count("*").alias("degree"))
+    degree = nodes.select("uid").join(counts, "uid", "left").na.fill(0, ["degree"])
+    histogram = degree.groupBy("degree").agg(F.count("*").alias("n"))
+    running = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("degree"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    at = F.greatest(F.lit(0), F.floor(F.col("all") * F.lit(percentile) / 100) - 1)
+    threshold = running.where(F.col("upto") > at).agg(F.min("degree").alias("threshold"))  # one row
+    return degree.crossJoin(F.broadcast(threshold)).where(F.col("degree") > F.col("threshold")).select("uid", "degree")
+
+
+def attached(found: DataFrame, edges: DataFrame, hub: DataFrame) -> DataFrame:
+    """``found`` (uid, community) with the hubs: each in the community of most of its neighbours, ties to the least."""
+    votes = _both(edges).join(hub.select(F.col("uid").alias("u")), "u", "left_semi").join(found.select(F.col("uid").alias("v"), "community"), "v")
+    won = votes.groupBy("u", "community").agg(F.count("*").alias("n")).groupBy("u").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
+    return found.unionByName(won.withColumnRenamed("u", "uid"))
+
+
+def communities(calls: DataFrame, nodes: DataFrame, hub_percentile: float | None = None) -> DataFrame:
     """uid, community_id of all ``nodes`` (uid); isolates are communities of one; oversized communities, and large
-    loose ones, are split once by detection within."""
+    loose ones, are split once by detection within. With ``hub_percentile``, nodes of more neighbours than that take
+    no part in the detection and join the community of most of their neighbours."""
     edges = cut(undirected(calls))
-    found = detect(edges)
+    if hub_percentile is None:
+        found = detect(edges)
+    else:
+        hub = cut(hubs(edges, nodes, hub_percentile))
+        usual = edges.join(hub.select(F.col("uid").alias("a")), "a", "left_anti").join(hub.select(F.col("uid").alias("b")), "b", "left_anti")
+        found = cut(attached(detect(cut(usual)), edges, hub))
     n = nodes.count()
     size = found.groupBy("community").agg(F.count("*").alias("n"))
     inner = cut(edges.join(found.select(F.col("uid").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("uid").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb"))

@@ -97,6 +97,30 @@ def clusters(label: DataFrame, metrics: DataFrame, depth: DataFrame) -> DataFram
     return out.withColumn("cluster_id", slug(F.col("seed")))
 
 
+def entry_symbols(label: DataFrame, entry: DataFrame, symbols: DataFrame) -> DataFrame:
+    """seed, entry_symbols: the first four symbols (path, line_number, name) of a cluster's first three entry files,
+    each name once, ten at most."""
+    of_cluster = label.join(entry.select("path"), "path", "left_semi")
+    first = of_cluster.withColumn("f", F.row_number().over(Window.partitionBy("seed").orderBy("path"))).where("f <= 3")
+    in_file = Window.partitionBy("path").orderBy("line_number", "name")
+    top = symbols.join(first, "path").withColumn("s", F.row_number().over(in_file)).where("s <= 4")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "s", "name"))), lambda x: x["name"])
+    return top.groupBy("seed").agg(F.slice(F.array_distinct(ordered), 1, 10).alias("entry_symbols"))
+
+
+def shared_dependencies(label: DataFrame, pairs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """seed, path: the foundational files that a cluster's files call, a row each."""
+    base = metrics.where("is_foundational").select(F.col("path").alias("df"))
+    return pairs.join(base, "df", "left_semi").join(label.select(F.col("path").alias("sf"), "seed"), "sf").select("seed", F.col("df").alias("path")).distinct()
+
+
+def unique_slugs(seeds: DataFrame) -> DataFrame:
+    """seed, cluster_id: slugs of seeds in order of path; repeated ones end in a number, counted from two."""
+    named = seeds.select("seed", slug(F.col("seed")).alias("base")).distinct()
+    n = F.row_number().over(Window.partitionBy("base").orderBy("seed"))
+    return named.withColumn("n", n).select("seed", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", F.substring("base", 1, 58), "n")).alias("cluster_id"))
+
+
 def merged_by_overlap(members: DataFrame, least: float = 0.6) -> DataFrame:
     """a, b, jaccard: pairs of overlapping clusters (cluster, path), met through the files that they share."""
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))

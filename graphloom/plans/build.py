@@ -108,8 +108,9 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
     depth = cut(topology.depths(pairs, metrics, entry))
     label = cut(topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry)))
     of_file = metrics.join(depth.select("path", "depth"), "path").join(label, "path", "left").join(entry.withColumn("is_entry", F.lit(True)), "path", "left").na.fill(False, ["is_entry"])
-    cluster = F.when(F.col("is_foundational"), "foundational").otherwise(topology.slug(F.coalesce("seed", F.lit(""))))
-    placed = cut(of_file.withColumn("cluster_id", cluster))
+    slugs = topology.unique_slugs(label.select("seed"))
+    cluster = F.when(F.col("is_foundational"), "foundational").otherwise(F.coalesce("cluster_id", F.lit("")))
+    placed = cut(of_file.join(slugs, "seed", "left").withColumn("cluster_id", cluster))
     groups = cut(community.communities(calls.select("src", "dst"), nodes.select("uid")))
     stored = nodes.drop("community_id", "cluster_id").join(groups.select("uid", F.col("community_id").cast("string")), "uid", "left").join(placed.select("path", "cluster_id"), "path", "left").na.fill("", ["community_id", "cluster_id"])
     down = written.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
@@ -125,7 +126,8 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
         "files_down": file_links(down, pairs.select(F.col("sf").alias("src"), F.col("df").alias("dst"))),
         "files_up": file_links(down.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("df").alias("src"), F.col("sf").alias("dst"))),
         "topology": placed,
-        "clusters": topology.clusters(label, metrics, depth),
+        "clusters": topology.clusters(label, metrics, depth).drop("cluster_id").join(slugs, "seed", "left").na.fill("foundational", ["cluster_id"]).join(topology.entry_symbols(label, entry, nodes), "seed", "left"),
+        "shared": topology.shared_dependencies(label, pairs, metrics),
         "communities": groups,
         "chunks": chunks(files),
         "manifest": manifest.snapshot(files),

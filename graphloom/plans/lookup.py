@@ -298,3 +298,33 @@ select user_id, min(ts) as start, cast(count(*) as bigint) as n from g group by
 def q_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Session windows over the events."""
     return manifest.sessions(spark.read.parquet(f"{sf}/events.parquet")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(f"with {SYMBOLS_SQL} select path, cast(count(*) as bigint) as symbols from sym group by path")
+def q_symbols_per_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: symbols of every file."""
+    return symbols(spark, sf).groupBy("path").agg(F.count("*").alias("symbols"))
+
+
+@query(f"with {RAW_SQL} select cast(count(*) as bigint) as total, cast(count(*) filter (call_kind = 'local') as bigint) as local, cast(count(*) filter (dst is null) as bigint) as external from raw")
+def q_call_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Call sites in all, of local calls, and without a known target."""
+    return raw_calls(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("call_kind") == "local").alias("local"), F.count_if(F.col("dst").isNull()).alias("external"))
+
+
+@query("""with r as (select p_partkey as id, case p_size % 3 when 0 then '.' || p_name || '()' when 1 then upper(substr(p_name, 1, 1)) || substr(p_name, 2) else p_name end as raw, 'L' || p_size as loc from part)
+select id, regexp_replace(regexp_replace(raw, '[()]+$', ''), '^\\.+', '') as name, case when raw like '%()' then 'Function' when regexp_matches(raw, '^[A-Z]') then 'Class' else 'Function' end as label, cast(substr(loc, 2) as bigint) as line_number from r""")
+def q_raw_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Displayed labels to names, kinds and lines."""
+    name, size = F.col("p_name"), F.col("p_size") % 3
+    raw = F.when(size == 0, F.concat(F.lit("."), name, F.lit("()"))).when(size == 1, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20))).otherwise(name)
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), raw.alias("raw"), F.concat(F.lit("L"), "p_size").alias("at"))
+    return rows.select("id", scalars.symbol_name(F.col("raw")).alias("name"), scalars.inferred_label(F.col("raw")).alias("label"), scalars.line_label(F.col("at")).alias("line_number"))
+
+
+@query("select doc_id, cast(n + 1 as bigint) as line, length(l) as signs from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(0, len(string_split(text, chr(10))))) as n from documents where text is not null) where l like '%http%'")
+def q_line_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as numbered lines, those that hold an address."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l")).where(F.col("l").contains("http"))
+    return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), F.length("l").cast("long").alias("signs"))

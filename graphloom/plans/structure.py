@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import TOPOLOGY_SQL, file_calls, sparse_calls, symbols
+from ..model import SYMBOLS_SQL, TOPOLOGY_SQL, file_calls, sparse_calls, symbols
 from ..operators import community, topology
 from ..session import cut
 from .lookup import query
@@ -89,6 +89,26 @@ def q_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return topology.clusters(label, metrics, topology.depths(pairs, metrics, entry))
 
 
+@query(f"""{_label_sql()}, {_adopt_sql(8)}, fe as (select path, seed, row_number() over (partition by seed order by path) as f from fin where path in (select path from ent) qualify f <= 3),
+ts as (select seed, f, name, row_number() over (partition by sym.path order by line_number, name) as s from sym join fe on fe.path = sym.path qualify s <= 4),
+nm as (select seed, name, min(f * 10 + s) as p from ts group by seed, name)
+select seed, array_to_string((list(name order by p))[1:10], ',') as entry_symbols from nm group by seed""")
+def q_cluster_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The first symbols of each cluster's first entry files."""
+    pairs, metrics, entry = _files(spark, sf)
+    label = cut(topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry)))
+    found = topology.entry_symbols(label, entry, symbols(spark, sf).select("path", "line_number", "name"))
+    return found.select("seed", F.array_join("entry_symbols", ",").alias("entry_symbols"))
+
+
+@query(f"{_label_sql()}, {_adopt_sql(8)} select distinct seed, df as path from fc join fin on fin.path = sf where df in (select path from met where is_foundational)")
+def q_shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """The foundational files that each cluster calls."""
+    pairs, metrics, entry = _files(spark, sf)
+    label = topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry))
+    return topology.shared_dependencies(label, pairs, metrics)
+
+
 _MEMBERS = "mem as (select distinct l_returnflag || l_linestatus || (l_quantity::int % 5) as cluster, l_suppkey as path from lineitem where l_quantity >= 40)"
 
 
@@ -135,3 +155,28 @@ def q_cohesion(spark: SparkSession, sf: str) -> DataFrame:
     inner = edges.join(part.select(F.col("k").alias("a"), F.col("community").alias("x")), "a").join(part.select(F.col("k").alias("b"), F.col("community").alias("y")), "b").where("x = y")
     out = community.cohesion(inner.select(F.col("x").alias("community"), "a", "b"), part.groupBy("community").agg(F.count("*").alias("n")))
     return out.withColumn("cohesion", F.round("cohesion", 9))
+
+
+@query(f"""{TOPOLOGY_SQL}, und as (select distinct least(src, dst) as a, greatest(src, dst) as b from sparse where src <> dst), deg as (
+  select k as uid, cast(count(u) as bigint) as degree from sym left join (select a as u from und union all select b from und) on u = k group by k)
+select uid, degree from deg where degree > (select (list(degree order by degree))[1 + greatest(0, cast(floor(count(*) * 95 / 100.0) as bigint) - 1)] from deg)""")
+def q_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols with more neighbours than the one at the 95th percentile."""
+    edges = community.undirected(sparse_calls(spark, sf))
+    return community.hubs(edges, symbols(spark, sf).select(F.col("k").alias("uid")), 95)
+
+
+@query(f"with {SYMBOLS_SQL} select substr(md5(k), 1, 1) as community, cast(count(*) as bigint) as n from sym group by 1 order by n desc, community limit 5")
+def q_largest_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: sizes of the five largest communities of a given partition."""
+    part = symbols(spark, sf).groupBy(F.substring(F.md5("k"), 1, 1).alias("community")).agg(F.count("*").alias("n"))
+    return part.orderBy(F.desc("n"), "community").limit(5)
+
+
+@query(f"""with {SYMBOLS_SQL}, c as (select uid, name, path, substr(md5(k), 1, 1) as community from sym), r as (select * from c order by uid limit 1)
+select c.uid, c.name, c.path from c join r on r.community = c.community and r.path <> c.path order by c.uid limit 10""")
+def q_community_peers(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of a symbol's community in other files, the first ten by uid."""
+    part = symbols(spark, sf).select("uid", "name", "path", F.substring(F.md5("k"), 1, 1).alias("community"))
+    root = part.orderBy("uid").limit(1).select("community", F.col("path").alias("home"))
+    return part.join(F.broadcast(root), "community").where("path <> home").orderBy("uid").limit(10).select("uid", "name", "path")

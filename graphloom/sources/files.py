@@ -35,6 +35,19 @@ def packages(files: DataFrame) -> DataFrame:
     return ts.unionByName(nested).distinct()
 
 
+# Where a package's source begins, first existing one.
+ENTRIES = ("src/index.ts", "src/index.tsx", "index.ts", "index.tsx")
+
+
+def package_entries(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """name, entry: packages of ``roots`` (root) by the name in their package.json (path, text), with the first of
+    the usual entry files that exists; packages without one are left out."""
+    manifests = files.where(F.col("path").endswith("/package.json")).select(F.regexp_replace("path", "/package[.]json$", "").alias("root"), F.get_json_object("text", "$.name").alias("name"))
+    named = manifests.where("name <> ''").join(roots.select("root").distinct(), "root", "left_semi")
+    tried = named.select("root", "name", F.posexplode(F.array(*(F.lit(x) for x in ENTRIES))).alias("n", "rel")).withColumn("path", F.concat_ws("/", "root", "rel"))
+    return tried.join(files.select("path"), "path", "left_semi").groupBy("name").agg(F.min_by("path", F.struct("n", "path")).alias("entry"))
+
+
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of several packages, the first of each key by seq."""
     w = Window.partitionBy(*keys).orderBy("seq")

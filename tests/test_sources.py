@@ -183,3 +183,63 @@ def test_metrics(spark):
     snippets = spark.createDataFrame([(1, "def b()", 1), (1, "def a()", 2)], "qid int, snippet string, rank int")
     wanted = spark.createDataFrame([(1, ["a"])], "qid int, symbols array<string>")
     assert evaluation.symbol_mrr(snippets, wanted).first()["symbol_mrr"] == 0.5
+
+
+def test_raw_graph(spark):
+    from graphloom.sources import raw_graph
+
+    raw_nodes = spark.createDataFrame(
+        [("f1", "models.py", None, "a/models.py", None), ("f2", "app.py", "code", "a/app.py", "L1"), ("c", "User", "code", "a/models.py", "L3"), ("m", ".save()", "code", "a/models.py", "L4"), ("g", "go()", "code", "a/app.py", "L2"), ("p", "Idea", "paper", "x", "L1"), ("e", "()", "code", "a/app.py", "L9")],
+        "id string, label string, file_type string, source_file string, source_location string",
+    )
+    raw_edges = spark.createDataFrame(
+        [("c", "m", "method", None, None), ("g", "m", "calls", "EXTRACTED", "L7"), ("g", "g", "calls", None, None), ("g", "zzz", "calls", None, None), ("g", "c", "uses", None, "Lx"), ("f2", "pkg.models", "imports", None, None), ("app", "c", "imports_from", None, None), ("f2", "os", "imports", None, None)],
+        "source string, target string, relation string, confidence string, source_location string",
+    )
+    found = raw_graph.prepared(raw_nodes, raw_edges, "/r")
+    known = {r["uid"]: r["name"] for r in raw_graph.nodes(found).collect()}
+    assert sorted(known.values()) == ["User", "User.save", "go"]
+    got = {(known[r["source_uid"]], known[r["target_uid"]], r["relation"], r["confidence"], r["line_number"]) for r in raw_graph.edges(found, raw_edges).collect()}
+    assert got == {("User", "User.save", "CONTAINS", "INFERRED", 0), ("go", "User.save", "CALLS", "EXTRACTED", 7), ("go", "User", "CALLS", "INFERRED", 0)}
+    assert [tuple(r) for r in raw_graph.imports(found, raw_edges).collect()] == [("/r/a/app.py", "/r/a/models.py")]
+
+
+def test_stores_round_trip(spark, tmp_path):
+    from graphloom.sources import stores
+
+    path = str(tmp_path)
+    assert stores.load(spark, path, "edges") is None and stores.load_index(spark, path) is None
+    sites = spark.createDataFrame([("a", "f", "b", "g", "local", 9), ("a", "f", "b", "g", "local", 3)], "caller_file string, caller_symbol string, callee_file string, callee_symbol string, call_kind string, call_site_line bigint")
+    links = spark.createDataFrame([("x", "y", "uses", {"k": "v"}), ("x", "y", "uses", {"k": "v"})], "src string, dst string, kind string, metadata map<string,string>")
+    calls, relations = stores.call_graph(sites, links)
+    stores.save(calls, path, "edges")
+    stores.save(relations, path, "relations")
+    assert [(r["call_site_line"], r["version"]) for r in stores.load(spark, path, "edges").collect()] == [(3, 2)]
+    assert [r["metadata"] for r in stores.load(spark, path, "relations").collect()] == [{"k": "v"}]
+    stores.save_index(spark.createDataFrame([("1", "a b a")], "id string, text string"), path)
+    assert {(r["term"], r["tf"]) for r in stores.load_index(spark, path)[1].collect()} == {("a", 2), ("b", 1)}
+
+
+def test_package_entries(spark):
+    rows = [("/r/packages/a/package.json", '{"name": "@x/a"}'), ("/r/packages/a/index.ts", ""), ("/r/packages/a/src/index.ts", ""), ("/r/packages/a/tsconfig.json", ""), ("/r/packages/b/package.json", "{oops"), ("/r/packages/b/tsconfig.json", ""), ("/r/packages/b/index.ts", "")]
+    table = spark.createDataFrame(rows, "path string, text string")
+    assert [tuple(r) for r in files.package_entries(table, files.packages(table)).collect()] == [("@x/a", "/r/packages/a/src/index.ts")]
+
+
+def test_hubs_join_their_neighbours(spark):
+    from graphloom.operators import community
+
+    star = [("h", x) for x in "abcdefgh"[:7]] + [("a", "b"), ("b", "c"), ("a", "c")]
+    calls = spark.createDataFrame(star, "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghz"], "uid string")
+    edges = community.undirected(calls)
+    assert [r["uid"] for r in community.hubs(edges, nodes, 90).collect()] == ["h"]
+    found = {r["uid"]: r["community_id"] for r in community.communities(calls, nodes, hub_percentile=90).collect()}
+    assert set(found) == set("abcdefghz") and found["h"] == found["a"] == found["b"] == found["c"] != found["z"]
+
+
+def test_slugs_are_unique(spark):
+    from graphloom.operators import topology
+
+    found = topology.unique_slugs(spark.createDataFrame([("/a/b.py",), ("/a-b.py",)], "seed string"))
+    assert sorted(r["cluster_id"] for r in found.collect()) == ["-a-b-py", "-a-b-py-2"]
