@@ -137,6 +137,13 @@ class CodeGraph:
         here = self.table("nodes").where(F.col("path") == self._file(file))
         return here.select("line_number", "label", "name", "end_line", "uid").orderBy("line_number", "label", "name", "uid").limit(top)
 
+    def file_candidates(self, text: str, top: int = 20) -> DataFrame:
+        """Symbols of the file that a text means, or of all files whose path holds the text or its stem."""
+        known = self.table("nodes").where("label in ('Function', 'Class')")
+        file, stem = self._file(text), text.rpartition("/")[2].rpartition(".")[0]
+        here = F.col("path") == file if file else F.col("path").contains(text) | (F.col("path").contains(stem) if stem else F.lit(False))
+        return known.where(here).select("path", "line_number", "label", "name", "uid").orderBy("path", "line_number", "label", "name", "uid").limit(top)
+
     def enclosing(self, places: DataFrame) -> DataFrame:
         """``places`` (path, line, ...) with the last symbol that begins at or before each."""
         facts = self.table("nodes").where("label in ('Function', 'Class')").select("path", F.col("line_number").alias("line"), "label", "name", "uid")

@@ -84,14 +84,15 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
     """All tables of a graph over ``files`` (path, text). Of ``indexes`` (content), compiled ones, if there are any
     symbols in them; else syntax trees."""
     files = files.select("path", "text")
-    nodes = None
+    compiled = False
     if indexes is not None:
         nodes, links, linked = _from_index(indexes, files)
-        nodes = None if nodes.isEmpty() else nodes
-    if nodes is None:
+        compiled = not nodes.isEmpty()
+    if not compiled:
         nodes, links, linked = _from_syntax(files)
     nodes = cut(with_defaults(routed(nodes.dropDuplicates(["uid"]), files)))
-    links = links.withColumns({"call_kind": F.when(F.col("relation") == "CALLS", "resolved").otherwise("local"), "confidence": F.when(F.col("relation") == "CALLS", "INFERRED").otherwise("EXTRACTED")})
+    inferred = (F.col("relation") == "CALLS") & F.lit(not compiled)
+    links = links.withColumns({"call_kind": F.when(inferred, "resolved").otherwise("local"), "confidence": F.when(inferred, "INFERRED").otherwise("EXTRACTED")})
     tasks = dispatched(nodes, files).withColumns({"relation": F.lit("CALLS"), "call_kind": F.lit("celery_dispatch"), "confidence": F.lit("EXTRACTED")})
     judged = cut(writing.classified(links.unionByName(tasks), nodes))
     edges = judged.where("drop_reason is null").select("source_uid", "target_uid", "relation", "line_number", "call_kind", "confidence").distinct()

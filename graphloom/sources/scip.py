@@ -163,14 +163,21 @@ def unversioned(symbol: Column) -> Column:
 
 def calls(found: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
     """source_uid, target_uid, line_number: references to functions before a parenthesis, from the innermost function
-    around them. ``lines`` has path, line (from 1), text."""
+    around them. ``lines`` has path, line (from 1), text. A reference to a whole module, as a star import leaves it,
+    is to the module's function of the name that stands there."""
     end = F.when(F.size("range") >= 4, F.col("range")[3]).otherwise(F.col("range")[2])
-    refs = found.where("(roles & 1) = 0 and not startswith(symbol, 'local ')").select("symbol", F.col("doc").alias("path"), (F.col("range")[0] + 1).cast("long").alias("line"), end.alias("end"), "seq")
-    targets = known.where("label = 'Function'").groupBy("symbol").agg(F.min_by("uid", "seq").alias("target_uid"))
-    sites = refs.join(targets, "symbol").join(lines, ["path", "line"]).where(F.ltrim(F.substring("text", F.col("end") + 1, F.lit(1 << 20))).startswith("("))
-    sites = sites.where(~F.substring("text", F.lit(1), F.col("end")).contains("#"))
+    refs = found.where("(roles & 1) = 0 and not startswith(symbol, 'local ')").select("symbol", F.col("doc").alias("path"), (F.col("range")[0] + 1).cast("long").alias("line"), F.col("range")[1].alias("begin"), end.alias("end"))
+    functions = known.where("label = 'Function'")
+    targets = functions.groupBy("symbol").agg(F.min_by("uid", "seq").alias("target_uid"))
+    by_name = functions.groupBy("name", F.col("path").alias("home")).agg(F.max_by("uid", "seq").alias("target_uid"))
+    here = refs.join(lines, ["path", "line"]).where(F.ltrim(F.substring("text", F.col("end") + 1, F.lit(1 << 20))).startswith("("))
+    here = here.where(~F.substring("text", F.lit(1), F.col("begin")).contains("#"))
+    homes = definitions(found).select("symbol", F.col("path").alias("home"))
+    starred = here.where(F.col("symbol").endswith("/")).join(homes, "symbol").withColumn("name", F.trim(F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin"))))
+    place = ["path", "line", "target_uid"]
+    sites = here.join(targets, "symbol").select(*place).unionByName(starred.join(by_name, ["name", "home"]).select(*place)).distinct()
     spans = known.where("label = 'Function'").select("path", "uid", "line_number", "end_line", "seq")
-    inside = innermost(sites.select("path", "line", "target_uid"), spans, ["path"], "line", "line_number", "end_line")
+    inside = innermost(sites, spans, ["path"], "line", "line_number", "end_line")
     return inside.where("found is not null").select(F.col("found.uid").alias("source_uid"), "target_uid", F.col("line").alias("line_number")).where("source_uid <> target_uid").distinct()
 
 

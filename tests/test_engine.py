@@ -43,6 +43,8 @@ def test_lookups(graph):
     assert graph.resolve_file("api.py").first()["path"].endswith("/app/api.py")
     assert [r["name"] for r in graph.list_symbols("app/store.py").collect()] == ["Base", "Base.save", "Order", "Order.total", "stamp"]
     assert [(r["label"], r["name"]) for r in graph.name_search("ORDER").collect()] == [("Class", "Order"), ("Function", "Order.total")]
+    assert [r["name"] for r in graph.file_candidates("tasks.py").collect()] == ["remind"]
+    assert len({r["path"] for r in graph.file_candidates("app/").collect()}) == 1 and graph.file_candidates("none.py").isEmpty()
     assert graph.stale() == []
     assert [r["suffix"] for r in graph.missing().collect()] == [".go"]
     assert {r["path"].rpartition("/")[2]: r["symbols"] for r in graph.tree().collect()} == {"api.py": 2, "store.py": 5, "tasks.py": 1, "main.go": 0}
@@ -110,3 +112,19 @@ def test_empty_repository(spark, tmp_path):
     graph = CodeGraph(spark, str(tmp_path / "s"))
     graph.write(spark.createDataFrame([], "path string, text string"))
     assert graph.status().isEmpty() and graph.trace("x").isEmpty() and graph.search("x").isEmpty() and graph.context("x").isEmpty()
+
+
+def test_compiled_index_comes_first(spark, tmp_path):
+    from .test_sources import _field, _occurrence
+
+    p = "scip-x python pkg 1.0 "
+    a = _field(1, b"a.py") + _occurrence([0, 4, 7], p + "a/run().", 1, [0, 0, 3, 0]) + _occurrence([2, 4, 8], p + "b/help().") + _occurrence([1, 14, 18], p + "b/help().")
+    b = _field(1, b"b.py") + _occurrence([0, 4, 8], p + "b/help().", 1, [0, 0, 1, 0])
+    index = spark.createDataFrame([(_field(2, a) + _field(2, b),)], "content binary")
+    files = spark.createDataFrame([("a.py", "def run():\n    from b import help\n    help(1)"), ("b.py", "def help():\n    pass")], "path string, text string")
+    graph = CodeGraph(spark, str(tmp_path / "s"))
+    graph.write(files, index)
+    assert [(r["to_name"], r["call_kind"], r["confidence"]) for r in graph.trace("run").collect()] == [("help", "local", "EXTRACTED")]
+    assert [(r["src"], r["dst"], r["kind"]) for r in graph.dependencies("a.py", depth=1).collect()] == [("a.py", "b.py", "IMPORTS")]
+    graph.write(files, index.where("false"))
+    assert [(r["to_name"], r["call_kind"]) for r in graph.trace("run").collect()] == [("help", "resolved")]

@@ -138,6 +138,13 @@ def test_index(spark):
     lines = spark.createDataFrame([("a.py", 1, "def run():"), ("a.py", 2, "from b import help"), ("a.py", 3, "    help(1)"), ("b.py", 1, "def help():")], "path string, line long, text string")
     assert scip.calls(found, nodes, lines).count() == 1
     assert scip.inherits(nodes, symbols).count() == 1
+    # a star import: the reference is to the module, the call to its function of that name
+    star = _field(1, b"c.py") + _occurrence([0, 4, 6], p + "c/go().", 1, [0, 0, 2, 0]) + _occurrence([1, 4, 8], p + "b/") + _occurrence([2, 4, 8], p + "b/")
+    home = _field(1, b"b.py") + _occurrence([0, 0, 0], p + "b/", 1) + _occurrence([0, 4, 8], p + "b/help().", 1, [0, 0, 1, 0])
+    loose = spark.createDataFrame([(_field(2, star) + _field(2, home),)], "content binary")
+    met = scip.occurrences(loose)
+    text = spark.createDataFrame([("c.py", 2, "    help (1)"), ("c.py", 3, "#   help(1)")], "path string, line long, text string")
+    assert [r["line_number"] for r in scip.calls(met, scip.nodes(met, scip.symbols(loose)), text).collect()] == [2]
     assert [(r["src_path"], r["dst_path"], r["line_number"]) for r in scip.imports(found, lines).collect()] == [("a.py", "b.py", 2)]
 
 
