@@ -226,7 +226,8 @@ def _children(members: DataFrame) -> DataFrame:
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of places that connect all whose sets are similar enough, by exact sizes of intersections.
 
-    Members of the largest component so far start no comparison, as the others meet them from their side.
+    A pair is compared when either member starts. Members of the largest component so far wait, as the others meet
+    them from their side; the end is when all that wait are in one component, so every pair that is not was compared.
     """
     size = np.array([len(x) for x in sets])
     each, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -238,11 +239,28 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     often = np.diff(start)[number]
     central = np.add.reduceat(often, begin[:-1]) / size
     label, out = np.arange(len(sets)), []
+    waiting = np.ones(len(sets), bool)
     # the most central first: a group's common source links most of it at once
-    for i in np.argsort(-central, kind="stable").tolist():
+    order = np.argsort(-central, kind="stable")
+    at = 0
+    while True:
         count = np.bincount(label)
-        if count[label[i]] == count.max() and count.max() > 1:
-            continue
+        while at < len(order) and count[label[order[at]]] == count.max() and count.max() > 1:
+            at += 1
+        if at < len(order):
+            i = int(order[at])
+            at += 1
+        else:
+            # those passed over: the component that most of them are in is left out, the first of the others starts
+            late = order[waiting[order]]
+            if not len(late):
+                break
+            held = np.bincount(label[late])
+            late = late[label[late] != held.argmax()]
+            if not len(late):
+                break
+            i = int(late[0])
+        waiting[i] = False
         own = number[begin[i] : begin[i + 1]]
         length = start[own + 1] - start[own]
         flat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[own], length)

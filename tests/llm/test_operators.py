@@ -116,6 +116,38 @@ def test_near_duplicates_brute_force(spark):
     assert got == home
 
 
+def test_links_between_components_that_were_largest():
+    b, a, c, e = ([f"{k}{i}" for i in range(n)] for k, n in (("b", 100), ("a", 13), ("c", 13), ("e", 20)))
+    known = near_dedup.Hashes()
+    sets = [near_dedup.shingles(" ".join(w).encode(), known, 4) for w in (b + a, b + c, e + b + a, e + b + c)]
+    home = list(range(4))
+    for x, y in near_dedup.linked(sets, 80):
+        home = [home[x] if h == home[y] else h for h in home]
+    assert len(set(home)) == 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_linked_connects_as_all_pairs_do(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(4000, 60, replace=False) for _ in range(3)]
+    sets = []
+    for _ in range(60):
+        s = base[rng.integers(3)].copy()
+        s[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(4000, 4030, 1)
+        sets.append(np.unique(s).astype(np.uint64))
+    parts = lambda pairs: _parts(len(sets), pairs)
+    near = [(i, k) for i in range(60) for k in range(i) if 100 * len(np.intersect1d(sets[i], sets[k])) >= 80 * len(np.union1d(sets[i], sets[k]))]
+    assert parts(near_dedup.linked(sets, 80)) == parts(near)
+
+
+def _parts(n, pairs):
+    home = list(range(n))
+    for x, y in pairs:
+        low, high = sorted((home[x], home[y]))
+        home = [low if h == high else h for h in home]
+    return home
+
+
 def test_large_nodes_branch(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 20)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
