@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         edges = _offers(small, percent)
         if branching:
             edges = edges.unionByName(_stars(large, percent))
-        edges = materialise(edges.groupBy("a", "b").agg(F.min("block").alias("block")))
+        # A pair stays in every block that offered it: a block's members are those that its own edges connect.
+        edges = materialise(edges.distinct())
         if not edges.isEmpty():
             new = materialise(_confirm(edges, sketches, docs, width, percent))
             links = new if links is None else materialise(links.unionByName(new))

@@ -162,6 +162,19 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_components_over_the_bound_keep_every_block(spark, monkeypatch):
+    own = lambda k, n: [f"{k}{i}" for i in range(n)]
+    base = own("b", 100)
+    rows = [(0, base), (1, base + own("s", 16) + own("v", 13)), (2, base + own("s", 16) + own("u", 13)), (3, own("z", 200))]
+    # Node 20 holds 0, 1 and 2 and connects 1 and 2 through 0; node 10 holds 0 and 1; 3 lifts the component over the bound.
+    offered = spark.createDataFrame([(0, 1, 10), (0, 1, 20), (0, 2, 20), (2, 3, 30)], near_dedup._EDGE)
+    monkeypatch.setattr(near_dedup, "_offers", lambda members, percent: offered)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 450)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_fm_index_finds_all(spark):
     rng = random.Random(2)
     docs = [[rng.choice("abc").encode() for _ in range(rng.randrange(0, 80))] for _ in range(12)]
