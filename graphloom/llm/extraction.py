@@ -1,16 +1,18 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are aligned in groups: every page's DOM tree is matched with the group's first by simple tree
-matching. A text that stands at one matched node in most of the group's different pages is template; varying text
-is a slot. The slot region that holds most of the varying text is the content, unless pages name it themselves
-(``article``, ``main``). Elements that are no article by their tag, class, id or role go in any case: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+matching. A text that stands at one matched node in most of the group's different articles is template; varying text
+is a slot. Pages with the same article text (that of their named article, else all of the page's) count once. The
+slot region that holds most of the varying text is the content, unless pages name it themselves (``article``,
+``main``). Elements that are no article by their tag, class, id or role go in any case: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 A host's pages are dealt into groups of about ``GROUP`` by a hash of the page, so a hot host is many groups, each
 page in exactly one; a host with one page is judged by tags and text alone. Pages are shuffled once.
 
 Defined results: null and empty html give an empty text; pages without a host form a host of their own; repeated
-pages get a row each (copies count once when a group decides what is template); html without any tag is one block.
+pages get a row each; a named article that would lose all its text as template keeps it; html without any tag is one
+block.
 """
 
 from __future__ import annotations
@@ -134,6 +136,21 @@ class Page:
         self.blocks = [b for b in found if not (menus and any(id(n) in menus for n in _up(b.holder)))]
 
 
+def _named(found: list[Block], mass: Counter) -> list[Block]:
+    """Blocks within the page's large named articles, else within its named main part, else none."""
+    for names in ("article",), ("main",):
+        named: dict[int, Node] = {}
+        for b in found:
+            for n in _up(b.holder):
+                if n.tag in names or (names == ("main",) and n.attribute("role").lower() == "main") or "articleBody" in n.attributes:
+                    named[id(n)] = n
+        if named:
+            best = max(mass[k] for k in named)
+            large = {k for k in named if mass[k] >= 0.5 * best}
+            return [b for b in found if any(id(n) in large for n in _up(b.holder))]
+    return []
+
+
 def _region(mass: Counter, node: Node, children) -> Node:
     """Follow the child that holds most of the text, as long as there is one."""
     while True:
@@ -163,27 +180,33 @@ def extract_group(pages: list[str | None]) -> list[str]:
     aligned: list[dict[int, Node]] = [{} for _ in pages]
     told: dict[int, Counter] = {}
     region = None
+    articles = {k: _named(parsed[k].blocks, _mass(parsed[k].blocks)) for k in different}
+    contents: dict[tuple[str, ...], dict[int, set[str]]] = {}
+    least = 0.0
     if len(different) > 1:
         guide = parsed[different[0]].root
         total: Counter = Counter()
         for k in different:
             aligned[k] = matcher.align(guide, parsed[k].root)
-            here: dict[int, set[str]] = {}
+            here = contents.setdefault(tuple(b.text for b in articles[k] or parsed[k].blocks), {})
             for b in parsed[k].blocks:
                 if (at := aligned[k].get(id(b.holder))) is not None:
                     here.setdefault(id(at), set()).add(b.text)
+        for here in contents.values():
             for at, texts in here.items():
                 told.setdefault(at, Counter()).update(texts)
-        least = max(SAME, SHARE * len(different))
+        least = max(SAME, SHARE * len(contents))
         for k in different:
             varying = [b for b in parsed[k].blocks if not _constant(b, aligned[k], told, least)]
             total.update(_mass(varying, lambda n, a=aligned[k]: a.get(id(n))))
         region = _region(total, guide, lambda n: n.elements())
     out: dict[str, str] = {}
     for k in different:
-        least = max(SAME, SHARE * len(different))
         page = parsed[k]
         found = [b for b in page.blocks if not _constant(b, aligned[k], told, least)]
+        kept = {id(b) for b in found}
+        if articles[k] and not any(id(b) in kept for b in articles[k]):
+            found = articles[k]
         out[pages[k]] = "\n".join(b.text for b in _content(found, page.root, aligned[k], region))
     return [out[p] if p else "" for p in pages]
 
@@ -198,16 +221,8 @@ def _content(found: list[Block], root: Node, aligned: dict[int, Node], region: N
     if not found:
         return found
     mass = _mass(found)
-    for names in ("article",), ("main",):
-        named: dict[int, Node] = {}
-        for b in found:
-            for n in _up(b.holder):
-                if n.tag in names or (names == ("main",) and n.attribute("role").lower() == "main") or "articleBody" in n.attributes:
-                    named[id(n)] = n
-        if named:
-            best = max(mass[k] for k in named)
-            large = {k for k in named if mass[k] >= 0.5 * best}
-            return [b for b in found if any(id(n) in large for n in _up(b.holder))]
+    if named := _named(found, mass):
+        return named
     if region is not None:
         inside = [b for b in found if any(aligned.get(id(n)) is region for n in _up(b.holder))]
         if inside:

@@ -289,6 +289,23 @@ def test_wrappers_and_faulty_markup():
     assert extraction.extract_group([deep, deep + "<p>x</p>"])[0] == "deep"
 
 
+def test_one_article_under_different_html():
+    page = "<html><head><title>{0}</title></head><body><div class='ad'>Buy {0}</div><p>Site of all news</p><article><h1>A title</h1><p>The text of {1}.</p></article></body></html>"
+    got = extraction.extract_group([page.format(n, "one article") for n in range(3)])
+    assert got == ["A title\nThe text of one article."] * 3
+    # Half of a group are copies: they count once, so their text is no template.
+    got = extraction.extract_group([page.format(n, "one article" if n < 4 else f"article {n}") for n in range(8)])
+    assert all("The text of one article." in t for t in got[:4]) and "The text of article 7." in got[7]
+    # Without a named article the whole text counts.
+    plain = "<html><body><div class='ad'>Buy {0}</div><div><p>Some words</p><p>and more</p></div></body></html>"
+    assert extraction.extract_group([plain.format(n) for n in range(3)]) == ["Some words\nand more"] * 3
+    # Every paragraph is shared by three different articles: each keeps its own.
+    shared = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
+    mixed = "<html><body><article>{0}</article></body></html>"
+    boxes = ["".join(f"<section>{f'Part {k}' if k in s else ''}</section>" for k in range(4)) for s in shared]
+    assert extraction.extract_group([mixed.format(b) for b in boxes]) == ["\n".join(f"Part {k}" for k in s) for s in shared]
+
+
 def test_tree_matching():
     a, b = dom.parse("<ul><li>1<li>2</ul><p>x"), dom.parse("<ul><li>1<li>2<li>3</ul>")
     assert dom.Matcher().match(a, b)[0] == 4
