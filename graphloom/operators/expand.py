@@ -45,17 +45,19 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, through: DataFrame
     return out
 
 
-def levels(edges: DataFrame, roots: DataFrame, limit: int = 64) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """id, depth: the least number of hops from any root, until nothing new is found."""
     frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     out, level = frontier, 0
-    while level < limit:
+    while True:
         level += 1
         hop = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = cut(hop.join(out, "id", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
+        if level % 16 == 0:
+            out = cut(out)
     return out
 
 

@@ -128,3 +128,11 @@ def test_compiled_index_comes_first(spark, tmp_path):
     assert [(r["src"], r["dst"], r["kind"]) for r in graph.dependencies("a.py", depth=1).collect()] == [("a.py", "b.py", "IMPORTS")]
     graph.write(files, index.where("false"))
     assert [(r["to_name"], r["call_kind"]) for r in graph.trace("run").collect()] == [("help", "resolved")]
+
+
+def test_levels_have_no_limit(spark):
+    from graphloom.operators.expand import levels
+
+    edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(66)], "src string, dst string").coalesce(1)
+    got = levels(edges, spark.createDataFrame([("f0",)], "id string").coalesce(1))
+    assert {r["id"]: r["depth"] for r in got.collect()} == {f"f{i}": i for i in range(67)}
