@@ -2,50 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut as materialise
+from ..session import forget, shared_dir, ship
 
-#: Rows per Arrow batch sent to Python: keeps a batch of long texts within a worker's memory.
-ARROW_ROWS = 1000
+__all__ = ["Hashes", "RollingHash", "binary_list", "by_key", "checkpoint", "crc_mod", "forget", "materialise", "mix", "prepare", "table"]
 
+#: Rows and bytes per Arrow batch sent to Python: a batch of long texts stays within a worker's memory.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
-def prepare(spark: SparkSession) -> None:
-    """What the Python operators rely on: the package on the executors, and small Arrow batches."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests, a laptop) a temporary folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not named:
-        current = sc.getCheckpointDir()
-        named = current or tempfile.mkdtemp(prefix="graphloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
 
+def prepare(spark: SparkSession) -> None:
+    """What the Python operators rely on: the package on the executors, and small Arrow batches.
 
-def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage as ``checkpoint()`` does, but columnar and compressed; a lost executor loses nothing.
+    The two settings belong to the session; they bound memory and change no result.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -54,6 +35,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one first-column value at a time, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[-1].column(0)[0].as_py() != int(keys[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
@@ -116,8 +114,6 @@ class RollingHash:
 
 def binary_list(column) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string column."""
-    import pyarrow as pa
-
     return column.cast(pa.binary()).to_pylist()
 
 

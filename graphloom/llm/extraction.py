@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare, table
 from .dom import INLINE, Matcher, Node, parse
-from .near_dedup import _by_key
+from .common import by_key as _by_key
 
 GROUP = 96
 #: Different pages that must share a text at a node, and their share of the group, for it to be template.

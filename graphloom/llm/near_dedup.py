@@ -2,22 +2,26 @@
 
 Documents are sets of word shingles. Equal sets are folded into one representative, the document with the smallest
 id. ``TREES`` independent trees branch the representatives by minwise tokens: all that share the minwise token of a
-tree's first coordinate form a node. Members of small nodes are compared exhaustively by sketch; in a larger node all
-are compared with a pivot, the member nearest to the node's most common tokens, and the node branches again, on two
-coordinates that its own path chooses. A node whose members are all linked already is done.
-
-Candidates are pairs with a sketched similarity of at least ``NEAR`` in different components. A node offers no pairs
-but a spanning forest of its candidates, so rows stay linear in a group of copies. Texts that candidates connect form
-a block, in which every pair is confirmed on full shingle sets through an inverted list of shingles; a component of
-more than ``BLOCK_SHINGLES`` is confirmed node by node instead, or along the pivot's part of a node.
+tree's first coordinate form a node. Members of small nodes are compared exhaustively by sketch. In a larger node
+those near to its pivot, the member nearest to the node's most common tokens, are linked with it first; then what is not
+linked yet is compared exhaustively too, or, if that is still too much, the node branches again, on two coordinates that
+its own path chooses. A node whose members are all linked is done, so the copies of one text, in a group of any size, are
+through with one comparison each.
+
+Work is dealt in cells of at most about two ``PART``s of members: a node beyond one part is cut by a hash of its
+members, and every two parts that hold members of different components meet in a cell. Members that candidates (a
+sketched similarity of ``NEAR``) connect within a cell form a block, named by its members, so that the same block of
+several trees is one. In a block every pair is confirmed on full shingle sets through an inverted list of shingles,
+and its components are handed on as stars, so rows stay linear in a group of copies.
 
 Recall: links of similarity J meet in a tree's first node with chance J, so 8 trees miss a link of 0.8 with a chance
 of 3 in a million; each further branching on two coordinates keeps a link with chance 1 - (1 - J)**2 = 0.96. The
-sketch (120 coordinates) of a link of exactly 0.8 falls below ``NEAR`` once in about 8,000 times.
+sketch (120 coordinates of 8 bits) of a link of exactly 0.8 falls below ``NEAR`` once in about 8,000 times. What is still large
+after ``LEVELS`` is compared exhaustively, cell by cell.
 
 Defined results: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle
-is one shingle; rows with a null doc_id are kept unlinked (component_id null); repeated rows of one doc_id share
-their component.
+is one shingle; rows with a null doc_id are kept unlinked (component_id null); repeated rows of one doc_id that have
+sets share their component, whether their texts are equal or not.
 """
 
 from __future__ import annotations
@@ -29,24 +33,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Hashes, materialise, mix, prepare, table
-from .components import components
+from .common import Hashes, by_key, forget, materialise, mix, prepare, table
+from .components import components, roots
 
 #: Words in a shingle and the least similarity in percent.
 WIDTH, PERCENT = 5, 80
 TREES, COORDINATES = 8, 120
 NEAR = 0.66
-#: Pairs of members in different components, and members, up to which a node is compared exhaustively.
-SMALL, MEMBERS = 2_000_000, 20_000
-#: Levels of branching, far beyond what nodes of unlinked members need.
+#: Pairs of members in different components up to which a node is compared exhaustively.
+SMALL = 2_000_000
+#: Members and shingles of a part: two parts meet in a task.
+PART, PART_SHINGLES = 256, 500_000
+#: Levels of the trees, far beyond what nodes of unlinked members need.
 LEVELS = 24
-#: Shingles in the texts of a block: 16 MB of hashes.
-BLOCK_SHINGLES = 2_000_000
-#: Members of blocks up to which their ids are broadcast to the texts (two longs each); beyond it texts are shuffled.
+#: Rows of blocks up to which their ids are broadcast to the texts (some 80 bytes each); beyond it texts are shuffled.
 BROADCAST_ROWS = 200_000
-#: Coordinates that elect a pivot.
-VOTERS = 24
+#: Members of a node that elect the tokens of its pivot.
+VOTERS = 64
+#: Nodes of a level (some 100 bytes each), and nodes that get a star (some 300), up to which they are broadcast.
+BROADCAST_NODES, BROADCAST_STARS = 100_000, 20_000
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 32, (2, TREES + COORDINATES), dtype=np.uint64).astype(np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +71,11 @@ def shingles(text: bytes | None, known: Hashes, width: int = WIDTH) -> np.ndarra
     return np.unique(h)
 
 
+def digest(s: np.ndarray) -> bytes:
+    """Names a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """The minwise value of each coordinate, over the shingles."""
     x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
@@ -76,7 +88,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, body (hash of the set), first (one value a tree) and sketch (16 bits a coordinate)."""
+    """doc_id, n_shingles, body (hash of the set), first (one value a tree) and sketch (8 bits a coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -87,9 +99,9 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 n.append(len(s))
                 if len(s):
                     v = signature(s)
-                    body.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    body.append(digest(s))
                     first.append(v[:TREES].astype(np.int64))
-                    sketch.append(v[TREES:].astype(np.uint16).tobytes())
+                    sketch.append(v[TREES:].astype(np.uint8).tobytes())
                 else:
                     body.append(None), first.append(None), sketch.append(None)
             yield pa.RecordBatch.from_arrays(
@@ -100,112 +112,126 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, body binary, first array<long>, sketch binary")
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one first-column value at a time, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and held[-1].column(0)[0].as_py() != int(keys[a]):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-_EDGE = "a long, b long, block long"
+_BLOCK = "block long, rep long, id long, body binary"
 
 
-def _edge_batch(a: np.ndarray, b: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(block)], names=["a", "b", "block"])
+def _block_batches(block: np.ndarray, at: np.ndarray, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Members of blocks: the rows at places ``at`` with their blocks."""
+    taken = rows.select(["rep", "id", "body"]).take(pa.array(at))
+    yield from pa.table([pa.array(block, pa.int64()), *taken.columns], names=["block", "rep", "id", "body"]).to_batches()
 
 
-def _offers(members: DataFrame, percent: int) -> DataFrame:
-    """For small nodes, links that connect whatever candidates connect.
+def candidates(rep: np.ndarray, own: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of members that candidates connect, and the name of each one's block.
 
-    ``members`` has node, rep, component, n, sketch; a node's rows are in one task, ``MEMBERS`` of them at most.
+    Members of different components (``own``) are compared: all if ``side`` is 0, else those of side 1 with those of
+    side 2.
     """
+    label = np.arange(len(rep))
+    if side.max() == 0:
+        # The largest component comes last: none of its members starts a comparison.
+        _, at, size = np.unique(own, return_inverse=True, return_counts=True)
+        order = np.lexsort((rep, own, size[at]))
+        starts, ends = order[: len(rep) - int(size.max())], None
+    else:
+        order, starts, ends = None, np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    for k, i in enumerate(starts):
+        j = ends if order is None else order[k + 1 :]
+        j = j[(own[j] != own[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
+        if len(j):
+            j = j[(sketch[j] == sketch[i]).mean(1) >= NEAR]
+            new = np.unique(label[j])
+            if len(new) and (len(new) > 1 or new[0] != label[i]):
+                label[np.isin(label, new)] = label[i]
+    _, at, size = np.unique(label, return_inverse=True, return_counts=True)
+    name = np.zeros(len(size), np.uint64)
+    np.add.at(name, at, mix(rep.view(np.uint64)))
+    place = np.flatnonzero(size[at] > 1)
+    return place, mix(name + size.astype(np.uint64))[at[place]].view(np.int64)
+
+
+def _offers(cells: DataFrame, percent: int) -> DataFrame:
+    """Blocks of cells: ``cells`` has cell, side, rep, component, n, id, body, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_key(batches):
-            rep, own, n = (group.column(c).to_numpy() for c in ("rep", "component", "n"))
-            # The largest component comes last: none of its members starts a comparison.
-            _, at, size = np.unique(own, return_inverse=True, return_counts=True)
-            order = np.lexsort((rep, own, size[at]))
-            rep, own, n = rep[order], own[order], n[order]
-            sketch = _sketches(group.column("sketch"))[order]
-            label, left, right = np.arange(len(rep)), [], []
-            for i in range(len(rep) - int(size.max())):
-                later = slice(i + 1, None)
-                fits = (own[later] != own[i]) & (100 * np.minimum(n[i], n[later]) >= percent * np.maximum(n[i], n[later]))
-                j = np.flatnonzero(fits) + i + 1
-                j = j[(sketch[j] == sketch[i]).mean(1) >= NEAR]
-                new, first = np.unique(label[j], return_index=True)
-                first = first[new != label[i]]
-                if len(first):
-                    left += [rep[i]] * len(first)
-                    right += rep[j[first]].tolist()
-                    label[np.isin(label, new)] = label[i]
-            if left:
-                yield _edge_batch(np.array(left, np.int64), np.array(right, np.int64), np.full(len(left), group.column("node")[0].as_py(), np.int64))
-
-    ordered = members.select("node", "rep", "component", "n", "sketch").repartition("node").sortWithinPartitions("node", "rep")
-    return ordered.mapInArrow(run, _EDGE)
-
-
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate links of large nodes: members to the node's pivot, in blocks of bounded weight."""
+        for group in by_key(batches):
+            if group.num_rows > 1:
+                rep, own, n, side = (group.column(c).to_numpy() for c in ("rep", "component", "n", "side"))
+                place, block = candidates(rep, own, n, side, _sketches(group.column("sketch")), percent)
+                if len(place):
+                    yield from _block_batches(block, place, group)
+
+    ordered = cells.select("cell", "side", "rep", "component", "n", "id", "body", "sketch").repartition("cell").sortWithinPartitions("cell", "rep")
+    return ordered.mapInArrow(run, _BLOCK)
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of small nodes in cells: parts of the members outside the node's largest component (``top``) meet each
+    other and the parts of those inside."""
+    inside = F.coalesce(F.col("component") == F.col("top"), F.lit(False))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, a, b, side: F.struct(F.xxhash64("node", F.lit(kind), a, b).alias("cell"), side.cast("int").alias("side"))
+    among = F.transform(every("out_parts"), lambda b: cell("out", F.least("own", b), F.greatest("own", b), F.when(b == F.col("own"), 0).when(b > F.col("own"), 1).otherwise(2)))
+    to_in = F.when(F.col("in_parts") > 0, F.transform(every("in_parts"), lambda k: cell("in", F.col("own"), k, F.lit(1)))).otherwise(F.slice(among, 1, 0))
+    from_in = F.transform(every("out_parts"), lambda a: cell("in", a, F.col("own"), F.lit(2)))
+    dealt = members.withColumn("own", F.when(inside, part("in_parts")).otherwise(part("out_parts")))
+    dealt = dealt.withColumn("at", F.explode(F.when(inside, from_in).otherwise(F.concat(among, to_in))))
+    return dealt.select("at.cell", "at.side", "rep", "component")
+
+
+def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
+    """Blocks of large nodes: members near to the node's pivot, with it, part by part."""
+    few = n_nodes <= BROADCAST_STARS
+    voters = members.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= VOTERS)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                node = np.repeat(batch.column(0).to_numpy(), VOTERS)
-                at = np.tile(np.arange(VOTERS), batch.num_rows)
-                value = _sketches(batch.column(1))[:, :VOTERS].ravel().astype(np.int64)
-                key, n = np.unique(np.stack([node, at * 65536 + value]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(n)], names=["node", "vote", "n"])
+        for group in by_key(batches):
+            x = np.sort(_sketches(group.column("sketch")), 0)
+            # the most frequent value of each coordinate: the longest run of its sorted values
+            run = np.ones(x.shape, np.int32)
+            for k in range(1, len(x)):
+                run[k] = np.where(x[k] == x[k - 1], run[k - 1] + 1, 1)
+            common = x[run.argmax(0), np.arange(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([group.column(0)[0].as_py()], pa.int64()), pa.array([common.tobytes()], pa.binary())], names=["node", "common"])
 
-    votes = members.select("node", "sketch").mapInArrow(vote, "node long, vote long, n long").groupBy("node", "vote").agg(F.sum("n").alias("n"))
-    winners = votes.groupBy("node", F.expr("vote div 65536").alias("at")).agg(F.max(F.struct("n", F.negative("vote").alias("v"))).alias("w"))
-    common = winners.groupBy("node").agg(F.sort_array(F.collect_list(F.negative("w.v"))).alias("common"))
+    common = voters.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node", "rep").select("node", "sketch").mapInArrow(vote, "node long, common binary")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                want = np.array(batch.column(3).to_pylist(), np.int64) % 65536
-                same = (_sketches(batch.column(2))[:, :VOTERS] == want).sum(1)
+                same = (_sketches(batch.column("sketch")) == _sketches(batch.column("common"))).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int64))], names=["node", "rep", "same"])
 
-    agreed = members.join(common, "node").select("node", "rep", "sketch", "common").mapInArrow(agree, "node long, rep long, same long")
+    agreed = members.join(F.broadcast(common) if few else common, "node").select("node", "rep", "sketch", "common").mapInArrow(agree, "node long, rep long, same long")
     best = agreed.groupBy("node").agg(F.max(F.struct("same", F.negative("rep").alias("r"))).alias("w")).select("node", F.negative("w.r").alias("rep"))
-    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    pivots = members.join(best, ["node", "rep"]).join(weights, "node").select(
-        "node", F.col("rep").alias("pivot"), F.col("component").alias("p_component"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"), F.expr(f"weight div {BLOCK_SHINGLES} + 1").alias("parts")
+    pivots = members.join(F.broadcast(best) if few else best, ["node", "rep"]).select(
+        "node", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "sketch", "id", "body")), F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("weight") / PART_SHINGLES)).alias("parts")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c = {name: batch.column(name) for name in batch.schema.names}
-                near = (_sketches(c["sketch"]) == _sketches(c["p_sketch"])).mean(1)
-                hit = np.flatnonzero(near >= NEAR)
-                yield _edge_batch(*(c[x].to_numpy()[hit] for x in ("rep", "pivot", "block")))
-
-    pairs = members.join(pivots, "node").where("component <> p_component").where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+                near = (_sketches(batch.column("sketch")) == _sketches(batch.column("p_sketch"))).mean(1)
+                rows = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(near >= NEAR)))])
+                if rows.num_rows:
+                    block = rows.column("block").to_numpy()
+                    yield from _block_batches(block, np.arange(len(block)), rows)
+                    _, first = np.unique(block, return_index=True)
+                    pivot = rows.select(["p_rep", "p_id", "p_body"]).rename_columns(["rep", "id", "body"])
+                    yield from _block_batches(block[first], first, pivot)
+
+    met = members.join(F.broadcast(pivots) if few else pivots, "node").where("component <> p_component").where(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
     block = F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    return pairs.select("rep", "pivot", "sketch", "p_sketch", block.alias("block")).mapInArrow(run, _EDGE)
+    return met.select(block.alias("block"), "rep", "id", "body", "sketch", "p_rep", "p_id", "p_body", "p_sketch").mapInArrow(run, _BLOCK)
 
 
 def _children(members: DataFrame) -> DataFrame:
-    """The next level of large nodes: two nodes a member, on coordinates that the node's name chooses."""
+    """The next level of nodes that branch: two nodes a member, on coordinates that the node's name chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,78 +300,123 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _confirm(edges: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """True links (a, b) that connect all similar documents of each block of candidates."""
-    found = components(edges)
-    weight = found.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("weight"))
-    homes = found.join(weight, "component").select(F.col("id").alias("a"), "component", "weight")
-    home = F.when(F.col("weight") <= BLOCK_SHINGLES, F.xxhash64(F.lit("component"), "component")).otherwise(F.col("block"))
-    dealt = edges.join(homes, "a").select(home.alias("block"), F.explode(F.array("a", "b")).alias("rep"))
-    members = materialise(dealt.distinct())
-    small = members.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep").select("block", "rep", "text")
+def _confirm(blocks: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """True links (a, b): each member of a component of similar texts within a block, with the component's least."""
+    small = blocks.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(blocks) if small else blocks, "id").select("block", "rep", "body", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for group in _by_key(batches):
+        for group in by_key(batches):
             sets: dict[int, np.ndarray] = {}
-            for rep, text in zip(group.column("rep").to_pylist(), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if rep not in sets and len(x := shingles(text, known, width)):
+            for rep, body, text in zip(*(group.column(c).to_pylist() for c in ("rep", "body")), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                # a doc_id that repeats has other texts too
+                if rep not in sets and len(x := shingles(text, known, width)) and digest(x) == body:
                     sets[rep] = x
             if len(sets) > 1:
-                rep = np.array(list(sets), np.int64)
                 out = np.array(linked(list(sets.values()), percent), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[out[:, 0]]), pa.array(rep[out[:, 1]])], names=["a", "b"])
+                if len(out):
+                    rep = np.array(list(sets), np.int64)
+                    ids, root = roots(rep[out[:, 0]], rep[out[:, 1]])
+                    far = ids != root
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], names=["a", "b"])
 
     return texts.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(run, "a long, b long")
 
 
+def _weighed(nodes: DataFrame, homes: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and what to do (``kind``) with the nodes that hold two components or more.
+
+    Nodes that are no cell's work get a star (``again``, ``branch``); small ones are compared. Of small nodes with the
+    same members one is kept.
+    """
+    mark = F.bit_xor(F.xxhash64("rep"))
+    if homes is None:
+        nodes = nodes.withColumn("component", F.col("rep"))
+        size = F.count("*")
+        stats = nodes.groupBy("node").agg(
+            size.alias("size"), F.sum("n").alias("weight"), mark.alias("mark"), (size.cast("double") * (size - 1) / 2).alias("pairs"), F.lit(None).cast("long").alias("top"), F.lit(0).cast("long").alias("most")
+        )
+    else:
+        nodes = nodes.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = nodes.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), mark.alias("mark"))
+        c = F.col("c").cast("double")
+        stats = parts.groupBy("node").agg(
+            F.sum("c").alias("size"), F.sum("weight").alias("weight"), F.bit_xor("mark").alias("mark"), ((F.pow(F.sum(c), F.lit(2)) - F.sum(c * c)) / 2).alias("pairs"), F.max(F.struct("c", "component")).alias("w")
+        )
+        stats = stats.withColumn("top", F.col("w.component")).withColumn("most", F.col("w.c")).drop("w")
+    fits = F.col("pairs") <= SMALL
+    one = (F.col("size") <= PART) & (F.col("weight") <= PART_SHINGLES)
+    parts = lambda n: F.greatest(F.ceil(n / PART), F.ceil(F.col("weight") / PART_SHINGLES * n / F.col("size")), F.lit(1)).cast("int")
+    stats = stats.where("pairs > 0").withColumn("kind", F.when(one | (F.col("size") == 2) | F.lit(level == LEVELS) | (fits & F.lit(level > 0)), "small").when(fits, "again").otherwise("branch"))
+    stats = stats.withColumn("top", F.when(~one, F.col("top"))).withColumn("out_parts", F.when(one, 1).otherwise(parts(F.col("size") - F.col("most"))))
+    stats = materialise(stats.withColumn("in_parts", F.when(F.col("top").isNotNull(), parts(F.col("most"))).otherwise(0)).drop("most", "pairs"))
+    once = stats.where("kind = 'small'").groupBy("size", "mark").agg(F.min_by(F.struct(*(c for c in stats.columns if c not in ("size", "mark"))), "node").alias("s")).select("size", "mark", "s.*")
+    return nodes, stats.where("kind <> 'small'").unionByName(once)
+
+
+def _representatives(base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row for each different set: body, rep (its name), id (its smallest doc_id), n, first, sketch; and links
+    between sets of one doc_id, or None if every doc_id has one set."""
+    sets = base.where("body is not null and doc_id is not null")
+    folded = sets.groupBy("body").agg(F.min(F.struct("doc_id", "n_shingles", "first", "sketch")).alias("r"))
+    reps = folded.select("body", F.col("r.doc_id").alias("rep"), F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.first").alias("first"), F.col("r.sketch").alias("sketch"))
+    several = materialise(sets.groupBy("doc_id").agg(F.min("body").alias("least"), F.max("body").alias("b")).where("least <> b").select("doc_id", "least"))
+    if several.isEmpty():
+        forget(several)
+        return materialise(reps), None
+    # The least set of a doc_id is named by it, others by their hash.
+    reps = reps.join(several.withColumnRenamed("doc_id", "id"), "id", "left").withColumn("rep", F.when(F.col("least").isNull() | (F.col("body") == F.col("least")), F.col("id")).otherwise(F.xxhash64("body")))
+    reps = materialise(reps.select("body", "rep", "id", "n", "first", "sketch"))
+    of = sets.select("doc_id", "body").join(several, "doc_id").select("doc_id", "body").distinct().join(reps.select("body", "rep"), "body")
+    links = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+    return reps, materialise(links)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Every row of ``docs`` as doc_id, n_shingles, component_id: see the module."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialise(signed(docs, width))
-    folded = base.where("body is not null and doc_id is not null").groupBy("body").agg(F.min(F.struct("doc_id", "n_shingles", "first", "sketch")).alias("r"))
-    reps = materialise(folded.select("body", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.first").alias("first"), F.col("r.sketch").alias("sketch")))
-    # Sets of one doc_id that differ (ids that are not unique) are one document's.
-    sketches = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
-    nodes = reps.select("rep", "n", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep", "n").distinct()
-    links, homes = None, None
-    for _ in range(LEVELS):
-        # Nodes that hold two components or more; of small nodes with the same members, one.
-        if homes is not None:
-            nodes = nodes.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        else:
-            nodes = nodes.withColumn("component", F.col("rep"))
-        mark = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
-        parts = nodes.groupBy("node", "component").agg(F.count("*").cast("double").alias("c"), F.sum("n").alias("weight"), mark.alias("mark"))
-        stats = parts.groupBy("node").agg(
-            ((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("size"), F.sum("weight").alias("weight"), F.sum("mark").alias("mark")
-        )
-        is_small = (F.col("pairs") <= SMALL) & (F.col("size") <= MEMBERS) & (F.col("weight") <= BLOCK_SHINGLES)
-        stats = materialise(stats.where("pairs > 0").withColumn("small", is_small | (F.col("size") == 2)))
-        once = stats.where("small").groupBy("size", "mark").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("small"))
-        chosen = once.unionByName(stats.where("not small").select("node", "small"))
-        members = materialise(nodes.select("node", "rep", "component").join(chosen, "node").join(sketches, "rep").select("node", "rep", "component", "n", "sketch", "small"))
-        small, large = members.where("small"), members.where("not small")
-        branching = not large.isEmpty()
-        edges = _offers(small, percent)
-        if branching:
-            edges = edges.unionByName(_stars(large, percent))
-        # A pair stays in every block that offered it: a block's members are those that its own edges connect.
-        edges = materialise(edges.distinct())
-        if not edges.isEmpty():
-            new = materialise(_confirm(edges, sketches, docs, width, percent))
-            links = new if links is None else materialise(links.unionByName(new))
-            homes = components(links)
-        if not branching:
+    reps, same_id = _representatives(base)
+    sketches = reps.select("rep", "id", "body", "sketch")
+    nodes = reps.select("rep", "n", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep", "n")
+    homes = None if same_id is None else materialise(components(same_id))
+    parent = None
+    for level in range(LEVELS + 1):
+        placed, chosen = _weighed(nodes, homes, level)
+        kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        if not kinds:
+            break
+        members = placed.select("node", "rep", "component", "n").join(F.broadcast(chosen) if sum(kinds.values()) <= BROADCAST_NODES else chosen, "node")
+        blocks, large = [], None
+        if "small" in kinds:
+            cells = _cells(members.where("kind = 'small'").select("node", "rep", "component", "top", "out_parts", "in_parts"))
+            blocks.append(_offers(cells.join(reps.select("rep", "id", "body", "n", "sketch"), "rep"), percent))
+        if stars := sum(n for kind, n in kinds.items() if kind != "small"):
+            large = materialise(members.where("kind <> 'small'").select("node", "rep", "component", "n", "kind", "size", "weight").join(sketches, "rep"))
+            blocks.append(_stars(large, stars, percent))
+        offered = materialise((blocks[0] if len(blocks) == 1 else blocks[0].unionByName(blocks[1])).distinct())
+        new = materialise(_confirm(offered, docs, width, percent))
+        links = new if homes is None else new.unionByName(homes.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        old, homes = homes, materialise(components(links))
+        forget(offered, new, old, parent)
+        if large is None:
             break
-        nodes = _children(large).distinct()
-    named = reps.select("body", "rep")
+        parent, nodes = large, large.where("kind = 'again'").select("node", "rep", "n")
+        if "branch" in kinds:
+            nodes = nodes.unionByName(_children(large.where("kind = 'branch'")).distinct())
+    named = reps.select("body", "rep", "id")
     if homes is not None:
-        named = named.join(homes, named.rep == homes.id, "left").select("body", F.coalesce("component", "rep").alias("rep"))
+        named = named.join(homes.withColumnRenamed("id", "rep"), "rep", "left").select("body", "id", F.coalesce("component", "rep").alias("component"))
+        if same_id is not None:
+            # names of sets are not all doc_ids
+            named = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("body", F.col("least").alias("component"))
+        named = named.select("body", "component")
+    else:
+        named = named.select("body", F.col("id").alias("component"))
     joined = base.select("doc_id", "n_shingles", "body").join(named, "body", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

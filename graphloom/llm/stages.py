@@ -43,16 +43,20 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component (five-word shingles, 0.8): the one with the smallest doc_id."""
+    """One document of each near-duplicate component (five-word shingles, 0.8): the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document; of them the row of the least text stays. Rows without a doc_id stay.
+    """
     found = materialise(near_dedup.near_duplicates(docs))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     left = _without(docs, F.col("doc_id"), materialise(gone))
     again = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone")))
     if again.isEmpty():
         return left
-    # rows that repeat a doc_id: one of them stays
-    once = left.join(again, F.col("doc_id") == F.col("gone"), "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, F.col("doc_id"), again).unionByName(once)
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    rows = left.join(again, F.col("doc_id") == F.col("gone"), "left_semi")
+    once = rows.groupBy("doc_id").agg(F.min_by(F.struct(*cells), F.struct("text", F.xxhash64(*cells))).alias("_row_"))
+    return _without(left, F.col("doc_id"), again).unionByName(once.select("_row_.*"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,31 +148,94 @@ def _parts(n, pairs):
     return home
 
 
-def test_large_nodes_branch(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 20)
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+def components_by_brute_force(rows, width):
+    """doc_id -> least doc_id that true links reach: every pair that shares a shingle is compared."""
+    sets, holders, home = {}, {}, {}
+    for i, t in rows:
+        w = t.lower().split()
+        n = min(width, len(w))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+        home[i] = i
+    def root(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+    for i, s in sets.items():
+        shared = {}
+        for g in s:
+            for j in holders.setdefault(g, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[g].append(i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                low, high = sorted((root(i), root(j)))
+                home[high] = low
+    return {i: root(i) for i in sets}
+
+
+def variants(rng, bases, many, words, most):
+    """Texts that differ from one of some bases in up to ``most`` words."""
+    source, out = [text(rng, words).split() for _ in range(bases)], []
+    for k in range(many):
+        w = list(source[k % bases])
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("small", "part"), [(near_dedup.SMALL, near_dedup.PART), (4_000, 64)])
+def test_groups_of_near_copies_as_brute_force(spark, monkeypatch, small, part):
+    # 1,800 texts: in groups of 300 near copies, half of them too far from most others, behind one common passage
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    rng = random.Random(17)
+    common = text(rng, 30)
+    rows = [(i, f"{common} {t}") for i, t in variants(rng, 6, 1_800, 50, 7)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    true = components_by_brute_force(rows, 4)
+    assert len(set(true.values())) > 20
+    # links missed would divide components: each branching keeps a link of 0.8 with a chance of 0.96 a tree
+    assert sum(got[i] != c for i, c in true.items()) <= 0.001 * len(rows)
+
+
+def test_levels_at_an_end_are_compared_exhaustively(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    monkeypatch.setattr(near_dedup, "LEVELS", 0)
     rng = random.Random(1)
-    base = text(rng, 100).split()
-    rows = [(0, " ".join(base))]
-    for i in range(1, 60):
-        w = list(base)
-        w[rng.randrange(100)] = f"x{i}"
-        rows.append((i, " ".join(w)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0}
-
-
-def test_components_over_the_bound_keep_every_block(spark, monkeypatch):
-    own = lambda k, n: [f"{k}{i}" for i in range(n)]
-    base = own("b", 100)
-    rows = [(0, base), (1, base + own("s", 16) + own("v", 13)), (2, base + own("s", 16) + own("u", 13)), (3, own("z", 200))]
-    # Node 20 holds 0, 1 and 2 and connects 1 and 2 through 0; node 10 holds 0 and 1; 3 lifts the component over the bound.
-    offered = spark.createDataFrame([(0, 1, 10), (0, 1, 20), (0, 2, 20), (2, 3, 30)], near_dedup._EDGE)
-    monkeypatch.setattr(near_dedup, "_offers", lambda members, percent: offered)
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 450)
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+    rows = variants(rng, 2, 120, 60, 5)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_by_brute_force(rows, 5)
+
+
+def test_one_id_with_different_texts_links_through_all(spark):
+    rng = random.Random(8)
+    a, b = text(rng, 200), text(rng, 200)
+    for ids in ((1, 1, 2, 3), (1, 4, 2, 3), (5, 5, 3, 2)):
+        rows = [(ids[0], a), (ids[1], b), (ids[2], a + " more"), (ids[3], b + " more"), (9, text(rng, 90))]
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        home = {r["doc_id"]: r["component_id"] for r in got}
+        if ids[0] == ids[1]:
+            assert {home[i] for i in ids} == {min(ids)} and home[9] == 9
+        else:
+            assert home == {1: 1, 2: 1, 3: 3, 4: 3, 9: 9}
+
+
+def test_components_both_ways(spark, monkeypatch):
+    from graphloom.llm import components
+
+    rng = random.Random(3)
+    links = [(k, k + 1) for k in range(0, 60) if k % 20] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(110)] + [(7, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    home = {i: i for x in links for i in x}
+    for _ in range(99):
+        for x, y in links:
+            home[x] = home[y] = min(home[x], home[y])
+    want = {i: c for i, c in home.items() if any(i in x for x in links if x[0] != x[1])}
+    for bound in (components.ONE_TASK, 0):
+        monkeypatch.setattr(components, "ONE_TASK", bound)
+        assert {r["id"]: r["component"] for r in components.components(frame).collect()} == want
 
 
 def test_fm_index_finds_all(spark):
