@@ -155,7 +155,7 @@ def candidates(rep: np.ndarray, own: np.ndarray, n: np.ndarray, side: np.ndarray
 
 
 def _offers(cells: DataFrame, percent: int) -> DataFrame:
-    """Blocks of cells: ``cells`` has cell, side, rep, component, n, id, body, sketch."""
+    """Blocks of ``cells``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches):
@@ -165,8 +165,7 @@ def _offers(cells: DataFrame, percent: int) -> DataFrame:
                 if len(place):
                     yield from _block_batches(block, place, group)
 
-    ordered = cells.select("cell", "side", "rep", "component", "n", "id", "body", "sketch").repartition("cell").sortWithinPartitions("cell", "rep")
-    return ordered.mapInArrow(run, _BLOCK)
+    return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, _BLOCK)
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -181,7 +180,7 @@ def _cells(members: DataFrame) -> DataFrame:
     from_in = F.transform(every("out_parts"), lambda a: cell("in", a, F.col("own"), F.lit(2)))
     dealt = members.withColumn("own", F.when(inside, part("in_parts")).otherwise(part("out_parts")))
     dealt = dealt.withColumn("at", F.explode(F.when(inside, from_in).otherwise(F.concat(among, to_in))))
-    return dealt.select("at.cell", "at.side", "rep", "component")
+    return dealt.select("at.cell", "at.side", "rep", "component", "n", "id", "body", "sketch")
 
 
 def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
@@ -391,8 +390,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         members = placed.select("node", "rep", "component", "n").join(F.broadcast(chosen) if sum(kinds.values()) <= BROADCAST_NODES else chosen, "node")
         blocks, large = [], None
         if "small" in kinds:
-            cells = _cells(members.where("kind = 'small'").select("node", "rep", "component", "top", "out_parts", "in_parts"))
-            blocks.append(_offers(cells.join(reps.select("rep", "id", "body", "n", "sketch"), "rep"), percent))
+            few = members.where("kind = 'small'").select("node", "rep", "component", "n", "top", "out_parts", "in_parts").join(sketches, "rep")
+            blocks.append(_offers(_cells(few), percent))
         if stars := sum(n for kind, n in kinds.items() if kind != "small"):
             large = materialise(members.where("kind <> 'small'").select("node", "rep", "component", "n", "kind", "size", "weight").join(sketches, "rep"))
             blocks.append(_stars(large, stars, percent))
