@@ -1,17 +1,21 @@
 """Exact top-k search by vector-approximation files.
 
-Every component of a vector is quantised to ``BITS`` bits on marks fitted per dimension; the approximations are
-scanned for a lower and an upper bound of each inner product. The k-th greatest lower bound over all rows, gathered
-a block of queries at a time, cuts every candidate whose upper bound is below; the rest have their exact vectors
-read in order of their upper bound until the k-th result is certain.
-
-Scores are inner products of floor(256 * x), integers, so they are exact. Ties go to the smaller vec_id.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do those
-whose scaled components reach 2**24 in size (their products could leave the exact range of doubles), nor rows
-without a vec_id; a query meets only candidates of its own dimension; repeated vec_ids are candidates each, and
-a repeated query id counts once (its first vector in order). The marks are fitted on at most ``SAMPLE`` rows (a
-documented sample); every row is indexed, and any marks give exact results.
+Every component of a vector is quantised to ``BITS`` bits on marks fitted per dimension. The approximations (a byte a
+dimension, and the vector's least and greatest component) are scanned alone for a lower and an upper bound of each
+inner product: the k-th greatest lower bound over all rows, gathered a block of queries at a time, cuts every candidate
+whose upper bound is below. The exact vectors of the rest are read in order of their bounds: those of the ``k``
+greatest upper bounds first, whose k-th exact score cuts once more, then the others.
+
+Scores are inner products of floor(256 * x), integers of any size, and exact: where a product could leave the exact
+range of doubles, bounds are widened by their rounding error and scores are summed as integers.
+
+Of candidates with equal vectors only the ``k`` smallest vec_ids can be results, so a task hands on no more of them.
+
+Defined results: vectors that are null or hold null or non-finite components take no part (nor those whose 256-fold is
+not finite), nor rows without a vec_id; a query meets only candidates of its own dimension, which may be none;
+repeated vec_ids are candidates each, but none of a query's own; a repeated query id counts once (its least vector);
+scores beyond the range of a long are its ends. The marks are fitted on at most ``SAMPLE`` rows (a documented sample);
+every row is indexed, and any marks give exact results.
 """
 
 from __future__ import annotations
@@ -23,141 +27,212 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, table
+from .common import forget, materialise, prepare, table
 
 K = 5
 BITS = 6
 SAMPLE = 4096
-#: Queries in a block: with 64 dimensions, a megabyte to broadcast, whatever the table's size.
-BLOCK = 2048
-#: Rows of candidates compared with a block at once: bounds of 2048 x 1024 doubles are 16 MB.
-ROWS = 1024
+#: Queries in a block: with 64 dimensions, 8 megabytes to broadcast, whatever the table's size.
+BLOCK = 16_384
+#: Queries and candidates compared at once: bounds of 2048 x 1024 doubles are 16 MB.
+QUERIES, ROWS = 2048, 1024
+#: Rows of candidates left to read up to which they are broadcast to the vectors (some 60 bytes each).
+BROADCAST_ROWS = 200_000
+_EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
 def scaled(embedding: Column) -> Column:
-    """floor(256 * x) of every component, x as double; null if the vector takes no part."""
-    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256))
-    good = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 256 < float(1 << 24)))
-    return F.when(good & (F.size(embedding) > 0), whole)
+    """floor(256 * x) of every component, x as double, as doubles; null if the vector takes no part."""
+    wide = lambda x: x.cast("double") * 256
+    # from 2**53 on every double is whole
+    whole = F.transform(embedding, lambda x: F.when(F.abs(wide(x)) < _EXACT, F.floor(wide(x)).cast("double")).otherwise(wide(x)))
+    good = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(wide(x)) < float("inf")))
+    return F.when(good, whole)
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
-    """ids, vectors and other columns, of one dimension and at most ``ROWS`` rows at a time."""
-    for batch in batches:
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        values, begin = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        for d in np.unique(sizes):
-            rows = np.flatnonzero(sizes == d)
-            for k in range(0, len(rows), ROWS):
-                part = rows[k : k + ROWS]
-                yield batch.column(0).to_numpy(zero_copy_only=False)[part], values[begin[part][:, None] + np.arange(d)].astype(np.float64), [c.take(pa.array(part)) for c in batch.columns[2:]]
+def _by_size(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and values (a row each) of the lists of each size, at most ``ROWS`` at a time."""
+    begin = lists.offsets.to_numpy()
+    sizes, values = np.diff(begin), lists.values.to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        for k in range(0, len(rows), ROWS):
+            part = rows[k : k + ROWS]
+            yield part, values[begin[part][:, None] + np.arange(d)]
 
 
 def approximations(vectors: DataFrame, marks: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, vector and cells: one byte a dimension, the interval between marks that holds the component."""
+    """vec_id, same (hash of the vector), cells (a byte a dimension: the interval between marks that holds the
+    component), low and high (the least and greatest component), and the vector itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x, _ in _matrices(batches):
-            cuts = marks.get(x.shape[1])
-            cells = np.zeros(x.shape, np.uint8) if cuts is None else np.stack([np.searchsorted(cuts[j], x[:, j], "right") for j in range(x.shape[1])], 1).astype(np.uint8)
-            low, high = x.min(0), x.max(0)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "vec_id": pa.array(ids, pa.int64()),
-                    "vector": pa.array(list(x.astype(np.int64)), pa.list_(pa.int64())),
-                    "cells": pa.array([c.tobytes() for c in cells], pa.binary()),
-                    "edges": pa.array([np.concatenate([low, high]).astype(np.int64)] * len(ids), pa.list_(pa.int64())),
-                }
-            )
-
-    return vectors.mapInArrow(run, "vec_id long, vector array<long>, cells binary, edges array<long>")
-
-
-def _bounds(x_cells: np.ndarray, edges: np.ndarray, cuts: np.ndarray | None, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds, queries x rows. Outer cells end where the rows' own least and greatest values do."""
-    d = x_cells.shape[1]
-    low, high = edges[:, :d].astype(np.float64), edges[:, d:].astype(np.float64)
+        for batch in batches:
+            cells, low, high = [b""] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for at, x in _by_size(batch.column("vector")):
+                if x.shape[1]:
+                    cuts = marks.get(x.shape[1])
+                    own = np.zeros(x.shape, np.uint8) if cuts is None else np.stack([np.searchsorted(cuts[j], x[:, j], "right") for j in range(x.shape[1])], 1).astype(np.uint8)
+                    low[at], high[at] = x.min(1), x.max(1)
+                    for k, c in zip(at.tolist(), own, strict=True):
+                        cells[k] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("same"), pa.array(cells, pa.binary()), pa.array(low), pa.array(high), batch.column("vector")], names=["vec_id", "same", "cells", "low", "high", "vector"])
+
+    named = vectors.select("vec_id", F.xxhash64("vector").alias("same"), "vector")
+    return named.mapInArrow(run, "vec_id long, same long, cells binary, low double, high double, vector array<double>")
+
+
+def bounds(cells: np.ndarray, low: np.ndarray, high: np.ndarray, cuts: np.ndarray | None, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products, queries x rows.
+
+    A cell ends at its marks or where the row's own least and greatest components do, whichever is nearer.
+    """
+    d = cells.shape[1]
+    low, high = np.repeat(low[:, None], d, 1), np.repeat(high[:, None], d, 1)
     if cuts is not None:
         marks = np.concatenate([np.full((d, 1), -np.inf), cuts, np.full((d, 1), np.inf)], 1)
         axis = np.arange(d)
-        low, high = np.maximum(low, marks[axis, x_cells]), np.minimum(high, marks[axis, x_cells + 1])
+        low, high = np.maximum(low, marks[axis, cells]), np.minimum(high, marks[axis, cells + 1])
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    return up @ low.T + down @ high.T, up @ high.T + down @ low.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
+        size = np.maximum(np.abs(low), np.abs(high))
+        if d and d * np.abs(q).max(initial=0.0) * size.max(initial=0.0) >= _EXACT:
+            slack = (np.abs(q) @ size.T) * ((d + 4) * 2.0**-51)
+            least, most = least - slack, most + slack
+    # beyond a long all scores are equal, and so are their bounds
+    return np.where(np.isfinite(least), np.clip(least, -(2.0**63), 2.0**63), -np.inf), np.where(np.isfinite(most), np.clip(most, -(2.0**63), 2.0**63), np.inf)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products of whole numbers, row by row."""
+    if not x.size or x.shape[1] * float(np.abs(x).max()) * float(np.abs(q).max()) < _EXACT:
+        return (x * q).sum(1).astype(np.int64).tolist()
+    return [sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(x.tolist(), q.tolist(), strict=True)]
+
+
+def _first_of_equals(same: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows that can be among the ``k`` smallest ids of their vector, whichever one id is left out."""
+    order = np.lexsort((ids, same))
+    s, i = same[order], ids[order]
+    fresh = np.concatenate([[True], s[1:] != s[:-1]])
+    rank = np.arange(len(s)) - np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
+    new_id = fresh | np.concatenate([[True], i[1:] != i[:-1]])
+    copies = np.diff(np.append(np.flatnonzero(new_id), len(s))).max(initial=1)
+    return order[rank < k + copies]
+
+
+class _Block:
+    """A block of queries: by dimension, their ids and vectors."""
+
+    def __init__(self, rows: pa.Table):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ids = rows.column("vec_id").to_numpy()
+        vectors = rows.column("vector").to_pylist()
+        for d in {len(v) for v in vectors}:
+            at = [k for k, v in enumerate(vectors) if len(v) == d]
+            self.of[d] = ids[at], np.array([vectors[k] for k in at], np.float64).reshape(len(at), d)
+        self.at = {int(i): (d, k) for d, (own, _) in self.of.items() for k, i in enumerate(own)}
+
+    def vector(self, name: int) -> np.ndarray:
+        d, k = self.at[name]
+        return self.of[d][1][k]
+
+    def bounds(self, batch: pa.RecordBatch, marks: dict[int, np.ndarray], k: int):
+        """d, first query, query ids, places of rows, and both bounds, a part of queries and rows at a time."""
+        cells, ids = batch.column("cells").to_pylist(), batch.column("vec_id").to_numpy()
+        low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+        sizes = np.array([len(c) for c in cells], np.int64)
+        for d in np.unique(sizes).tolist():
+            if d in self.of:
+                qid, q = self.of[d]
+                rows = np.flatnonzero(sizes == d)
+                rows = rows[np.sort(_first_of_equals(batch.column("same").to_numpy()[rows], ids[rows], k))]
+                for a in range(0, len(rows), ROWS):
+                    at = rows[a : a + ROWS]
+                    own = np.frombuffer(b"".join(cells[r] for r in at), np.uint8).reshape(len(at), d)
+                    for b in range(0, len(qid), QUERIES):
+                        least, most = bounds(own, low[at], high[at], marks.get(d), q[b : b + QUERIES])
+                        self_ = qid[b : b + QUERIES, None] == ids[at][None, :]
+                        least[self_], most[self_] = -np.inf, np.nan
+                        yield d, b, qid[b : b + QUERIES], at, least, most
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` greatest inner products of every query with all other rows.
 
-    ``vectors`` and ``queries`` have vec_id and vector (array of whole numbers). Queries are worked through in
-    blocks of ``BLOCK``; each block is one scan of the approximations for the cut and one for the results, and a
-    task hands on at most ``k`` rows of a query.
+    ``vectors`` and ``queries`` have vec_id and vector (array of whole numbers as doubles). Queries are worked through
+    in blocks of ``BLOCK``; each block is one scan of the approximations for the cut and one for the candidates left.
     """
     spark = vectors.sparkSession
     prepare(spark)
     sample = vectors.select("vector").limit(SAMPLE).collect()
     marks: dict[int, np.ndarray] = {}
-    for d in {len(r[0]) for r in sample}:
+    for d in {len(r[0]) for r in sample} - {0}:
         x = np.array([r[0] for r in sample if len(r[0]) == d], np.float64)
-        marks[d] = np.quantile(x, np.arange(1, 1 << bits) / (1 << bits), axis=0).T
-    index = materialise(approximations(vectors, marks))
+        marks[d] = np.floor(np.quantile(x, np.arange(1, 1 << bits) / (1 << bits), axis=0).T)
+    index = materialise(approximations(vectors, marks).withColumn("row", F.monotonically_increasing_id()))
+    scan = index.select("row", "vec_id", "same", "cells", "low", "high")
     queries = materialise(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")))
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
     held = spark.sparkContext.broadcast(marks)
     out = None
     for b in range(blocks):
-        rows = queries.where(F.expr(f"pmod(xxhash64(vec_id), {blocks}) = {b}")).orderBy("vec_id").collect()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in {len(r[1]) for r in rows}:
-            of = [r for r in rows if len(r[1]) == d]
-            by_size[d] = np.array([r[0] for r in of], np.int64), np.array([r[1] for r in of], np.float64)
-        block = spark.sparkContext.broadcast(by_size)
-
-        def bounds_of(batches, block=block):
-            for ids, x, rest in _matrices(batches):
-                if x.shape[1] in block.value:
-                    qid, q = block.value[x.shape[1]]
-                    cells = np.frombuffer(b"".join(rest[0].to_pylist()), np.uint8).reshape(x.shape)
-                    edges = np.array(rest[1].to_pylist(), np.int64)
-                    low, high = _bounds(cells, edges, held.value.get(x.shape[1]), q)
-                    own = qid[:, None] == ids[None, :]
-                    low[own], high[own] = -np.inf, -np.inf
-                    yield qid, q, ids, x, low, high
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, np.ndarray] = {}
-            for qid, q, _, _, low, _ in bounds_of(batches):
-                top = np.concatenate([best.get(q.shape[1], np.full((len(qid), k), -np.inf)), low], 1)
-                best[q.shape[1]] = -np.partition(-top, k - 1, axis=1)[:, :k]
-            for d, top in best.items():
-                qid = block.value[d][0]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(qid, k)), "bound": pa.array(top.ravel())})
+        block = spark.sparkContext.broadcast(_Block(queries.where(F.expr(f"pmod(xxhash64(vec_id), {blocks}) = {b}")).orderBy("vec_id").toArrow()))
+
+        def cut(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for d, first, qid, _, least, _ in block.value.bounds(batch, held.value, k):
+                    top = np.concatenate([best[d, first][1] if (d, first) in best else np.full((len(qid), k), -np.inf), least], 1)
+                    best[d, first] = qid, -np.partition(-top, k - 1, axis=1)[:, :k]
+            for qid, top in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k), pa.int64()), pa.array(top.ravel())], names=["query_id", "bound"])
 
         w = Window.partitionBy("query_id").orderBy(F.desc("bound"))
-        cuts = index.mapInArrow(cut, "query_id long, bound double").withColumn("rank", F.row_number().over(w)).where(f"rank = {k}")
-        least = spark.sparkContext.broadcast({r[0]: r[1] for r in cuts.select("query_id", "bound").collect()})
-
-        def search(batches: Iterator[pa.RecordBatch], least=least, block=block) -> Iterator[pa.RecordBatch]:
-            found: dict[int, list[tuple[int, int]]] = {}
-            for qid, q, ids, x, _, high in bounds_of(batches):
-                floor = np.array([least.value.get(int(i), -np.inf) for i in qid])
-                for at in np.flatnonzero((high >= floor[:, None]).any(1)):
-                    name = int(qid[at])
-                    best = found.setdefault(name, [])
-                    rows = np.flatnonzero((high[at] >= floor[at]) & (high[at] > -np.inf))
-                    rows = rows[np.argsort(-high[at, rows], kind="stable")]
-                    for part in np.split(rows, np.arange(4 * k, len(rows), 64)):
-                        if len(best) >= k and high[at, part[0]] < -best[k - 1][0]:
-                            break  # no later row can reach the k-th result
-                        score = (x[part] @ q[at]).astype(np.int64)
-                        best = found[name] = sorted([*best, *zip((-score).tolist(), ids[part].tolist(), strict=True)])[:k]
-            flat = [(name, row, -score) for name, best in found.items() for score, row in best]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*flat, strict=True) if flat else ([], [], []))], names=["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(search, "query_id long, vec_id long, score long")
-        ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(f"rank <= {k}")
+        cuts = scan.mapInArrow(cut, "query_id long, bound double").withColumn("rank", F.row_number().over(w)).where(f"rank = {k}").select("query_id", "bound").toArrow()
+        least = spark.sparkContext.broadcast(dict(zip(cuts.column(0).to_pylist(), cuts.column(1).to_pylist(), strict=True)))
+
+        def left(batches: Iterator[pa.RecordBatch], least=least, block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, ids, same = (batch.column(c).to_numpy() for c in ("row", "vec_id", "same"))
+                for _, _, qid, at, _, most in block.value.bounds(batch, held.value, k):
+                    floor = np.array([least.value.get(i, -np.inf) for i in qid.tolist()])
+                    x, y = np.nonzero(most >= floor[:, None])
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (qid[x], row[at[y]], ids[at[y]], same[at[y]], most[x, y])], names=["query_id", "row", "vec_id", "same", "bound"])
+
+        # of candidates with equal vectors a query needs its k first
+        equals = Window.partitionBy("query_id", "same").orderBy("vec_id", "row")
+        found = scan.mapInArrow(left, "query_id long, row long, vec_id long, same long, bound double").withColumn("r", F.row_number().over(equals)).where(f"r <= {k}")
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "row")
+        found = materialise(found.withColumn("place", F.row_number().over(order)).select("query_id", "row", "vec_id", "bound", "place"))
+
+        def exact(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                name = batch.column("query_id").to_pylist()
+                scores = np.zeros(len(name), np.int64)
+                for at, x in _by_size(batch.column("vector")):
+                    q = np.stack([block.value.vector(name[r]) for r in at.tolist()])
+                    scores[at] = [max(-_LONG - 1, min(_LONG, s)) for s in products(x, q)]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+        def read(asked: DataFrame, exact=exact) -> DataFrame:
+            small = asked.count() <= BROADCAST_ROWS
+            asked = asked.select("query_id", "row", "vec_id")
+            joined = index.select("row", "vector").join(F.broadcast(asked) if small else asked, "row")
+            return joined.select("query_id", "vec_id", "vector").mapInArrow(exact, "query_id long, vec_id long, score long")
+
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        first = materialise(read(found.where(f"place <= {k}")))
+        sure = first.withColumn("rank", F.row_number().over(best)).where(f"rank = {k}").select("query_id", F.col("score").cast("double").alias("sure"))
+        # a candidate whose bound is below k exact scores is out; a cast of a long may round by 2**-53 of it
+        rest = found.where(f"place > {k}").join(sure, "query_id", "left").where("sure is null or bound >= sure - abs(sure) * 1e-15")
+        rest = materialise(rest.select("query_id", "row", "vec_id"))
+        ranked = first.unionByName(read(rest)).withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
         done = materialise(ranked) if blocks > 1 else ranked
+        if blocks > 1:
+            forget(found, first, rest)
         out = done if out is None else out.unionByName(done)
     return out.select("query_id", "rank", "vec_id", "score")
 
@@ -172,7 +247,7 @@ OP6_SQL = """
 with v as (
   select cast(vec_id as bigint) as vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
   from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score

@@ -374,3 +374,33 @@ def test_tree_matching():
     assert dom.Matcher().match(a, b)[0] == 4
 
 
+
+def topk_by_brute_force(rows, k=5):
+    """vec_id, vector rows -> (query_id, rank, vec_id, score), in Python integers."""
+    import math
+
+    held = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    least = {}
+    for i, v in held:
+        if i % 50 == 0:
+            least[i] = min(least.get(i, v), v)
+    out = []
+    for q, v in least.items():
+        found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in held if i != q and len(w) == len(v))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [7, 16_384])
+def test_topk_as_integers(spark, tmp_path, monkeypatch, block):
+    from graphloom.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = [(k, (rng.normal(size=64) * size).astype(np.float32).tolist()) for k, size in enumerate(np.repeat([1.0, 200.0, 65_535.0, 1e6, 1e7, 0.01, 1.0], 100))]
+    rows += [(1000 + k, [1e6 + k % 2] * 64) for k in range(40)] + [(5000, [1e6] * 64)]  # products near one another, far beyond 2**53
+    rows += [(2000 + k, [0.5, -0.5]) for k in range(60)] + [(2050, [0.5, -0.5])] * 9 + [(3000, []), (3001, []), (3050, [1e38, 1.0]), (3100, [None, 1.0]), (3101, [float("nan")] * 2), (None, [1.0, 1.0])]
+    spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    got = sorted(tuple(r) for r in QUERIES["op6_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == topk_by_brute_force(rows)
