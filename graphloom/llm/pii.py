@@ -33,14 +33,14 @@ _PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for at all.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
-#: Tokens that could be identifiers: 6 to 64 signs with an @ or at least four digits.
-_CANDIDATE = r"(?<![^\s])(?=[^\s]{0,63}@|(?:[^\s0-9]{0,60}[0-9]){4})[^\s]{6,64}+(?![^\s])"
+#: Tokens that could be identifiers: 6 signs or more with an @ or at least four digits.
+_CANDIDATE = r"(?<![^\s])(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){4})[^\s]{6,}+"
 
 ROUNDS = 3
 #: Distinct instances (their scores summed) that a pattern needs, and the confidence.
 SUPPORT, CONFIDENCE = 5.0, 0.8
-#: Code points before a span that hold its two words.
-CONTEXT = 64
+#: Code points before a span that are looked through for its two words; where they do not hold two, all before it.
+CONTEXT = 64, 4096
 #: Documents with discovered spans up to which these are broadcast back instead of shuffling the documents.
 BROADCAST_ROWS = 100_000
 
@@ -100,10 +100,22 @@ def base_spans(text: Column) -> Column:
 
 
 def _before(text: Column, start: Column) -> Column:
-    """The two words before a position, in lower case, or an empty string."""
-    left = F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(start, F.lit(CONTEXT)))
-    words = F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " ")).otherwise("")
+    """The two words before a position, whole and in lower case, or an empty string."""
+
+    def words(reach: Column) -> Column:
+        left = F.substring(text, start - reach + 1, reach)
+        return F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")
+
+    def two(w: Column) -> Column:
+        return F.array_join(F.slice(w, -2, 2), " ")
+
+    every = words(start)
+    found = F.when(F.size(every) >= 2, two(every)).otherwise("")
+    for reach in reversed(CONTEXT):
+        near = words(F.lit(reach))
+        # the first of the words may be cut, so there must be a third
+        found = F.when(start <= reach, F.when(F.size(every) >= 2, two(every)).otherwise("")).when(F.size(near) >= 3, two(near)).otherwise(found)
+    return found
 
 
 def _rounds(mentions: DataFrame, rounds: int, support: float, confidence: float) -> DataFrame:
