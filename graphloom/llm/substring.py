@@ -8,8 +8,12 @@ into one. Repeated windows merge into maximal removal intervals.
 
 A word goes if a window that covers it also starts in a document with a smaller doc_id, judged on the input.
 
-Skew: every aggregation combines before its shuffle (min and max of doc_id), and the one join whose key can be hot,
-runs to their settled windows, is an inner join that adaptive execution may split. No table is collected.
+A copy of a run goes whole. In a run's first document those windows go that other runs have earlier, so only windows of
+several runs are joined, and what leaves the tasks for a copy is one interval.
+
+Skew: every aggregation combines before its shuffle (min and max of doc_id), and the joins whose keys can be hot, runs
+and windows to their first documents, are inner joins of two written tables, which adaptive execution may split. No
+table is collected.
 
 Defined results: null text has no words; texts shorter than a window keep all; rows with a null doc_id remove
 nothing and keep all; repeated rows of one doc_id are one document, and each row gets the result.
@@ -87,14 +91,14 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, run, doc_id, at, hash: the single windows of the runs in ``wanted`` (one copy of each)."""
-    named = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "anchor", "run")).alias("runs"))
+    """anchor, hash, doc_id, at: the single windows of the runs in ``wanted``."""
+    named = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("start", "anchor", "run")).alias("runs"))
     joined = docs.join(_small(materialise(named), F.size("runs")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, roll = Hashes(), RollingHash()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 w = text.split() if text else ()
                 if len(w) < window:
@@ -106,12 +110,12 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> Data
                     k = place.get(r["start"])
                     if k is not None and body[k] == r["run"]:  # else another text of the same id
                         own = h[at[k] : at[k + 1]].view(np.int64)
-                        for c, x in zip(columns, (np.full(len(own), r["anchor"]), np.full(len(own), r["run"]), np.full(len(own), doc), np.arange(len(own), dtype=np.int32), own), strict=True):
+                        for c, x in zip(columns, (np.full(len(own), r["anchor"]), own, np.full(len(own), doc), np.arange(at[k], at[k + 1], dtype=np.int32)), strict=True):
                             c.append(x)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "run", "doc_id", "at", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "hash", "doc_id", "at"])
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, "anchor long, run long, doc_id long, at int, hash long")
+    return joined.select("doc_id", "text", "runs").mapInArrow(run, "anchor long, hash long, doc_id long, at int")
 
 
 def _small(found: DataFrame, weight) -> DataFrame:
@@ -121,59 +125,73 @@ def _small(found: DataFrame, weight) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, windows: the windows (start positions, sorted) that also start in a document with a smaller doc_id."""
+    """doc_id, spans (start, end; sorted and merged): words under windows that also start in a document with a smaller doc_id."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialise(runs(docs, window, gram))
-    bodies = materialise(found.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    anchors = bodies.groupBy("anchor").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("bodies")).where("least < most")
     # Runs that can matter: of an anchor in two documents or more.
-    live = materialise(bodies.join(anchors.select("anchor", "bodies"), "anchor").select("anchor", "run", "first", "bodies"))
-    # An anchor with one body: all its windows first start in the body's first document.
-    plain = live.where("bodies = 1").select("anchor", "run", F.array("first").alias("owners"))
-    # Otherwise windows are counted, over one copy of each body.
-    copies = found.join(live.where("bodies > 1").select("anchor", "run", F.col("first").alias("doc_id")), ["anchor", "run", "doc_id"])
-    copies = copies.groupBy("anchor", "run", "doc_id").agg(F.min("start").alias("start"))
-    windows = materialise(_windows(docs, copies, window, gram))
-    owners = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("owner"))
-    counted = (
-        windows.join(owners, ["anchor", "hash"])
-        .groupBy("anchor", "run")
-        .agg(F.expr("transform(array_sort(collect_set(struct(at, owner))), x -> x.owner)").alias("owners"))
-    )
-    settled = plain.unionByName(counted).withColumn("least", F.array_min("owners"))
-    hits = found.join(settled, ["anchor", "run"]).where("least < doc_id")
-    at = F.expr("if(size(owners) = 1, sequence(start, start + n - 1), transform(filter(sequence(0, n - 1), i -> owners[i] < doc_id), i -> start + i))")
-    return hits.select("doc_id", at.alias("at")).groupBy("doc_id").agg(F.expr("array_sort(flatten(collect_set(at)))").alias("windows"))
+    anchors = materialise(found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"))
+    live = materialise(found.join(anchors, "anchor"))
+    bodies = materialise(live.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    several = materialise(bodies.groupBy("anchor").agg(F.count("*").alias("bodies")).where("bodies > 1").select("anchor"))
+    # All windows of a run start in its first document, so its copies in later ones go whole.
+    copied = live.join(bodies.where("first < last").select("anchor", "run", "first"), ["anchor", "run"]).where("first < doc_id")
+    copied = copied.select("doc_id", "start", F.expr(f"start + n - 1 + {window}").alias("end"))
+    # In the first document those windows go that another run of the anchor has in an earlier document.
+    firsts = live.join(bodies.join(several, "anchor").select("anchor", "run", F.col("first").alias("doc_id")), ["anchor", "run", "doc_id"])
+    windows = materialise(_windows(docs, firsts, window, gram))
+    owners = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "hash", "owner")
+    late = windows.join(materialise(owners), ["anchor", "hash"]).where("owner < doc_id")
+    # 64 starts of windows to a row, before they are shuffled
+    late = late.groupBy("doc_id", F.expr("cast(at div 64 as int)").alias("a")).agg(F.expr("bit_or(shiftleft(1L, at % 64))").alias("b"))
+    pieces = copied.select("doc_id", F.col("start").alias("a"), F.col("end").cast("long").alias("b"), F.lit(True).alias("whole")).unionByName(late.withColumn("whole", F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _merged(batch.column(1), window)], names=["doc_id", "spans"])
+
+    return pieces.groupBy("doc_id").agg(F.collect_list(F.struct("whole", "a", "b")).alias("pieces")).mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
+
+
+def _merged(lists: pa.ListArray, window: int) -> pa.ListArray:
+    """Sorted and merged spans (start, end) of each row's pieces: spans, or 64 possible starts of windows as bits."""
+    begin = lists.offsets.to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(begin)).astype(np.int64)
+    held = lists.values.slice(begin[0], begin[-1] - begin[0])
+    whole, a, b = (held.field(c).to_numpy(zero_copy_only=False) for c in ("whole", "a", "b"))
+    a = a.astype(np.int64)
+    at, bit = np.nonzero(np.unpackbits(b[~whole].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    single = a[~whole][at] * 64 + bit
+    # rows far apart on one line, so that one running maximum does for all
+    far = np.int64(1) << 33
+    start = np.concatenate([a[whole] + row[whole] * far, single + row[~whole][at] * far])
+    end = np.concatenate([b[whole] + row[whole] * far, single + window + row[~whole][at] * far])
+    order = np.lexsort((end, start))
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(start) else np.empty(0, np.int64)
+    first, last = start[new], reach[np.append(new[1:], len(reach)) - 1] if len(new) else reach
+    spans = pa.StructArray.from_arrays([pa.array((first % far).astype(np.int32)), pa.array((last % far).astype(np.int32))], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first // far, np.arange(len(lists) + 1)).astype(np.int32)), spans)
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Every row of ``docs`` as doc_id, n_words, intervals (words to remove, merged, end exclusive) and the kept text."""
-    found = materialise(
-        repeated(docs, window, gram).select(
-            "doc_id",
-            F.expr(
-                f"aggregate(windows, cast(array() as array<struct<start:int,end:int>>), (a, w) -> "
-                f"if(size(a) > 0 and a[size(a) - 1].end >= w, "
-                f"concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start as start, w + {window} as end))), "
-                f"concat(a, array(struct(w as start, w + {window} as end)))))"
-            ).alias("intervals"),
-        )
-    )
+    found = materialise(repeated(docs, window, gram))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.join(_small(found, F.size("intervals")), "doc_id", "left")
+    joined = docs.join(_small(found, F.size("spans")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 w = text.split() if text else []
-                kept, at = [], 0
-                for s in spans or ():
+                kept, at, spans = [], 0, spans or []
+                for s in spans:
                     kept += w[at : s["start"]]
                     at = s["end"]
                 kept += w[at:]
-                rows.append((doc, len(w), spans or [], b" ".join(kept)))
+                rows.append((doc, len(w), spans, b" ".join(kept)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -184,7 +202,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                 names=["doc_id", "n_words", "intervals", "kept"],
             )
 
-    return joined.select("doc_id", "text", "intervals").mapInArrow(run, "doc_id long, n_words long, intervals array<struct<start:int,end:int>>, kept string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, intervals array<struct<start:int,end:int>>, kept string")
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -404,3 +404,35 @@ def test_topk_as_integers(spark, tmp_path, monkeypatch, block):
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     got = sorted(tuple(r) for r in QUERIES["op6_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
     assert got == topk_by_brute_force(rows)
+
+
+def test_contexts_and_identifiers_of_any_length(spark):
+    # seven seeds after two words of 70 and 5,000 letters, and a token of 90 signs after the same two
+    a, b = "q" * 70, "z" * 5000
+    rows = [(i, f"x{i} {a} {b} user{i}@mail{i}.org") for i in range(7)] + [(50, f"{a} {b} {'k' * 86}1234 end"), (51, f"{a[:59]} {b} {'k' * 86}1234")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [("email", 5072, 5162)] and got[51] == []
+
+
+def test_substring_by_brute_force_with_a_hot_passage(spark, monkeypatch):
+    rng = random.Random(12)
+    hot, other = text(rng, 120).split(), text(rng, 80).split()
+    rows = []
+    for i in range(300):
+        own = text(rng, rng.randrange(0, 60)).split()
+        at = rng.randrange(0, 40)
+        rows.append((rng.randrange(10**6), own + hot[at : at + rng.randrange(45, 81)] + (other if i % 7 == 0 else []) + text(rng, rng.randrange(0, 20)).split() + (hot[:70] if i % 5 == 0 else [])))
+    rows += [(rows[0][0], rows[0][1]), (7, []), (2_000_000, rows[1][1])]
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            g = tuple(w[k : k + 50])
+            first[g] = min(i, first.get(g, i))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for bound in (substring.BROADCAST_ROWS, 0):  # broadcast, and joined by shuffles
+        monkeypatch.setattr(substring, "BROADCAST_ROWS", bound)
+        got = {r["doc_id"]: r for r in substring.removals(frame).collect()}
+        for i, w in rows:
+            gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+            assert got[i]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone)
+            assert sum(s["end"] - s["start"] for s in got[i]["intervals"]) == len(gone)
