@@ -5,13 +5,19 @@ turn each marginal's weights are scaled to its targets, until all marginals agre
 with the cell's calibrated probability, by a hash of its id: the probability is proportional to weight over tokens,
 capped at one, with the factor that makes the expected tokens meet the budget.
 
-Only the cells (as many as combinations of values that occur) are raked; while there are at most ``ONE_TASK`` of
-them they lie in one partition, which spares every exchange; with more they stay hash-partitioned.
+A topic is a given column ``topic`` or learned: of the words that occur in a middling share of all documents the
+``TOPICS`` most frequent are topics, and a document's topic is the rarest of them that it holds.
 
-Defined results: null source or lang counts as ``unknown``; null and empty texts have no tokens, belong to a topic of
-their own and are kept with their cell's probability (that of a cell without tokens is the budget's share); targets
-for values that no document has are left out and the others scaled up; values without a target get none; repeated
-rows and rows with a null doc_id are decided by the same hash.
+Only the cells (as many as combinations of values that occur) are raked; while there are at most ``ONE_TASK`` of
+them they lie in one partition, which spares every exchange; with more they are dealt by the values of a marginal.
+Totals over all cells are plain aggregates.
+
+Defined results: null source, lang or topic counts as ``unknown``; null and empty texts have no tokens, belong to the
+topic ``empty`` and are kept with their cell's probability (that of a cell without tokens is the budget's share); texts
+without a topic word belong to ``other``; targets for values that no document has are left out and the others scaled
+up; values without a target get none; where no weights can meet all targets (cells that would have to be filled are
+missing) raking ends when it no longer comes nearer, and ``miss`` tells the greatest relative error; repeated rows and
+rows with a null doc_id are decided by the same hash.
 """
 
 from __future__ import annotations
@@ -24,8 +30,11 @@ from .common import checkpoint, materialise, table
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of the tokens to keep, and by how much the default targets even out shares (1 leaves them, 0 makes them equal).
 BUDGET, TEMPERATURE = 0.5, 0.5
-#: Raking steps between two looks at the marginals, how many looks, and the greatest relative error allowed.
-STEPS, LOOKS, TOLERANCE = 4, 12, 1e-6
+#: Raking steps between two looks at the marginals, the greatest relative error allowed, and by how much a look must
+#: lessen it for raking to go on.
+STEPS, TOLERANCE, NEARER = 4, 1e-6, 0.999
+#: Learned topics: how many words, of how many letters at least, in which share of the documents.
+TOPICS, LETTERS, SHARES = 48, 4, (0.001, 0.2)
 ONE_TASK = 20_000
 SEED = 5
 
@@ -35,17 +44,24 @@ def tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def topic(text: Column) -> Column:
-    """A topic by form, as the documents name none: what kind of text this is."""
-    return (
-        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
-        .when(text.rlike("(?i)licensed? under|all rights reserved|copyright"), "legal")
-        .when(text.rlike(r" \| [^|\n]+ \| "), "table")
-        .when(text.rlike(r"(?:token|password|secret) ?= ?"), "code")
-        .when((F.upper(text) == text) & text.rlike(r"\p{Lu}"), "shout")
-        .when(text.rlike(r"[#$%&*!]{2,}"), "noise")
-        .otherwise("prose")
-    )
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+
+
+def topic_words(docs: DataFrame, n: int = TOPICS) -> list[str]:
+    """The learned topics, the rarest first: counted over all of ``docs``, at most ``n`` words come to the driver."""
+    held = docs.select(F.explode(F.array_append(F.filter(_distinct_words(F.col("text")), lambda w: F.length(w) >= LETTERS), F.lit(""))).alias("word"))
+    counts = materialise(held.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    total = counts.where("word = ''").agg(F.max("n")).first()[0] or 0  # every document has the empty word
+    low, high = (s * total for s in SHARES)
+    chosen = counts.where((F.col("word") != "") & F.col("n").between(low, high)).orderBy(F.desc("n"), "word").limit(n).collect()
+    return [r["word"] for r in sorted(chosen, key=lambda r: (r["n"], r["word"]))]
+
+
+def topic(text: Column, words: list[str]) -> Column:
+    """The first of the topic words that the text holds."""
+    found = F.try_element_at(F.array_intersect(F.array(*map(F.lit, words)), _distinct_words(text)), F.lit(1)) if words else F.lit(None)
+    return F.when(tokens(text) == 0, "empty").otherwise(F.coalesce(found.cast("string"), F.lit("other")))
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -70,41 +86,39 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     held = checkpoint(held)
     one = held.count() <= ONE_TASK
     together = lambda df: df.coalesce(1) if one else df
-    held = together(held)
-    everything = F.sum("weight").over(Window.partitionBy(F.lit(0)))
+    everything = float(held.agg(F.sum("weight")).first()[0] or 0.0)
     for d in targets:  # targets as shares of the values that occur, in tokens
-        once = F.row_number().over(Window.partitionBy(d).orderBy(*DIMENSIONS)) == 1
-        total = F.sum(F.when(F.col("once"), F.col(f"to_{d}"))).over(Window.partitionBy(F.lit(0)))
-        held = held.withColumn("once", once).withColumn(f"to_{d}", F.col(f"to_{d}") / total * everything).drop("once")
-    held = checkpoint(held)
-    for _ in range(LOOKS):
+        total = float(held.groupBy(d).agg(F.max(f"to_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0)
+        held = held.withColumn(f"to_{d}", F.col(f"to_{d}") / total * everything)
+    error = float("inf")
+    while True:
         held = together(held)
         for _ in range(STEPS):
             for d in targets:
                 held = held.withColumn("weight", F.col("weight") * F.col(f"to_{d}") / F.sum("weight").over(Window.partitionBy(d)))
         held = checkpoint(held)
-        worst = [held.groupBy(d).agg((F.abs(F.sum("weight") / F.max(f"to_{d}") - 1)).alias("e")).agg(F.max("e").alias("e")) for d in targets]
-        if all((w.first()[0] or 0) < TOLERANCE for w in worst):
+        each = [held.groupBy(d).agg((F.abs(F.sum("weight") / F.max(f"to_{d}") - 1)).alias("e")).agg(F.max("e").alias("e")) for d in targets]
+        last, error = error, max((w.first()[0] or 0.0 for w in each), default=0.0)
+        if error < TOLERANCE or error > NEARER * last:
             break
-    return held.select(*DIMENSIONS, "tokens", "weight")
+    return held.select(*DIMENSIONS, "tokens", "weight", F.lit(error).alias("miss"))
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
     """``raked`` with p: min(1, k * weight / tokens), k such that the expected tokens are ``budget`` of all tokens.
 
-    With cells in order of weight over tokens, the first ones are capped; the factor of the rest is the budget left
-    over their weight, and the right number of capped cells is the least for which no further cell exceeds one.
+    The factor is the budget left by the capped cells over the weight of the others. It only grows with their number,
+    so the capped cells of one round are in the next one's too, and the rounds, an aggregate each, end.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("ratio"), *DIMENSIONS)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    rated = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    left = all_tokens * float(budget) - F.coalesce(F.sum("tokens").over(before), F.lit(0.0))
-    rated = rated.withColumn("k", left / F.sum("weight").over(after))
-    fits = F.when((F.col("k") * F.col("ratio") <= 1 + 1e-12) & (F.col("k") >= 0), F.col("k"))
-    factor = F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rated.withColumn("factor", factor).withColumn("p", F.least(F.lit(1.0), F.coalesce(F.col("factor") * F.col("ratio"), F.lit(1.0)))).drop("ratio", "k", "factor")
+    total = float(raked.agg(F.sum("tokens")).first()[0] or 0.0)
+    factor, capped = 0.0, -1
+    while True:
+        full = F.col("weight") * factor >= F.col("tokens")
+        n, used, rest = raked.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped or not rest:
+            break
+        factor, capped = max(factor, (total * float(budget) - (used or 0.0)) / rest), n
+    return raked.withColumn("p", F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens")))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -117,7 +131,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
         "doc_id",
         F.coalesce("source", F.lit("unknown")).alias("source"),
         F.coalesce("lang", F.lit("unknown")).alias("lang"),
-        topic(F.col("text")).alias("topic"),
+        (F.coalesce(F.col("topic").cast("string"), F.lit("unknown")) if "topic" in docs.columns else topic(F.col("text"), topic_words(docs))).alias("topic"),
         tokens(F.col("text")).alias("n_tokens"),
         *keep,
     )

@@ -75,5 +75,6 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of half the tokens, raked to tempered shares of source, language and topic; with p, its probability."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_")
-    done = mixing.mix(docs.select("doc_id", "source", "lang", "text", row), keep=("_row_",)).where("kept")
+    given = ["topic"] if "topic" in docs.columns else []
+    done = mixing.mix(docs.select("doc_id", "source", "lang", "text", *given, row), keep=("_row_",)).where("kept")
     return done.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns), *([] if "p" in docs.columns else ["p"]))

@@ -436,3 +436,60 @@ def test_substring_by_brute_force_with_a_hot_passage(spark, monkeypatch):
             gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
             assert got[i]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone)
             assert sum(s["end"] - s["start"] for s in got[i]["intervals"]) == len(gone)
+
+
+def raked_by_numpy(tokens, targets, rounds=400):
+    """tokens: cell -> count; targets: per dimension, value -> share."""
+    w = {c: float(t) for c, t in tokens.items() if t and all(c[k] in x for k, x in enumerate(targets))}
+    total = sum(w.values())
+    shares = []
+    for k, x in enumerate(targets):
+        seen = {c[k] for c in w}
+        all_ = sum(x[v] for v in seen)
+        shares.append({v: x[v] / all_ * total for v in seen})
+    for _ in range(rounds):
+        for k, x in enumerate(shares):
+            sums = {}
+            for c, v in w.items():
+                sums[c[k]] = sums.get(c[k], 0) + v
+            w = {c: v * x[c[k]] / sums[c[k]] for c, v in w.items()}
+    return w
+
+
+def test_mixing_as_plain_python(spark):
+    rng = random.Random(61)
+    topics = ["river", "metal", "forest", "engine"]
+    rows = [(i, " ".join([rng.choice(topics)] * rng.randrange(0, 2) + [f"u{i}x{k}" for k in range(rng.randrange(1, 40))]), rng.choice(["en", "de", "fr"]), rng.choice("aaab")) for i in range(1500)]
+    rows += [(5000, None, None, None), (5001, "", "en", "a")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    # the words of letters alone that are in 0.1 to 20 % of the documents
+    share = {t: sum(t in (r[1] or "").split() for r in rows) for t in topics}
+    order = sorted(topics, key=lambda t: (share[t], t))
+    assert all(0.001 * len(rows) <= share[t] <= 0.2 * len(rows) for t in topics)
+    tokens, cell = {}, {}
+    for i, text_, lang, source in rows:
+        words = (text_ or "").split()
+        found = [t for t in order if t in words]
+        cell[i] = (source or "unknown", lang or "unknown", "empty" if not words else found[0] if found else "other")
+        tokens[cell[i]] = tokens.get(cell[i], 0) + len(words)
+    sums = [{}, {}, {}]
+    for c, t in tokens.items():
+        for k in range(3):
+            sums[k][c[k]] = sums[k].get(c[k], 0) + t
+    weight = raked_by_numpy(tokens, [{v: t**0.5 for v, t in x.items() if t} for x in sums])
+    low, high = 0.0, 1e6
+    for _ in range(200):  # the factor that meets half of all tokens
+        k = (low + high) / 2
+        low, high = (k, high) if sum(min(tokens[c], k * w) for c, w in weight.items()) < 0.5 * sum(tokens.values()) else (low, k)
+    for r in got:
+        assert (r["source"], r["lang"], r["topic"]) == cell[r["doc_id"]]
+        want = min(1.0, low * weight[cell[r["doc_id"]]] / tokens[cell[r["doc_id"]]]) if tokens[cell[r["doc_id"]]] else 0.5
+        assert r["p"] == pytest.approx(want, abs=1e-4) and r["kept"] == (r["u"] < r["p"])
+
+
+def test_mixing_that_no_weights_can_meet(spark):
+    # a has only en, b only de: the marginals contradict each other
+    cells = spark.createDataFrame([("a", "en", "t", 10.0), ("b", "de", "t", 10.0)], "source string, lang string, topic string, tokens double")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    done = mixing.rake(cells, {"source": share(a=0.9, b=0.1), "lang": share(en=0.5, de=0.5)}).collect()
+    assert all(r["miss"] > 0.1 for r in done)
