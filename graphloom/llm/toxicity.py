@@ -5,9 +5,10 @@ Dirichlet prior whose mean is the share of toxic documents among those with a to
 so that clean text scores below zero. Log-odds within ``Z`` standard errors of zero, and weak ones, count as zero. A
 linear-time scan finds all maximal scoring segments
 of a document, the passages that could be toxic. By extreme-value theory a clean text of n tokens has about
-``n * exp(-L * S)`` segments that score S or more; L solves ``mean(exp(L * score)) = 1`` over clean tokens. A
-document's evidence is the logarithm of its segments' summed ``exp(L * S) / n``, and a logistic curve fitted on the
-labelled documents turns that into a score from 0 to 1.
+``n * exp(-L * S)`` segments that score S or more; L solves ``mean(exp(L * score)) = 1`` over clean tokens, with the
+scores that documents get. A document's evidence is the logarithm of its segments' summed ``exp(L * S) / n``, and a
+logistic curve turns that into a score from 0 to 1. The curve is fitted on evidence that each of ``FOLDS`` parts of
+the labelled documents gets from counts of the others.
 
 The labelled sample is bounded: ``TRAIN_ROWS`` rows, those with the least hash of their id. Tokens are hashed into
 ``BUCKETS`` buckets, so the model has a fixed size (10 MB), which is what is broadcast. Scoring covers every document
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ PREFIX = 4
 PREFIXES = 1 << 18
 #: Documents with a prefix that count towards the strength of that prior, at most.
 MOST_PRIOR = 20
+#: Parts of the labelled documents, each judged by a model of the others to fit the curve.
+FOLDS = 4
 #: Steps of evidence in the histogram that the logistic curve is fitted on, and its range.
 STEP, LEAST, MOST = 0.25, -15.0, 25.0
 
@@ -77,10 +81,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Model:
     """Counts of token and prefix buckets, the extreme-value parameter, and the curve from evidence to a score.
 
-    ``toxic`` and ``clean`` hold document frequencies: of tokens, then of prefixes, then the numbers of documents.
+    ``toxic`` and ``clean`` hold document frequencies: of tokens, then of prefixes, then the numbers of documents;
+    ``prefixes`` the prefix of each token bucket, negative for tokens too short to have one.
     """
 
-    def __init__(self, toxic: np.ndarray, clean: np.ndarray):
+    def __init__(self, toxic: np.ndarray, clean: np.ndarray, prefixes: np.ndarray):
         self.curve = (0.0, 0.0)
         self.constant: float | None = None
         self.n = n_toxic, n_clean = float(toxic[-1]), float(clean[-1])
@@ -93,7 +98,9 @@ class Model:
         t, both = toxic[BUCKETS:-1], toxic[BUCKETS:-1] + clean[BUCKETS:-1]
         self.prior = ((t + 4 * self.share) / (both + 4)).astype(np.float32), (PRIOR + np.minimum(both, MOST_PRIOR) / 2).astype(np.float32)
         seen = np.flatnonzero(clean[:BUCKETS] + toxic[:BUCKETS])
-        s = self._odds(toxic[seen], clean[seen], self.share, PRIOR)
+        p = prefixes[seen]
+        share, strength = np.where(p >= 0, self.prior[0][p], self.share), np.where(p >= 0, self.prior[1][p], PRIOR)
+        s = self._odds(toxic[seen], clean[seen], share, strength)
         weight = (clean[seen] + PRIOR) / (clean[seen] + PRIOR).sum()
         mean = lambda x: float((weight * np.exp(np.minimum(x * s, 600))).sum())
         low, high = 0.01, 2.0
@@ -176,30 +183,48 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
     """A model from the labelled documents for which ``usable`` (over doc_id) holds."""
     prepare(docs.sparkSession)
     sample = F.broadcast(_train_rows(labels, F.lit(True) if usable is None else usable, rows))  # at most ``rows`` rows
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "toxic")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
+
+    size = BUCKETS + PREFIXES + 1
+    columns = [f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "toxic")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, BUCKETS + PREFIXES + 1), np.int64)
+        held = np.zeros((2 * FOLDS, size), np.int32)  # clean and toxic documents of each part
+        of = np.full(size, -1, np.int64)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic, -1] += 1
-                own = set(words(text))
-                held[toxic, list({xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in own})] += 1
-                held[toxic, list({BUCKETS + prefix(w) for w in own if len(w) > PREFIX})] += 1
+            for fold, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                k = 2 * fold + toxic
+                held[k, -1] += 1
+                own = {w: xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in set(words(text))}
+                long = {w: prefix(w) for w in own if len(w) > PREFIX}
+                held[k, list(set(own.values()))] += 1
+                held[k, list({BUCKETS + p for p in long.values()})] += 1
+                if long:
+                    np.maximum.at(of, [own[w] for w in long], list(long.values()))
         at = np.flatnonzero(held.any(0))
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[1, part]), pa.array(held[0, part])], names=["bucket", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(held[j, part].astype(np.int64)) for j in range(2 * FOLDS)), pa.array(of[part])], names=["bucket", *columns, "prefix"])
 
-    counts = known.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    counted = known.select("fold", "text", "toxic").mapInArrow(count, f"bucket long, {', '.join(f'{c} long' for c in columns)}, prefix long")
+    counts = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns), F.max("prefix").alias("prefix")).toArrow()
     at = counts.column("bucket").to_numpy()
-    held = np.zeros((2, BUCKETS + PREFIXES + 1), np.float64)
-    held[1, at], held[0, at] = counts.column("toxic").to_numpy(), counts.column("clean").to_numpy()
-    model = Model(held[1], held[0])
+    held = np.zeros((FOLDS, 2, size), np.float32)
+    for k, c in enumerate(columns):
+        held[k // 2, k % 2, at] = counts.column(c).to_numpy()
+    of = np.full(BUCKETS, -1, np.int64)
+    of[at[at < BUCKETS]] = counts.column("prefix").to_numpy()[at < BUCKETS]
+    clean, toxic = held.sum(0)
+    model = Model(toxic, clean, of)
     if model.constant is not None:
         return model
+    others = [Model(toxic - held[k, 1], clean - held[k, 0], of) for k in range(FOLDS)]
+    if any(m.constant is not None for m in others):  # all documents of a class are in one part
+        others = [model] * FOLDS
     step = F.floor(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.col("evidence"))) / STEP)
-    bins = passages(known, model, ("toxic",)).groupBy(step.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
+    judged = [passages(known.where(F.col("fold") == k), m, ("toxic",)).select("toxic", step.alias("bin")) for k, m in enumerate(others)]
+    bins = reduce(DataFrame.unionByName, judged).groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
     model.fit(sorted(((r[0] + 0.5) * STEP, r[1], r[2]) for r in bins))
     return model
 
