@@ -61,7 +61,7 @@ def topic_words(docs: DataFrame, n: int = TOPICS) -> list[str]:
 def topic(text: Column, words: list[str]) -> Column:
     """The first of the topic words that the text holds."""
     found = F.try_element_at(F.array_intersect(F.array(*map(F.lit, words)), _distinct_words(text)), F.lit(1)) if words else F.lit(None)
-    return F.when(tokens(text) == 0, "empty").otherwise(F.coalesce(found.cast("string"), F.lit("other")))
+    return F.when(~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), "empty").otherwise(F.coalesce(found.cast("string"), F.lit("other")))
 
 
 def cells(docs: DataFrame) -> DataFrame:
