@@ -6,14 +6,11 @@ hashes of texts, and columns are carried as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language, mixing, near_dedup, pii
-from .common import materialise, prepare, table
+from .common import materialise, table
 
 #: A text whose mean out-of-place distance to the nearest language is beyond this share of the greatest possible
 #: has next to no n-grams in common with any learned language.
@@ -30,16 +27,10 @@ def _without(docs: DataFrame, key, gone: DataFrame) -> DataFrame:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents teach; texts without a letter, or like none, go."""
-    prepare(spark)
-    learned = spark.sparkContext.broadcast(language.Profiles(language.learn(docs)))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            judged = [learned.value.judge(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != language.UNKNOWN and far <= TOO_FAR for lang, _, far in judged], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row_")
+    judged = language.predict(docs.select("text", row), language.learn(docs), keep=("_row_",))
+    kept = judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("distance") <= TOO_FAR))
+    return kept.select(*(F.col(f"_row_.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

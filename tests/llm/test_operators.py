@@ -493,3 +493,46 @@ def test_mixing_that_no_weights_can_meet(spark):
     share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
     done = mixing.rake(cells, {"source": share(a=0.9, b=0.1), "lang": share(en=0.5, de=0.5)}).collect()
     assert all(r["miss"] > 0.1 for r in done)
+
+
+def profile(texts, top=300):
+    """The most frequent n-grams of 1 to 3 letters and gaps, as strings: ties in the order of the packed codes."""
+    n = {}
+    for text_ in texts:
+        t = "".join(c if c.isalpha() else " " for c in text_.lower())
+        t = " " + " ".join(t.split()) + " " if t.strip() else ""
+        for size in (1, 2, 3):
+            for i in range(len(t) - size + 1):
+                g = t[i : i + size]
+                if g != " ":
+                    n[g] = n.get(g, 0) + 1
+    code = lambda g: [(1 << 21) - 1] * (3 - len(g)) + [0 if c == " " else ord(c) for c in g]
+    return sorted(n, key=lambda g: (-n[g], code(g)))[:top]
+
+
+@pytest.mark.parametrize(("languages", "letters"), [(2000, 1 << 18), (2, 50)])
+def test_language_as_plain_python(spark, monkeypatch, languages, letters):
+    from graphloom.llm import language
+
+    monkeypatch.setattr(language, "LANGUAGES", languages)
+    monkeypatch.setattr(language, "SLICE", letters)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()] + [(900, None, "en"), (901, "12 - 34", "de"), (902, "tiny", None), (903, "Zu\u00df \u0130x", "xx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by = {}
+    for _, t, lang in rows:
+        if lang and t:
+            by.setdefault(lang, []).append(t)
+    ranks = {}
+    for lang, texts in by.items():
+        p = profile(texts)
+        if p:
+            ranks[lang] = {g: k for k, g in enumerate(p)}
+    assert len(ranks) > 2
+    for r in language.predict(frame, language.learn(frame), keep=("doc_id",)).collect():
+        own = profile([next(t for i, t, _ in rows if i == r["doc_id"]) or ""])
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        far = sorted((sum(abs(x[g] - k) if g in x else 300 for k, g in enumerate(own)) / (300 * len(own)), lang) for lang, x in ranks.items())
+        assert r["lang_pred"] == far[0][1] and r["distance"] == pytest.approx(far[0][0]) and r["score"] == pytest.approx(far[1][0] / (far[0][0] + far[1][0]))
