@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
+import numpy as np
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
@@ -17,7 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation none"
+    " a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: A start tag in the value ends an open element of the key, if that is the innermost of its kind and scope.
 _ENDED_BY = {
@@ -116,9 +120,6 @@ def kind(node: Node) -> tuple[str, str]:
 class Matcher:
     """Simple tree matching: the largest order-preserving match of two trees, roots matched, remembered by form."""
 
-    #: Beyond this many pairs of children, equal ends are matched first and the rest in order.
-    PAIRS = 10_000
-
     def __init__(self):
         self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
@@ -136,12 +137,21 @@ class Matcher:
                 self.known[key] = (self._size(x), [(i, i) for i in range(len(xs))])
                 todo.pop()
                 continue
-            pairs = self._candidates(xs, ys)
-            open_pairs = [(xs[i], ys[j]) for i, j in pairs if (xs[i].shape, ys[j].shape) not in self.known]
+            # Equal subtrees at either end can be no better matched than with each other.
+            most = min(len(xs), len(ys))
+            head = next((k for k in range(most) if xs[k].shape != ys[k].shape), most)
+            tail = next((k for k in range(most - head) if xs[-1 - k].shape != ys[-1 - k].shape), most - head)
+            left, right = ({n.shape: n for n in part[head : len(part) - tail]} for part in (xs, ys))
+            open_pairs = [(m, n) for m in left.values() for n in right.values() if kind(m) == kind(n) and (m.shape, n.shape) not in self.known]
             if open_pairs:
                 todo += open_pairs
                 continue
-            self.known[key] = self._best(xs, ys, pairs)
+            worth = np.array([[self.known[m.shape, n.shape][0] if kind(m) == kind(n) else 0 for n in right.values()] for m in left.values()], np.int64).reshape(len(left), len(right))
+            rows, columns = (_places(of, part[head : len(part) - tail]) for of, part in ((left, xs), (right, ys)))
+            size, middle = self._best(worth, np.array(rows, np.int64), np.array(columns, np.int64))
+            ends = [(k, k) for k in range(head)], [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
+            size += sum(self._size(xs[i]) for i, _ in (*ends[0], *ends[1]))
+            self.known[key] = (1 + size, [*ends[0], *((i + head, j + head) for i, j in middle), *ends[1]])
             todo.pop()
         return self.known[a.shape, b.shape]
 
@@ -153,47 +163,44 @@ class Matcher:
             stack += stack.pop().elements()
         return n
 
-    def _candidates(self, xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
-        if len(xs) * len(ys) <= self.PAIRS:
-            kinds = [kind(y) for y in ys]
-            return [(i, j) for i, x in enumerate(xs) for k in (kind(x),) for j in range(len(ys)) if kinds[j] == k]
-        out, j = [], 0
-        head = next((k for k, (x, y) in enumerate(zip(xs, ys, strict=False)) if kind(x) != kind(y)), min(len(xs), len(ys)))
-        tail = next((k for k, (x, y) in enumerate(zip(reversed(xs[head:]), reversed(ys[head:]), strict=False)) if kind(x) != kind(y)), min(len(xs), len(ys)) - head)
-        out = [(k, k) for k in range(head)]
-        at: dict[tuple[str, str], list[int]] = {}
-        for j in range(len(ys) - tail - 1, head - 1, -1):
-            at.setdefault(kind(ys[j]), []).append(j)
-        last = head - 1
-        for i in range(head, len(xs) - tail):
-            places = at.get(kind(xs[i]), [])
-            while places and places[-1] <= last:
-                places.pop()
-            if places:
-                last = places.pop()
-                out.append((i, last))
-        return out + [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
-
-    def _best(self, xs: list[Node], ys: list[Node], pairs: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
-        worth = {(i, j): self.known[xs[i].shape, ys[j].shape][0] for i, j in pairs}
-        if len(xs) * len(ys) > self.PAIRS:
-            return 1 + sum(worth.values()), pairs
-        rows = [[0] * (len(ys) + 1)]
-        for i in range(len(xs)):
-            last, row = rows[-1], [0]
-            for j in range(len(ys)):
-                row.append(max(last[j + 1], row[j], last[j] + worth.get((i, j), 0)))
-            rows.append(row)
-        out, i, j = [], len(xs), len(ys)
+    @staticmethod
+    def _best(worth: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+        """The heaviest order-preserving match, ``worth[rows[i], columns[j]]`` for a pair, and its pairs.
+
+        Only every so-many-th row of the table is kept, and those between are made anew on the way back.
+        """
+        n, m = len(rows), len(columns)
+        if not n or not m:
+            return 0, []
+
+        def after(last: np.ndarray, i: int) -> np.ndarray:
+            row = np.empty(m + 1, np.int64)
+            row[0] = 0
+            np.maximum.accumulate(np.maximum(last[1:], last[:-1] + worth[rows[i]][columns]), out=row[1:])
+            return row
+
+        step = max(1, math.isqrt(n))
+        row, kept = np.zeros(m + 1, np.int64), []
+        for i in range(n):
+            if i % step == 0:
+                kept.append(row)
+            row = after(row, i)
+        total, out, i, j = int(row[-1]), [], n, m
         while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((i, j))
-        return 1 + rows[-1][-1], out[::-1]
+            begin = (i - 1) // step * step
+            held = [kept[begin // step]]
+            for k in range(begin, i):
+                held.append(after(held[-1], k))
+            while i > begin and j:
+                here, above = held[i - begin], held[i - begin - 1]
+                if here[j] == above[j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return total, out[::-1]
 
     def align(self, a: Node, b: Node) -> dict[int, Node]:
         """id of each matched node of ``b`` -> its node of ``a``."""
@@ -205,3 +212,8 @@ class Matcher:
                 out[id(ys[j])] = xs[i]
                 stack.append((xs[i], ys[j]))
         return out
+
+
+def _places(of: dict[int, Node], part: list[Node]) -> list[int]:
+    at = {shape: k for k, shape in enumerate(of)}
+    return [at[n.shape] for n in part]

@@ -3,8 +3,8 @@
 Pages of one host are aligned in groups: every page's DOM tree is matched with the group's first by simple tree
 matching. A text that stands at one matched node in most of the group's different articles is template; varying text
 is a slot. Pages with the same article text (that of their named article, else all of the page's) count once. The
-slot region that holds most of the varying text is the content, unless pages name it themselves (``article``,
-``main``). Elements that are no article by their tag, class, id or role go in any case: menus, headers, footers,
+slot region that holds most of the varying text is the content; a named article (``article``, ``main``) that holds it or
+lies within it gives its bounds, one elsewhere on the page (a teaser) does not. Elements that are no article by their tag, class, id or role go in any case: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 A host's pages are dealt into groups of about ``GROUP`` by a hash of the page, so a hot host is many groups, each
@@ -39,14 +39,28 @@ MOST = 0.6
 BROADCAST_HOSTS = 20_000
 
 _DROPPED = frozenset(
-    "head script style noscript template nav header footer aside form button select option input textarea iframe object embed svg math canvas audio video map menu dialog datalist title link meta".split()
+    "head script style noscript template nav header footer aside form button select option input textarea iframe object embed svg canvas audio video map menu dialog datalist title link meta".split()
 )
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager"
-    r"|header|masthead|footer|foot|sidebars?|side|widgets?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?"
-    r"|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|search|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
+#: Names of what is no article, as a whole class or id, or as its first or last part.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements banner banners sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs"
+    " pagination pager masthead footer sidebar sidebars widget widgets cookie cookies consent gdpr popup popups modal modals overlay overlays comments commentlist disqus newsletter newsletters toolbar".split()
 )
+#: Names that an article's own parts can have too: as a whole, or before one of the second words.
+_WEAK = frozenset(
+    "header foot side notice notices notification notifications alert alerts comment reply replies respond share sharing social related recommended subscribe subscription signup login search skip hidden".split()
+)
+_PARTS = frozenset("bar block box button buttons container form icons links link list nav panel posts articles stories section widget wrapper area content text message input field item items".split())
+
+
+def _named_out(names: str) -> bool:
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if parts and (name in _WEAK or parts[0] in _NAMES or parts[-1] in _NAMES or (parts[0] in _WEAK and len(parts) > 1 and parts[-1] in _PARTS and parts[0] != "hidden")):
+            return True
+    return False
+
+
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 _KEPT = frozenset(("article", "main", "body", "html", "#root"))
 
@@ -61,7 +75,7 @@ def dropped(node: Node) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", node.attributes) or re.search(r"display\s*:\s*none", node.attributes):
         return True
-    return bool(_NAMES.search(node.attribute("class", "id")))
+    return _named_out(node.attribute("class", "id"))
 
 
 class Block:
@@ -132,7 +146,8 @@ class Page:
     def __init__(self, text: str | None):
         self.root = parse(text) if text else Node("#root")
         found = blocks(self.root)
-        menus = _lists_of_links(found)
+        # a list of links is a menu, unless it stands in an article
+        menus = _lists_of_links([b for b in found if not any(n.tag == "article" or "articleBody" in n.attributes for n in _up(b.holder))])
         self.blocks = [b for b in found if not (menus and any(id(n) in menus for n in _up(b.holder)))]
 
 
@@ -170,7 +185,8 @@ def _mass(found: list[Block], to=lambda n: n) -> Counter:
 
 def extract_group(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
-    parsed = [Page(p) for p in pages]
+    read: dict[str | None, Page] = {p: Page(p) for p in dict.fromkeys(pages)}
+    parsed = [read[p] for p in pages]
     first: dict[str, int] = {}
     for k, p in enumerate(pages):
         if p:
@@ -217,16 +233,17 @@ def _constant(block: Block, aligned: dict[int, Node], told: dict[int, Counter],
 
 
 def _content(found: list[Block], root: Node, aligned: dict[int, Node], region: Node | None) -> list[Block]:
-    """Blocks within the named article, else within the group's region, else within the page's own."""
+    """Blocks within the region that the aligned trees give, widened or narrowed to a named article that holds it or
+    lies within; without a region, within the named article, else within the page's own region."""
     if not found:
         return found
     mass = _mass(found)
-    if named := _named(found, mass):
+    inside = [b for b in found if any(aligned.get(id(n)) is region for n in _up(b.holder))] if region is not None else []
+    named = _named(found, mass)
+    if named and (not inside or {id(b) for b in named} & {id(b) for b in inside}):
         return named
-    if region is not None:
-        inside = [b for b in found if any(aligned.get(id(n)) is region for n in _up(b.holder))]
-        if inside:
-            return inside
+    if inside:
+        return inside
     own = _region(mass, root, lambda n: n.elements())
     return [b for b in found if any(n is own for n in _up(b.holder))]
 

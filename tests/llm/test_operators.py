@@ -536,3 +536,60 @@ def test_language_as_plain_python(spark, monkeypatch, languages, letters):
             continue
         far = sorted((sum(abs(x[g] - k) if g in x else 300 for k, g in enumerate(own)) / (300 * len(own)), lang) for lang, x in ranks.items())
         assert r["lang_pred"] == far[0][1] and r["distance"] == pytest.approx(far[0][0]) and r["score"] == pytest.approx(far[1][0] / (far[0][0] + far[1][0]))
+
+
+def test_tree_matching_by_recursion():
+    from functools import lru_cache
+
+    rng = random.Random(31)
+
+    def tree(depth):
+        return (rng.choice("ab"), tuple(tree(depth - 1) for _ in range(rng.randrange(4))) if depth else ())
+
+    def markup(t):
+        return f"<div class={t[0]}>" + "".join(map(markup, t[1])) + "</div>"
+
+    @lru_cache(None)
+    def slow(x, y):
+        if x[0] != y[0]:
+            return 0
+        best = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, p in enumerate(x[1]):
+            for j, q in enumerate(y[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + slow(p, q))
+        return 1 + best[-1][-1]
+
+    for _ in range(80):
+        x, y = ("a", tree(3)[1]), ("a", tree(3)[1])
+        size, pairs = dom.Matcher().match(dom.parse(markup(x)).elements()[0], dom.parse(markup(y)).elements()[0])
+        assert size == slow(x, y)
+        assert 1 + sum(slow(x[1][i], y[1][j]) for i, j in pairs) == size and pairs == sorted(set(pairs))
+
+
+def test_long_flat_pages_are_matched_as_short_ones():
+    row = lambda k, n: f"<p>{k} {n}</p>" if k % 3 else f"<ul><li>{k}</li></ul>"
+    a = dom.parse("<div>" + "".join(row(k, "x") for k in range(400)) + "</div>").elements()[0]
+    b = dom.parse("<div>" + "".join(row(k, "y") for k in range(0, 500) if k % 5) + "</div>").elements()[0]
+    kinds = [[n.tag for n in t.elements()] for t in (a, b)]
+    best = [[0] * (len(kinds[1]) + 1) for _ in range(len(kinds[0]) + 1)]
+    for i, x in enumerate(kinds[0]):
+        for j, y in enumerate(kinds[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y) * (1 if x == "p" else 2))
+    assert dom.Matcher().match(a, b)[0] == 1 + best[-1][-1]
+
+
+def test_an_article_keeps_all_its_parts():
+    page = (
+        "<html><body><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><div class='article-header'>Top</div><article><h1>Title {0}</h1>"
+        "<p>As <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> shows.</p><div class='related-work'><p>Earlier work {0}</p></div>"
+        "<ul><li><a href=r1>First source {0}</a></li><li><a href=r2>Second source {0}</a></li></ul><table><tr><td>cell {0}</td><td>b</td></tr></table>"
+        "<div class='related-posts'>More posts</div><div class='share-buttons'>Share</div><div id='comments'>Nice</div></article><footer>End</footer></body></html>"
+    )
+    want = "Title {0}\nAs x={0} shows.\nEarlier work {0}\nFirst source {0}\nSecond source {0}\ncell {0}\nb"
+    assert extraction.extract_group([page.format(n) for n in (7, 8)]) == [want.format(n) for n in (7, 8)]
+
+
+def test_teasers_do_not_hide_what_the_trees_find():
+    page = "<html><body><div class=top>Menu</div><div class=story><p>{0} begins the long story of this page with many words</p><p>{0} ends it after many more words</p></div><div class=more><article>Teaser</article></div></body></html>"
+    got = extraction.extract_group([page.format(n) for n in ("Ann", "Bob", "Cid", "Dan")])
+    assert got[1] == "Bob begins the long story of this page with many words\nBob ends it after many more words"
