@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Verbs of routes, and those that Python decorators know besides.
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+MORE = ("trace", "connect")
+# What scripts call the thing that routes are registered on.
+RECEIVERS = ("plugin", "fastify", "app", "server", "router")
 #: Lines below a decorator in which its function must begin.
 REACH = 11
 
@@ -28,24 +32,55 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+_MARK = re.compile(rf"^[ \t]*@[\w.]+\.({'|'.join((*VERBS, *MORE))}|route)\s*\(\s*[rf]?[\"']([^\"']*)[\"']", re.M | re.I)
+_METHODS = re.compile(r"methods\s*=\s*[\[(]\s*[\"'](\w+)[\"']")
+_DEF = re.compile(r"\s*(?:async\s+)?def\s+(\w+)")
+
+
+def _line_after(code: str, begin: int) -> int:
+    """Number (from 0) of the line after the call whose parenthesis opens at or after ``begin``."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(code, begin):
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return code.count("\n", 0, m.end()) + 1
+    return code.count("\n") + 1
+
+
+def _python_routes(text: str) -> list[tuple[str, str, str, int]]:
+    """handler, method, route, line of the decorators of a source, of one line or more."""
+    code = re.sub(r"#[^\n]*", "", text.replace("\r\n", "\n"))
+    rows, begins, out = code.split("\n"), [0], []
+    for r in rows:
+        begins.append(begins[-1] + len(r) + 1)
+    for m in _MARK.finditer(code):
+        at = code.count("\n", 0, m.end(1))
+        k = _line_after(code, m.end(1))
+        named = _METHODS.search(code, m.end(), begins[min(k, len(rows))])
+        method = m[1].upper() if m[1].lower() != "route" else named[1].upper() if named else "GET"
+        last = k + REACH - 1
+        while k < min(last, len(rows)):
+            if rows[k].lstrip().startswith("@"):
+                k = _line_after(code, begins[k]) if "(" in rows[k] else k + 1
+            elif not rows[k].strip():
+                k += 1
+            else:
+                if (d := _DEF.match(rows[k])) and method.lower() in (*VERBS, *MORE):
+                    out.append((d[1], method, m[2], at + 1))
+                break
+    return out
+
+
 def decorated(files: DataFrame) -> DataFrame:
     """path, handler, method, route, line: Python routes by decorator. The handler is the first function within the
     next lines, if only blank lines and decorators stand between."""
-    code = lines(files.where(F.col("path").endswith(".py"))).withColumn("code", F.regexp_replace("text", "#.*$", ""))
-    verb = "|".join(VERBS)
-    routed = F.regexp_extract("code", rf"^\s*@[\w.]+\.({verb})\(\s*[rf]?[\"']([^\"']*)[\"']", 1)
-    flask = F.regexp_extract("code", r"^\s*@[\w.]+\.route\(\s*[rf]?[\"']([^\"']*)[\"']", 1)
-    path = F.when(routed != "", F.regexp_extract("code", rf"^\s*@[\w.]+\.(?:{verb})\(\s*[rf]?[\"']([^\"']*)[\"']", 1)).otherwise(flask)
-    named = F.regexp_extract("code", r"methods\s*=\s*[\[(]\s*[\"'](\w+)[\"']", 1)
-    is_flask = F.col("code").rlike(r"^\s*@[\w.]+\.route\(\s*[rf]?[\"']")
-    method = F.when(routed != "", F.upper(routed)).when(is_flask, F.when(named != "", F.upper(named)).otherwise("GET"))
-    marked = code.select("path", "line", "code", method.alias("method"), path.alias("route"))
-    solid = marked.where(~F.col("code").rlike(r"^\s*$") & ~(F.col("code").rlike(r"^\s*@") & F.col("method").isNull()))
-    body = solid.withColumn("is_def", F.col("code").rlike(r"^\s*(?:async\s+)?def\s+\w+"))
-    w = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    nearest = F.last(F.when(F.col("method").isNull(), F.struct("line", "is_def", "code")), ignorenulls=True).over(w)
-    found = body.withColumn("next", nearest).where(F.col("method").isNotNull() & F.col("next.is_def") & (F.col("next.line") - F.col("line") <= REACH))
-    out = found.select("path", F.regexp_extract("next.code", r"def\s+(\w+)", 1).alias("handler"), "method", "route", "line").where(F.lower("method").isin(*VERBS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *r) for path, text in zip(batch["path"], batch["text"], strict=True) for r in _python_routes(text or "")]
+            yield pd.DataFrame(rows, columns=["path", "handler", "method", "route", "line"])
+
+    out = files.where(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, "path string, handler string, method string, route string, line long")
     return first_of(out, ["path", "handler"], ["line"])
 
 
@@ -68,16 +103,17 @@ def falcon_methods(functions: DataFrame, classes: DataFrame) -> DataFrame:
 def scripted(files: DataFrame) -> DataFrame:
     """path, handler, method, route: ``app.get('/p', handler)`` in scripts, first of each handler."""
     ext = F.regexp_extract("path", r"\.(ts|tsx|js|jsx|mjs)$", 1)
-    pattern = rf"\b\w+\.({'|'.join(VERBS)})\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*(?:[\w.]+\s*,\s*)*([\w.]+)\s*\)"
+    # an options object may stand before the handler
+    pattern = rf"\b(?:{'|'.join(RECEIVERS)})\.((?i:{'|'.join(VERBS)}))\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*(?:,\s*\{{[^}}]*\}})?\s*,\s*(?:[\w.]+\s*,\s*)*([A-Za-z_][\w.]*)"
     hits = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "verb"), (2, "route"), (3, "handler"))))
     rows = files.where(ext != "").select("path", F.posexplode(hits).alias("n", "h"))
     rows = rows.select("path", "n", F.substring_index("h.handler", ".", -1).alias("handler"), F.upper("h.verb").alias("method"), F.col("h.route").alias("route"))
     return first_of(rows, ["path", "handler"], ["n"]).drop("n")
 
 
-_GO_NAMED = re.compile(r"\.(?:Method|Handle)\(\s*(?:http\.Method(\w+)|\"(\w+)\")\s*,\s*\"([^\"]*)\"\s*,\s*([\w.]+)")
-_GO_VERB = re.compile(r"\b(\w+)\.(Get|Post|Put|Patch|Delete|Head|Options|Connect|Trace|GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)")
-_GO_ANY = re.compile(r"\.(?:HandleFunc|Handle)\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)")
+_GO_NAMED = re.compile(r"\.(?:Method|Handle)\(\s*(?:http\.Method(\w+)|[\"`](\w+)[\"`])\s*,\s*[\"`]([^\"`]*)[\"`]\s*,\s*([\w.]+)")
+_GO_VERB = re.compile(r"\b(\w+)\.(Get|Post|Put|Patch|Delete|Head|Options|Connect|Trace|GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\(\s*[\"`]([^\"`]*)[\"`]\s*,\s*([\w.]+)")
+_GO_ANY = re.compile(r"\.(?:HandleFunc|Handle)\(\s*[\"`]([^\"`]*)[\"`]\s*,\s*([\w.]+)")
 
 
 def go(files: DataFrame) -> DataFrame:

@@ -11,10 +11,16 @@ from pyspark.sql.types import StringType
 
 # Extension -> language.
 LANGUAGES = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
-    "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp",
-    "hpp": "cpp", "cs": "csharp", "swift": "swift", "lua": "lua", "sql": "sql", "sh": "shell", "dart": "dart", "ex": "elixir", "exs": "elixir",
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "mjs": "javascript",
+    "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "rb": "ruby", "php": "php", "swift": "swift",
+    "cs": "csharp", "cpp": "cpp", "c": "c", "h": "cpp", "lua": "lua", "zig": "zig", "ex": "elixir", "exs": "elixir",
+    "hs": "haskell", "dart": "dart", "sh": "bash", "sql": "sql",
 }
+# Extensions of code files.
+CODE = (
+    "py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "go", "rs", "java", "kt", "scala", "groovy", "c", "h", "cpp", "cc", "cxx", "hpp",
+    "cs", "rb", "php", "swift", "lua", "zig", "ex", "exs", "hs", "dart", "sh", "bash", "tf", "hcl", "sql",
+)
 
 
 def basename(path: Column) -> Column:
@@ -40,7 +46,7 @@ def relative(path: Column, root: str) -> Column:
 
 def language(path: Column) -> Column:
     known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, F.lower(suffix(path))), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(known, suffix(path)), F.lit("unknown"))
 
 
 def symbol_name(raw: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Queries that are broadcast at once.
+BLOCK = 2048
 
 
 def terms(text: Column) -> Column:
@@ -46,13 +48,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def blocks(queries: DataFrame, key: str, size: int = BLOCK) -> list[DataFrame]:
+    """``queries`` in blocks of about ``size`` rows, each small enough to be broadcast; none if there are none."""
+    n = -(-queries.count() // size)
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries] * n
+
+
 def related(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """qid, id, score, rank: nearest vectors (id, v) to each query vector (qid, v), itself left out.
 
-    The queries are a stated, small set that the caller bounds; they are broadcast to the scan of the vectors.
+    The queries are broadcast to scans of the vectors, a block at a time; a task hands on its best ``top`` rows.
     """
-    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("v", "q")), F.col("id") != F.col("qid"))
-    return best(pairs.select("qid", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), top)
+    out = None
+    for block in blocks(queries, "qid") or [queries.limit(0)]:
+        pairs = vectors.join(F.broadcast(block.withColumnRenamed("v", "q")), F.col("id") != F.col("qid"))
+        found = best(pairs.select("qid", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), top)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def fused(lists: list[DataFrame], top: int) -> DataFrame:

@@ -28,8 +28,8 @@ def foundational(degree: DataFrame) -> DataFrame:
 
 def is_test(path):
     """The fixed tests by which a path is a test file's."""
-    p, base = F.lower(path), F.element_at(F.split(F.lower(path), "/"), -1)
-    return p.contains("/test/") | p.contains("/tests/") | p.contains("/__tests__/") | base.startswith("test_") | base.rlike(r"_test\.|\.test\.|\.spec\.")
+    p = F.lower(path)
+    return p.contains("/tests/") | p.contains("/test/") | p.startswith("test") | p.rlike(r"(?:_test\.py|_spec\.ts|[.](?:test|spec)\.[tj]s)$")
 
 
 def entries(metrics: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -60,13 +60,13 @@ def labelled(pairs: DataFrame, metrics: DataFrame, entry: DataFrame) -> DataFram
     return first.select("path", F.col("s.key")[0].alias("n")).join(roots.select("n", F.col("id").alias("seed")), "n").select("path", "seed")
 
 
-def adopted(pairs: DataFrame, metrics: DataFrame, label: DataFrame, rounds: int = 8) -> DataFrame:
+def adopted(pairs: DataFrame, metrics: DataFrame, label: DataFrame) -> DataFrame:
     """``label`` with the other usual files: by vote (a called file counts 2, a calling file 1, ties to the first
-    seed), in rounds that see the last round's result; what is left joins the largest cluster."""
+    seed), in rounds that see the last round's result, until one finds none; what is left joins the largest cluster."""
     usual = metrics.where(~F.col("is_foundational")).select("path")
     known = cut(label)
     both = pairs.select(F.col("sf").alias("path"), F.col("df").alias("other"), F.lit(2).alias("w")).unionByName(pairs.select(F.col("df").alias("path"), F.col("sf").alias("other"), F.lit(1).alias("w")))
-    for _ in range(rounds):
+    while True:
         orphans = usual.join(known, "path", "left_anti")
         votes = both.join(orphans, "path", "left_semi").join(known.select(F.col("path").alias("other"), "seed"), "other")
         won = votes.groupBy("path", "seed").agg(F.sum("w").alias("w")).groupBy("path").agg(F.min_by("seed", F.struct(-F.col("w"), "seed")).alias("seed"))
@@ -80,13 +80,15 @@ def adopted(pairs: DataFrame, metrics: DataFrame, label: DataFrame, rounds: int
 
 
 def slug(path):
-    return F.substring(F.regexp_replace(F.lower(path), "[^a-z0-9]+", "-"), 1, 64)
+    found = F.substring(F.regexp_replace(F.regexp_replace(F.lower(path), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 64)
+    return F.when(found == "", "cluster").otherwise(found)
 
 
 def clusters(label: DataFrame, metrics: DataFrame, depth: DataFrame) -> DataFrame:
-    """One row a cluster: id, sizes, depths (999 left out), mean in-degree, first ten files, order of display."""
+    """One row a cluster: id, number of files, depths (999 left out), mean in-degree. The foundational files are one
+    that lies beyond all depths."""
     rows = label.unionByName(metrics.where("is_foundational").select("path", F.lit("foundational").alias("seed"))).join(metrics, "path").join(depth, "path")
-    reached = F.when(F.col("depth") < UNREACHED, F.col("depth"))
+    reached = F.when((F.col("depth") < UNREACHED) & ~F.col("is_foundational"), F.col("depth"))
     out = rows.groupBy("seed").agg(
         F.count("*").alias("files"),
         F.coalesce(F.min(reached), F.lit(UNREACHED)).alias("min_depth"),
@@ -94,7 +96,7 @@ def clusters(label: DataFrame, metrics: DataFrame, depth: DataFrame) -> DataFram
         F.round(F.avg("indegree"), 4).alias("avg_indegree"),
         F.max("is_foundational").alias("is_foundational"),
     )
-    return out.withColumn("cluster_id", slug(F.col("seed")))
+    return out.join(unique_slugs(out.where("not is_foundational").select("seed")), "seed", "left").na.fill("foundational", ["cluster_id"])
 
 
 def entry_symbols(label: DataFrame, entry: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -115,10 +117,10 @@ def shared_dependencies(label: DataFrame, pairs: DataFrame, metrics: DataFrame)
 
 
 def unique_slugs(seeds: DataFrame) -> DataFrame:
-    """seed, cluster_id: slugs of seeds in order of path; repeated ones end in a number, counted from two."""
+    """seed, cluster_id: slugs of seeds in order of path; a repeated one's second is numbered one."""
     named = seeds.select("seed", slug(F.col("seed")).alias("base")).distinct()
-    n = F.row_number().over(Window.partitionBy("base").orderBy("seed"))
-    return named.withColumn("n", n).select("seed", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", F.substring("base", 1, 58), "n")).alias("cluster_id"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("seed")) - 1
+    return named.withColumn("n", n).select("seed", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("-", F.substring("base", 1, 58), "n")).alias("cluster_id"))
 
 
 def merged_by_overlap(members: DataFrame, least: float = 0.6) -> DataFrame:

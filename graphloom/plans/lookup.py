@@ -216,7 +216,7 @@ def q_event_cause(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts", "event_type")
     errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
     causes = events.where("event_type in ('signup', 'view')")
-    found = joins.preceding(errors, causes, ["user_id"], "ts", F.struct("ts", "event_id", "event_type"))
+    found = joins.preceding(errors, causes, ["user_id"], "ts", F.struct("ts", "event_id", "event_type"), slices=F.unix_date(F.to_date("ts")))
     return found.select("event_id", F.col("found.event_id").alias("cause_id"), F.col("found.event_type").alias("cause"))
 
 
@@ -322,9 +322,9 @@ def q_raw_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", scalars.symbol_name(F.col("raw")).alias("name"), scalars.inferred_label(F.col("raw")).alias("label"), scalars.line_label(F.col("at")).alias("line_number"))
 
 
-@query("select doc_id, cast(n + 1 as bigint) as line, length(l) as signs from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(0, len(string_split(text, chr(10))))) as n from documents where text is not null) where l like '%http%'")
+@query("select doc_id, cast(n + 1 as bigint) as line, length(l) as signs from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(0, len(string_split(text, chr(10))))) as n from documents where text is not null) where length(l) > 200")
 def q_line_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts as numbered lines, those that hold an address."""
+    """Texts as numbered lines, those of more than 200 signs."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l")).where(F.col("l").contains("http"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l")).where(F.length("l") > 200)
     return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), F.length("l").cast("long").alias("signs"))

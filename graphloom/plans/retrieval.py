@@ -37,25 +37,27 @@ def q_search_keyword(spark: SparkSession, sf: str) -> DataFrame:
 
 _KNN = """nn as materialized (select * from (select q.vec_id as qid, c.vec_id as id, round(list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])), 6) as score,
   cast(row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])), 6) desc, c.vec_id) as integer) as rank
-  from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id < 20) where rank <= {top})"""
+  from embeddings q join embeddings c on q.vec_id <> c.vec_id where {asked}) where rank <= {top})"""
 
 
-def _nearest(spark: SparkSession, sf: str, top: int) -> DataFrame:
+def _nearest(spark: SparkSession, sf: str, top: int, items: DataFrame | None = None) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 50, or that ``items`` (qid) name."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return search.related(vectors, vectors.where("id < 20").select(F.col("id").alias("qid"), "v"), top)
+    asked = vectors.select(F.col("id").alias("qid"), "v")
+    return search.related(vectors, asked.where("qid % 50 = 0") if items is None else asked.join(items.select("qid").distinct(), "qid"), top)
 
 
-@query(f"with {_KNN.format(top=5)} select qid, id, round(score, 4) as score, rank from nn")
+@query(f"with {_KNN.format(top=5, asked='q.vec_id % 50 = 0')} select qid, id, round(score, 4) as score, rank from nn")
 def q_find_related(spark: SparkSession, sf: str) -> DataFrame:
-    """Q22: chunks most like a result (a stated set of twenty), by cosine."""
+    """Q22: chunks most like a result, by cosine; results are the rows whose id is divisible by 50."""
     return _nearest(spark, sf, 5).select("qid", "id", F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"""{_bm25_sql(50)}, {_KNN.format(top=50)}, u as (select qid, id, rank from kw union all select qid, id, rank from nn), f as (select qid, id, round(sum(1.0 / (60 + rank)), 6) as score from u group by 1, 2)
+@query(f"""{_bm25_sql(50)}, {_KNN.format(top=50, asked='q.vec_id in (select item_id from benchmark)')}, u as (select qid, id, rank from kw union all select qid, id, rank from nn), f as (select qid, id, round(sum(1.0 / (60 + rank)), 6) as score from u group by 1, 2)
 select * from (select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as integer) as rank from f) where rank <= 10""")
 def q_search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword and vector lists fused by reciprocal ranks."""
-    return search.fused([search.bm25(_chunks(spark, sf), _asked(spark, sf), 50), _nearest(spark, sf, 50)], TOP)
+    return search.fused([search.bm25(_chunks(spark, sf), _asked(spark, sf), 50), _nearest(spark, sf, 50, _asked(spark, sf))], TOP)
 
 
 def _metrics_sql() -> str:
@@ -67,14 +69,19 @@ m as (select b.item_id as qid, round(coalesce(dcg / list_sum(list_transform(rang
 
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     asked, chunks = _asked(spark, sf), _chunks(spark, sf)
-    # A verbatim passage shares its rarest words; both texts meet on their first long word runs, then are compared.
+    # Passages of five words or more and the documents meet on their words two to five, then are compared; shorter
+    # ones, which have no such words, are broadcast in blocks to a scan of the documents.
     ranked = search.bm25(chunks, asked, TOP)
     head = lambda t: F.array_join(F.slice(F.split(t, " "), 2, 4), " ")
-    wanted = asked.select("qid", "text", head(F.col("text")).alias("g")).where("g <> ''")
+    long = F.size(F.split("text", " ")) >= 5
+    wanted = asked.where(long).select("qid", "text", head(F.col("text")).alias("g"))
     grams = chunks.select("id", F.split("text", r"[ \n]").alias("w"), F.col("text").alias("whole"))
     grams = grams.select("id", "whole", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(w) - 3)), i -> array_join(slice(w, i, 4), ' ')))")).alias("g"))
     near = grams.select("id", "g").join(wanted.select("qid", F.translate("g", "\n", " ").alias("g")), "g").select("qid", "id").distinct()
     relevant = near.join(asked.select("qid", F.col("text").alias("t")), "qid").join(chunks, "id").where(F.col("text").contains(F.col("t"))).select("qid", "id")
+    short = asked.where(~F.coalesce(long, F.lit(False)) & F.col("text").isNotNull()).select("qid", F.col("text").alias("t"))
+    for block in search.blocks(short, "qid"):
+        relevant = relevant.unionByName(chunks.join(F.broadcast(block), F.col("text").contains(F.col("t"))).select("qid", "id"))
     return evaluation.metrics(ranked, relevant, asked, TOP)
 
 

@@ -12,14 +12,14 @@ from .lookup import query
 
 _METRICS = """f as (select distinct path from sym), deg as (select f.path, cast(count(distinct fc.sf) as bigint) as indegree from f left join fc on fc.df = f.path group by f.path),
 met as materialized (select path, indegree, indegree >= greatest(3, floor((select count(*) from f) * 0.05)) as is_foundational from deg)"""
-_ENTRY = "ent as materialized (select distinct path from sym where http_method = 'POST' and line_number % 50 = 0 union select path from met where indegree = 0 and not is_foundational)"
+_ENTRY = "ent as materialized (select distinct path from sym where http_method <> '' union select path from met where indegree = 0 and not is_foundational)"
 
 
 def _files(spark: SparkSession, sf: str):
     pairs = cut(file_calls(spark, sf))
     known = symbols(spark, sf)
     metrics = cut(topology.foundational(topology.degrees(pairs, known.select("path").distinct())))
-    handlers = known.where("http_method = 'POST' and line_number % 50 = 0").select("path").distinct()
+    handlers = known.where("http_method <> ''").select("path").distinct()
     return pairs, metrics, cut(topology.entries(metrics, handlers))
 
 
@@ -29,13 +29,18 @@ def q_file_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf)[1]
 
 
-def _depth_sql(limit: int) -> str:
-    parts = ["l0 as materialized (select path as id from ent)"]
+def _depth_parts(limit: int) -> str:
+    """Tables d0 to d{limit}, and dep: path, depth."""
+    parts = ["d0 as materialized (select path as id from ent)"]
     for d in range(1, limit):
-        known = " union all ".join(f"select id from l{k}" for k in range(d))
-        parts.append(f"l{d} as materialized (select distinct df as id from fc join l{d - 1} l on l.id = sf where df not in ({known}))")
-    union = " union all ".join(f"select id, {d} as depth from l{d}" for d in range(limit))
-    return f"{TOPOLOGY_SQL}, {_METRICS}, {_ENTRY}, {', '.join(parts)}, a as ({union}) select f.path, cast(coalesce(a.depth, 999) as integer) as depth from f left join a on a.id = f.path"
+        known = " union all ".join(f"select id from d{k}" for k in range(d))
+        parts.append(f"d{d} as materialized (select distinct df as id from fc join d{d - 1} l on l.id = sf where df not in ({known}))")
+    union = " union all ".join(f"select id, {d} as depth from d{d}" for d in range(limit))
+    return f"{', '.join(parts)}, a as ({union}), dep as materialized (select f.path, cast(coalesce(a.depth, 999) as integer) as depth from f left join a on a.id = f.path)"
+
+
+def _depth_sql(limit: int) -> str:
+    return f"{TOPOLOGY_SQL}, {_METRICS}, {_ENTRY}, {_depth_parts(limit)} select path, depth from dep"
 
 
 @query(_depth_sql(20))
@@ -81,9 +86,13 @@ def q_cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     return topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry))
 
 
-@query(None)
+@query(f"""{_label_sql()}, {_adopt_sql(8)}, {_depth_parts(20)}, rows as (select path, seed from fin union all select path, 'foundational' from met where is_foundational),
+sl as (select seed, b, row_number() over (partition by b order by seed) - 1 as n from (select distinct seed, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(seed), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 64), ''), 'cluster') as b from fin))
+select rows.seed, cast(count(*) as bigint) as files, cast(coalesce(min(depth) filter (depth < 999 and not is_foundational), 999) as integer) as min_depth, cast(coalesce(max(depth) filter (depth < 999 and not is_foundational), 0) as integer) as max_depth,
+round(avg(indegree), 4) as avg_indegree, bool_or(is_foundational) as is_foundational, coalesce(max(case when n = 0 then b else substr(b, 1, 58) || '-' || n end), 'foundational') as cluster_id
+from rows join met using (path) join dep using (path) left join sl on sl.seed = rows.seed group by rows.seed""")
 def q_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The clusters with depths, mean in-degree and the foundational one."""
+    """The clusters with their ids, depths, mean in-degree, and the foundational one."""
     pairs, metrics, entry = _files(spark, sf)
     label = topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry))
     return topology.clusters(label, metrics, topology.depths(pairs, metrics, entry))
@@ -109,14 +118,14 @@ def q_shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return topology.shared_dependencies(label, pairs, metrics)
 
 
-_MEMBERS = "mem as (select distinct l_returnflag || l_linestatus || (l_quantity::int % 5) as cluster, l_suppkey as path from lineitem where l_quantity >= 40)"
+_MEMBERS = "mem as (select distinct l_returnflag || l_linestatus || (l_quantity::int % 5) as cluster, l_suppkey as path from lineitem)"
 
 
 @query(f"""with {_MEMBERS}, z as (select cluster, count(*) as n from mem group by 1), s as (select x.cluster as a, y.cluster as b, count(*) as k from mem x join mem y on x.path = y.path and x.cluster < y.cluster group by 1, 2)
 select a, b, round(k / (p.n + q.n - k), 6) as jaccard from s join z p on p.cluster = a join z q on q.cluster = b where k / (p.n + q.n - k) >= 0.6""")
 def q_overlapping_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of clusters whose members overlap by three fifths."""
-    item = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity >= 40")
+    item = spark.read.parquet(f"{sf}/lineitem.parquet")
     members = item.select(F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity").cast("int") % 5).cast("string")).alias("cluster"), F.col("l_suppkey").alias("path")).distinct()
     return topology.merged_by_overlap(members).withColumn("jaccard", F.round("jaccard", 6))
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import LANGUAGES, language, suffix
+from ..functions.scalars import CODE, language
 
 # Folders that are never read.
-IGNORED = (".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".mypy_cache", ".pytest_cache", "target", "vendor", ".tox", ".idea")
+IGNORED = (".git", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".mypy_cache", ".pytest_cache", "coverage", ".tox")
 
 
 def repository(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, text of the code files below ``root``: any folder named in ``IGNORED`` is left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = raw.select(path.alias("path"), "content")
-    kept = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(x) for x in IGNORED)))).where(suffix(F.col("path")).isin(*LANGUAGES))
-    return kept.withColumn("text", F.decode("content", "UTF-8"))
+    """path, content, text of the code files below ``root``: any folder named in ``IGNORED`` is left out.
+
+    Files of other extensions are not listed, and those in ignored folders are left out by their path before any byte
+    of them is read. Bytes that are not UTF-8 become replacement signs.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"?*.{{{','.join(CODE)}}}").load(root)
+    folders = "|".join(x.replace(".", "[.]") for x in IGNORED)
+    rows = raw.where(~F.col("_metadata.file_path").rlike(f"/(?:{folders})/"))
+    text = F.expr("make_valid_utf8(cast(content as string))")
+    return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content", text.alias("text"))
 
 
 def dominant_language(files: DataFrame) -> DataFrame:

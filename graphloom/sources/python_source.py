@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import uid
 from ..operators.writing import classified
-from ..session import ship
+from ..session import cut, ship
 
 FACTS = "path string, kind string, name string, line long, end_line long, label string, form string, owner string, target string"
 
@@ -171,11 +171,23 @@ def _classes(found: DataFrame, linked: DataFrame) -> DataFrame:
     return own.unionByName(other).groupBy("path", "name").agg(F.min(F.struct("far", "at", "class")).alias("s")).select("path", "name", "s.at", "s.class")
 
 
-def calls(found: DataFrame, heights: int = 4) -> DataFrame:
+def _above(up: DataFrame) -> DataFrame:
+    """at, class, to_at, to, far: every class above a class, through first bases, until nothing new is found."""
+    level = cut(up.withColumn("far", F.lit(1)))
+    every = level
+    while not level.isEmpty():
+        step = up.select(F.col("at").alias("to_at"), F.col("class").alias("to"), F.col("to_at").alias("n_at"), F.col("to").alias("n"))
+        higher = level.join(step, ["to_at", "to"]).select("at", "class", F.col("n_at").alias("to_at"), F.col("n").alias("to"), (F.col("far") + 1).alias("far"))
+        level = cut(higher.join(every, ["at", "class", "to_at", "to"], "left_anti").distinct())
+        every = every.unionByName(level)
+    return every
+
+
+def calls(found: DataFrame) -> DataFrame:
     """source_uid, target_uid, caller, callee, line_number, call_kind: every call whose target is known.
 
-    Free names are the file's own or imported; methods are looked for in the named class and then, ``heights`` times,
-    in its first bases.
+    Free names are the file's own or imported; methods are looked for in the named class and then in its
+    first bases, up to the last.
     """
     found = found.cache()
     linked = imports(found)
@@ -192,11 +204,10 @@ def calls(found: DataFrame, heights: int = 4) -> DataFrame:
     bases = found.where("kind = 'base'").select("path", F.col("name").alias("class"), F.col("target").alias("name"), "line")
     up = bases.join(classes.select("path", "name", F.col("at").alias("to_at"), F.col("class").alias("to")), ["path", "name"]).groupBy(F.col("path").alias("at"), "class").agg(F.min(F.struct("to_at", "to")).alias("s")).select("at", "class", "s.to_at", "s.to")
     typed = sites.where("form in ('method', 'super')").join(classes.select("path", F.col("name").alias("owner"), "at", "class"), ["path", "owner"])
-    level = typed.select("path", "caller", "line", "form", "target", "at", "class")
-    for far in range(heights):
-        here = level.where("form = 'method'") if far == 0 else level
-        found_calls = found_calls.unionByName(here.select("path", "caller", "line", "at", F.concat_ws(".", "class", "target").alias("name"), F.lit(far).alias("far")))
-        level = level.join(up, ["at", "class"]).select("path", "caller", "line", "form", "target", F.col("to_at").alias("at"), F.col("to").alias("class"))
+    above = _above(up)
+    own_class = typed.where("form = 'method'").select("path", "caller", "line", "at", F.concat_ws(".", "class", "target").alias("name"), F.lit(0).alias("far"))
+    higher = typed.join(above, ["at", "class"]).select("path", "caller", "line", F.col("to_at").alias("at"), F.concat_ws(".", "to", "target").alias("name"), "far")
+    found_calls = found_calls.unionByName(own_class).unionByName(higher)
     hit = found_calls.join(defs, ["at", "name"]).groupBy("path", "caller", "line", F.substring_index("name", ".", -1).alias("bare")).agg(F.min(F.struct("far", "at", "name", "def_line")).alias("t"))
     source = defs.select(F.col("at").alias("path"), F.col("name").alias("caller"), F.col("def_line").alias("caller_line"))
     out = hit.join(source, ["path", "caller"])

@@ -130,10 +130,14 @@ def is_arrow(documentation: Column) -> Column:
     return F.exists(documentation, lambda d: d.rlike(r"(?<![=!<>])=>"))
 
 
+#: A type's declaration at the beginning of a quoted piece of code.
+_DECLARED = r"```[a-z]*\s*(?:(?:export|declare|default|abstract|const)\s+)*(class|interface|enum|struct|trait|type|namespace)\b"
+
+
 def type_label(documentation: Column) -> Column:
-    """Class, Interface, Enum or Struct by the documented keyword; null for aliases; Class by default."""
-    word = F.regexp_extract(F.array_join(documentation, "\n"), r"(?:^|\s|`)(class|interface|enum|struct|type|namespace)\s", 1)
-    return F.when(word == "interface", "Interface").when(word == "enum", "Enum").when(word == "struct", "Struct").when(word.isin("type", "namespace"), None).otherwise("Class")
+    """Class, Interface, Enum or Struct by the first quoted declaration; null for aliases; Class without one."""
+    word = F.regexp_extract(F.array_join(documentation, "\n"), _DECLARED, 1)
+    return F.when(word.isin("interface", "trait"), "Interface").when(word == "enum", "Enum").when(word == "struct", "Struct").when(word.isin("type", "namespace"), None).otherwise("Class")
 
 
 def nodes(found: DataFrame, info: DataFrame) -> DataFrame:
@@ -194,7 +198,8 @@ def imports(found: DataFrame, lines: DataFrame, extra: DataFrame | None = None)
     if extra is not None:
         home = home.unionByName(extra.select("symbol", "path").withColumn("far", F.lit(1)))
     home = home.groupBy("symbol").agg(F.min_by("path", F.struct("far", "path")).alias("dst_path"))
-    looks = F.col("text").rlike(r"^\s*(?:import\b|from\b|export\b.*\bfrom\b|\"[^\"]+\"|\w+\s+\"[^\"]+\")|\brequire\(")
+    # import and from at the line's beginning, from before a quoted name, require, a line of an import block
+    looks = F.col("text").rlike(r"^\s*(?:import|from)\s|\bfrom\s+['\"]|require\s*\(|^\s*(?:[A-Za-z_]\w*\s+|\.\s+)?[\"`][^\"`]+[\"`]\s*$")
     refs = found.where("(roles & 1) = 0").select("symbol", F.col("doc").alias("path"), (F.col("range")[0] + 1).cast("long").alias("line")).join(lines, ["path", "line"]).where(looks)
     exact = refs.join(home, "symbol", "left")
     loose = exact.withColumn("bare", unversioned(F.col("symbol"))).join(home.select(F.col("symbol").alias("bare"), F.col("dst_path").alias("loose")), "bare", "left")

@@ -37,11 +37,11 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
 
 
 def call_graph(edges: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Call edges once for each pair of symbols (the first site), relations once for each source, target and kind."""
+    """Call edges once for each pair of symbols (the first site), relations once for each source, target and kind (the least metadata)."""
     pair = ["caller_file", "caller_symbol", "callee_file", "callee_symbol"]
     calls = edges.groupBy(*pair).agg(F.min(F.struct("call_site_line", "call_kind")).alias("s"))
     calls = calls.select(*pair, "s.call_kind", "s.call_site_line", F.lit(VERSION).alias("version"))
-    return calls, relations.groupBy("src", "dst", "kind").agg(F.first("metadata").alias("metadata"))
+    return calls, relations.groupBy("src", "dst", "kind").agg(F.from_json(F.min(F.to_json("metadata")), "map<string,string>").alias("metadata"))
 
 
 def save_index(chunks: DataFrame, path: str) -> None:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,8 +131,8 @@ def test_index(spark):
     p = "scip-x python pkg 1.0 "
     a = _field(1, b"a.py") + _occurrence([0, 4, 7], p + "a/run().", 1, [0, 0, 3, 0]) + _occurrence([2, 4, 8], p + "b/help().") + _occurrence([1, 14, 18], p + "b/help().") + _occurrence([0, 0, 1], "local 3", 1)
     b = _field(1, b"b.py") + _occurrence([0, 4, 8], p + "b/help().", 1, [0, 0, 1, 0]) + _occurrence([3, 6, 9], p + "b/Dog#", 1) + _occurrence([5, 6, 9], p + "b/Pet#", 1)
-    info = _field(3, _field(1, (p + "b/Dog#").encode()) + _field(3, b"class Dog") + _field(4, _field(1, (p + "b/Pet#").encode()) + _field(3, 1)))
-    info += _field(3, _field(1, (p + "b/Pet#").encode()) + _field(3, b"interface Pet"))
+    info = _field(3, _field(1, (p + "b/Dog#").encode()) + _field(3, b"```python\nclass Dog\n```") + _field(4, _field(1, (p + "b/Pet#").encode()) + _field(3, 1)))
+    info += _field(3, _field(1, (p + "b/Pet#").encode()) + _field(3, b"```ts\ninterface Pet\n```"))
     raw = spark.createDataFrame([(_field(2, a) + _field(2, b + info),), (b"\xff\xff",)], "content binary")
     found, symbols = scip.occurrences(raw), scip.symbols(raw)
     nodes = scip.nodes(found, symbols)
@@ -249,4 +251,62 @@ def test_slugs_are_unique(spark):
     from graphloom.operators import topology
 
     found = topology.unique_slugs(spark.createDataFrame([("/a/b.py",), ("/a-b.py",)], "seed string"))
-    assert sorted(r["cluster_id"] for r in found.collect()) == ["-a-b-py", "-a-b-py-2"]
+    assert sorted(r["cluster_id"] for r in found.collect()) == ["a-b-py", "a-b-py-1"]
+
+
+def test_equal_points_stay_apart(spark):
+    points = spark.createDataFrame([("a", 5), ("a", 5), ("a", 50)], "p string, line int")
+    spans = spark.createDataFrame([("a", 1, 9, 0, "f"), ("a", 4, 6, 1, "g")], "p string, s int, e int, seq int, name string")
+    found = joins.innermost(points, spans, ["p"], "line", "s", "e").collect()
+    assert sorted((r["line"], r["found"] and r["found"]["name"]) for r in found) == [(5, "g"), (5, "g"), (50, None)]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_preceding_in_slices(spark, strict):
+    rng = random.Random(4)
+    facts = spark.createDataFrame([(rng.choice("ab"), rng.randrange(400), k) for k in range(30)], "p string, line int, name int")
+    probes = spark.createDataFrame([(rng.choice("abc"), rng.randrange(400), k) for k in range(200)], "p string, line int, k int")
+    run = lambda **x: sorted((r["k"], r["found"] and r["found"]["name"]) for r in joins.preceding(probes, facts, ["p"], "line", F.struct("name"), strict, **x).collect())
+    assert run() == run(slices=F.floor(F.col("line") / 7))
+
+
+def test_routes_of_many_forms(spark):
+    rows = [
+        ("/r/a.py", '@app.get(\n    "/items/{id}",\n    response_model=Item,\n)\n# note\n@other(\n  1)\nasync def get_item(id):\n    pass\n\n@api.trace("/t")\ndef traced(): pass\n\n@app.route("/f",\n  methods=["PUT"])\ndef put_it(): pass\n@app.get("/none")\nx = 1\ndef far(): pass\n'),
+        ("/r/b.ts", "app.get('/x', { preHandler: [a] }, ctl.handler);\nfoo.get('/y', other);\nrouter.POST(`/z`, make)"),
+        ("/r/c.go", "r.Get(`/users`, getUsers)\nr.Method(`POST`, `/m`, h.Make)\nmux.HandleFunc(`/any`, any)"),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string")
+    assert {(r["handler"], r["method"], r["route"], r["line"]) for r in routes.decorated(df).collect()} == {("get_item", "GET", "/items/{id}", 1), ("traced", "TRACE", "/t", 11), ("put_it", "PUT", "/f", 14)}
+    assert {(r["handler"], r["method"], r["route"]) for r in routes.scripted(df).collect()} == {("handler", "GET", "/x"), ("make", "POST", "/z")}
+    assert {(r["handler"], r["method"], r["route"]) for r in routes.go(df).collect()} == {("getUsers", "GET", "/users"), ("Make", "POST", "/m"), ("any", "ANY", "/any")}
+
+
+def test_scan_of_odd_trees(spark, tmp_path):
+    for p, b in (("a.py", b"x = '\xff\xfe'\n"), ("b.zig", b"z"), ("c.tf", b"t"), ("d.pyi", b"no"), (".git/e.py", b"no"), ("coverage/f.py", b"no"), ("target/g.rs", b"yes"), ("h.h", b"h"), ("i.bash", b"b")):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b)
+    found = {r["path"].rpartition("/")[2]: (r["text"], r["lang"]) for r in files.repository(spark, str(tmp_path)).withColumn("lang", scalars.language(F.col("path"))).collect()}
+    assert set(found) == {"a.py", "b.zig", "c.tf", "g.rs", "h.h", "i.bash"}
+    assert found["a.py"][0] == "x = '\ufffd\ufffd'\n" and found["h.h"][1] == "cpp" and found["b.zig"][1] == "zig" and found["i.bash"][1] == "unknown"
+
+
+def test_types_imports_and_test_files(spark):
+    from graphloom.operators import topology
+
+    docs = [["A type of thing", "```ts\ninterface Foo\n```"], ["```rust\ntrait T\n```"], ["```ts\nexport type A = B\n```"], ["the enum of it"], ["```ts\nexport declare const enum E\n```"]]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d array<string>")
+    assert [r["t"] for r in df.orderBy("k").select(scip.type_label(F.col("d")).alias("t")).collect()] == ["Interface", "Interface", None, "Class", "Enum"]
+    paths = {"x/tests/a.py": True, "tests_of/b.py": True, "src/test_a.py": False, "src/a_spec.ts": True, "src/a_test.py": True, "src/a.test.js": True, "src/a_test.go": False, "src/a.spec.ts": True}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r["p"]: r["t"] for r in df.select("p", topology.is_test(F.col("p")).alias("t")).collect()} == paths
+    slugs = spark.createDataFrame([("/repo/app/m1.py",), ("/",)], "p string").select("p", topology.slug(F.col("p")).alias("s"))
+    assert {r["p"]: r["s"] for r in slugs.collect()} == {"/repo/app/m1.py": "repo-app-m1-py", "/": "cluster"}
+
+
+def test_methods_of_far_bases(spark):
+    from graphloom.sources import python_source
+
+    text = "class A:\n    def go(self): pass\n" + "".join(f"class {b}({a}): pass\n" for a, b in zip("ABCDEFG", "BCDEFGH")) + "class L(M): pass\nclass M(L): pass\ndef run():\n    x = H()\n    H.go(x)\n"
+    found = python_source.facts(spark.createDataFrame([("m.py", text)], "path string, text string"))
+    assert ("run", "A.go") in {(r["caller"], r["callee"]) for r in python_source.calls(found).collect()}
