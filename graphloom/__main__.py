@@ -27,9 +27,11 @@ def _parser() -> argparse.ArgumentParser:
     command("status")
     command("search", "query", top=10)
     command("trace", "symbol", direction="callees", depth=3, file="")
+    command("trace-report", "symbol", direction="callees", depth=3, file="")
     command("who-calls", "symbol", depth=1)
     command("find-path", "start", "goal", hops=15)
     command("dependencies", "file", direction="imports", depth=2)
+    command("dependencies-report", "file", direction="imports", depth=2)
     command("context", "what")
     command("list-symbols", "file")
     command("entry-points", kind="all")

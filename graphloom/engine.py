@@ -53,7 +53,7 @@ class CodeGraph:
     @cached_property
     def _version(self) -> str:
         known = self._read(f"{self.store}/versions")
-        last = known.orderBy(F.desc("n")).first() if known is not None else None
+        last = known.orderBy(F.desc("n"), F.desc("name")).first() if known is not None else None
         if last is None:
             raise NotIndexed(self.store)
         return last["name"]
@@ -175,6 +175,24 @@ class CodeGraph:
             raise ValueError(f"direction is callees or callers, not {direction}")
         return self._walk(direction, self._symbol(symbol, file), min(max(depth, 1), TRACE_DEPTH), 30, EDGES_SHOWN)
 
+    def trace_report(self, symbol: str, direction: str = "callees", depth: int = 3, file: str = "") -> dict:
+        """What :meth:`trace` finds from the first symbol of a name, or from the one whose path holds ``file``: root,
+        found, chain (a hundred rows at most), truncated, and other symbols of the name as alternatives. For a name
+        that no symbol has, the symbols of the file it means as candidates."""
+        roots = self.resolve_symbol(symbol).orderBy("n").collect()
+        if not roots:
+            near = [r.asDict() for r in self.file_candidates(symbol).collect()]
+            more = {"candidates": near, "message": "No symbol has this name; these are in the file that it means."} if near else {}
+            return {"root": symbol, "found": False, "chain": [], **more}
+        root = next((r for r in roots if file and file in r["path"]), roots[0])
+        if direction not in ("callees", "callers"):
+            raise ValueError(f"direction is callees or callers, not {direction}")
+        chain = [r.asDict() for r in self._walk(direction, root["uid"], min(max(depth, 1), TRACE_DEPTH), 30, EDGES_SHOWN).collect()]
+        out = {"root": root["name"], "root_file": root["path"], "root_line": root["line_number"], "direction": direction, "found": True, "chain": chain, "truncated": len(chain) >= EDGES_SHOWN}
+        if others := [{"name": r["name"], "file": r["path"], "line": r["line_number"]} for r in roots if r["uid"] != root["uid"]]:
+            out |= {"alternatives": others[:5], "note": "Several symbols have this name; a part of the path as file chooses among them."}
+        return out
+
     def who_calls(self, symbol: str, depth: int = 1) -> DataFrame:
         """All callers up to a depth, without caps; src is the callee."""
         return self._walk("callers", self._symbol(symbol), max(depth, 1), None, None)
@@ -192,6 +210,11 @@ class CodeGraph:
         start = self._root(self._file(file))
         return build.dependencies(start, expand.traverse(links, start, min(max(depth, 1), FILE_DEPTH)), EDGES_SHOWN)
 
+    def dependencies_report(self, file: str, direction: str = "imports", depth: int = 2) -> dict:
+        """What :meth:`dependencies` finds: file, direction, depth, deps (a hundred at most), dep_count, truncated."""
+        deps = [r.asDict() for r in self.dependencies(file, direction, depth).collect()]
+        return {"file": self._file(file), "direction": direction, "depth": min(max(depth, 1), FILE_DEPTH), "deps": deps, "dep_count": len(deps), "truncated": len(deps) >= EDGES_SHOWN}
+
     def execution_chain(self, symbol: str, depth: int = 4, file: str = "") -> DataFrame:
         """Every call reached from a symbol, in order."""
         return self._walk("callees", self._symbol(symbol, file), depth, None, None)
@@ -238,7 +261,8 @@ class CodeGraph:
 
     def entry_points(self, kind: str = "all") -> DataFrame:
         """kind, path, symbols: files of routes (http), of dispatched tasks (tasks) and entries of clusters
-        (topology), with their first five symbols; fifty rows."""
+        (topology), with their first five symbols; fifty rows, and a row of kind ``truncation_notice`` if there are
+        more. Without any of them, all files at depth 0 that nobody calls (indegree_zero)."""
         known = self.table("nodes")
         tasks = self.table("edges").where("call_kind = 'celery_dispatch'").select(F.col("target_uid").alias("uid"))
         sets = {
@@ -253,10 +277,17 @@ class CodeGraph:
                 every = part if every is None else every.unionByName(part)
         if every is None:
             raise ValueError(f"kind is all, {', '.join(sets)}; not {kind}")
+        every = cut(every)
+        total = every.count()
+        if kind == "all" and not total:
+            every = self.table("topology").where("depth = 0 and indegree = 0").select("path", F.lit("indegree_zero").alias("kind"))
         shown = every.orderBy("kind", "path").limit(ENTRIES)
         n = F.row_number().over(Window.partitionBy("path").orderBy("line_number", "name"))
         top = known.join(shown, "path", "left_semi").withColumn("n", n).where("n <= 5").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("s"))
-        return shown.join(top, "path", "left").select("kind", "path", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("symbols")).orderBy("kind", "path")
+        out = shown.join(top, "path", "left").select("kind", "path", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("symbols"))
+        if total > ENTRIES:
+            out = out.unionByName(self._root("-").select(F.lit("truncation_notice").alias("kind"), F.lit("").alias("path"), F.lit(f"{ENTRIES} of {total}").alias("symbols")))
+        return out.orderBy(F.col("kind") == "truncation_notice", "kind", "path")
 
     def status(self) -> DataFrame:
         """what, name, n: nodes by label, edges by relation, the twenty first clusters, the five largest communities."""

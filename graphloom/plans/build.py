@@ -65,8 +65,8 @@ def _from_index(indexes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _from_syntax(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, judged = python_source.graph(files)
-    linked = python_source.imports(python_source.facts(files)).groupBy("src_path", "dst_path").agg(F.min("line").alias("line_number"))
+    nodes, judged, linked = python_source.graph(files)
+    linked = linked.groupBy("src_path", "dst_path").agg(F.min("line").alias("line_number"))
     return nodes, judged.select("source_uid", "target_uid", "relation", "line_number"), linked
 
 

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import language
 from ..model import uid
 from ..operators.writing import classified
 from ..session import cut, ship
+from . import braced_source
 
 FACTS = "path string, kind string, name string, line long, end_line long, label string, form string, owner string, target string"
 
@@ -152,15 +154,29 @@ def facts(files: DataFrame) -> DataFrame:
 
 def nodes(found: DataFrame) -> DataFrame:
     d = found.where("kind = 'def'")
-    return d.select(uid(F.col("name"), F.col("path"), F.col("line")).alias("uid"), "label", "name", "path", F.col("line").alias("line_number"), "end_line", F.lit("python").alias("lang"))
+    return d.select(uid(F.col("name"), F.col("path"), F.col("line")).alias("uid"), "label", "name", "path", F.col("line").alias("line_number"), "end_line", language(F.col("path")).alias("lang"))
+
+
+def _family(path):
+    """Files that can import each other."""
+    return F.when(path.endswith(".py"), "python").when(path.endswith(".go"), "go").otherwise("script")
+
+
+def _module(path):
+    """The last name by which a file is imported: Go packages are folders, an index file stands for its folder."""
+    stem, folder = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.when(path.endswith(".go") | ((_family(path) == "script") & (stem == "index")), folder).otherwise(stem)
 
 
 def imports(found: DataFrame) -> DataFrame:
-    """src_path, dst_path, name, owner, form: imports of modules that are among the files, by their last name."""
-    modules = found.select("path").distinct().select("path", F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("stem"))
-    modules = modules.groupBy("stem").agg(F.max("path").alias("dst_path"))
-    rows = found.where("kind = 'import'").withColumn("stem", F.substring_index("target", ".", -1))
-    return rows.join(modules, "stem").where("path <> dst_path").select(F.col("path").alias("src_path"), "dst_path", "name", "owner", "form", "line")
+    """src_path, dst_path, name, owner, form: imports of modules that are among the files, by their last name. Of
+    files of one name the last is meant, of a Go package all."""
+    at = F.col("path")
+    modules = found.select("path").distinct().select(_family(at).alias("family"), _module(at).alias("stem"), "path")
+    one = modules.where("family <> 'go'").groupBy("family", "stem").agg(F.max("path").alias("dst_path"))
+    modules = one.unionByName(modules.where("family = 'go'").withColumnRenamed("path", "dst_path"))
+    rows = found.where("kind = 'import'").withColumns({"stem": F.substring_index("target", ".", -1), "family": _family(at)})
+    return rows.join(modules, ["family", "stem"]).where("path <> dst_path").select(F.col("path").alias("src_path"), "dst_path", "name", "owner", "form", "line")
 
 
 def _classes(found: DataFrame, linked: DataFrame) -> DataFrame:
@@ -189,7 +205,7 @@ def calls(found: DataFrame) -> DataFrame:
     Free names are the file's own or imported; methods are looked for in the named class and then in its
     first bases, up to the last.
     """
-    found = found.cache()
+    found = cut(found)
     linked = imports(found)
     classes = _classes(found, linked)
     defs = found.where("kind = 'def'").select(F.col("path").alias("at"), "name", "label", F.col("line").alias("def_line"))
@@ -200,7 +216,11 @@ def calls(found: DataFrame) -> DataFrame:
     other = sites.where("form = 'name'").join(names, ["path", "target"]).select("path", "caller", "line", "at", "name", F.lit(1).alias("far"))
     modules = linked.where("form = 'module'").select(F.col("src_path").alias("path"), F.col("name").alias("owner"), F.col("dst_path").alias("at"))
     through = sites.where("form in ('module', 'method')").join(modules, ["path", "owner"]).select("path", "caller", "line", "at", F.col("target").alias("name"), F.lit(0).alias("far"))
-    found_calls = own.unionByName(other).unionByName(through)
+    # names of a Go package are known in all its files
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "").alias("folder")
+    package = found.where("kind = 'def' and path like '%.go'").select(folder("path"), F.col("path").alias("at"), F.col("name").alias("target"))
+    beside = sites.where("form = 'name' and path like '%.go'").withColumn("folder", folder("path")).join(package, ["folder", "target"])
+    found_calls = own.unionByName(other).unionByName(through).unionByName(beside.select("path", "caller", "line", "at", F.col("target").alias("name"), F.lit(1).alias("far")))
     bases = found.where("kind = 'base'").select("path", F.col("name").alias("class"), F.col("target").alias("name"), "line")
     up = bases.join(classes.select("path", "name", F.col("at").alias("to_at"), F.col("class").alias("to")), ["path", "name"]).groupBy(F.col("path").alias("at"), "class").agg(F.min(F.struct("to_at", "to")).alias("s")).select("at", "class", "s.to_at", "s.to")
     typed = sites.where("form in ('method', 'super')").join(classes.select("path", F.col("name").alias("owner"), "at", "class"), ["path", "owner"])
@@ -229,9 +249,9 @@ def superseded(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     return edges.withColumn("_bare", bare).join(gone, ["source_uid", "_bare"], "left_anti").drop("_bare").unionByName(resolved, allowMissingColumns=True)
 
 
-def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and judged edges (calls, inheritance, containment) of Python sources."""
-    found = facts(files).cache()
+def graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, judged edges (calls, inheritance, containment) and imports of Python, script and Go sources."""
+    found = cut(facts(files).unionByName(braced_source.facts(files)))
     known = nodes(found)
     own = known.select(F.col("uid").alias("class_uid"), "path", "name")
     contains = found.where("kind = 'method'").select("path", "owner", uid(F.col("name"), F.col("path"), F.col("line")).alias("target_uid")).join(own.withColumnRenamed("name", "owner"), ["path", "owner"])
@@ -241,7 +261,7 @@ def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = found.where("kind = 'base'").join(at, ["path", "target"]).join(own.select("path", F.col("class_uid").alias("source_uid"), "name"), ["path", "name"])
     heirs = bases.join(own.select(F.col("path").alias("at"), F.col("name").alias("class"), F.col("class_uid").alias("target_uid")), ["at", "class"])
     links = links.unionByName(heirs.select("source_uid", "target_uid", F.lit("INHERITS").alias("relation"), F.lit(0).cast("long").alias("line_number")))
-    return known, classified(links, known)
+    return known, classified(links, known), imports(found)
 
 
 def unseen_suffixes(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def graph(spark, root, tmp_path_factory):
 
 def test_lookups(graph):
     names = {r["name"] for r in graph.table("nodes").collect()}
-    assert names == {"Base", "Base.save", "Order", "Order.total", "stamp", "remind", "show", "create"}
+    assert names == {"Base", "Base.save", "Order", "Order.total", "stamp", "remind", "show", "create", "main"}
     assert [r["name"] for r in graph.resolve_symbol("total").collect()] == ["Order.total"]
     assert [r["name"] for r in graph.resolve_symbol("tam").collect()] == ["stamp"]
     assert graph.resolve_symbol("nothing").isEmpty()
@@ -46,8 +46,8 @@ def test_lookups(graph):
     assert [r["name"] for r in graph.file_candidates("tasks.py").collect()] == ["remind"]
     assert len({r["path"] for r in graph.file_candidates("app/").collect()}) == 1 and graph.file_candidates("none.py").isEmpty()
     assert graph.stale() == []
-    assert [r["suffix"] for r in graph.missing().collect()] == [".go"]
-    assert {r["path"].rpartition("/")[2]: r["symbols"] for r in graph.tree().collect()} == {"api.py": 2, "store.py": 5, "tasks.py": 1, "main.go": 0}
+    assert graph.missing().isEmpty()
+    assert {r["path"].rpartition("/")[2]: r["symbols"] for r in graph.tree().collect()} == {"api.py": 2, "store.py": 5, "tasks.py": 1, "main.go": 1}
 
 
 def test_traversal(graph):
@@ -67,7 +67,7 @@ def test_traversal(graph):
 def test_structure(graph):
     assert [(r["http_method"], r["http_path"], r["name"]) for r in graph.handlers().collect()] == [("GET", "/orders/{id}", "show"), ("POST", "/orders", "create")]
     assert [(r["caller"], r["task"]) for r in graph.task_dispatches().collect()] == [("create", "remind")]
-    assert {(r["kind"], r["path"].rpartition("/")[2]) for r in graph.entry_points().collect()} == {("http", "api.py"), ("tasks", "tasks.py"), ("topology", "api.py")}
+    assert {(r["kind"], r["path"].rpartition("/")[2]) for r in graph.entry_points().collect()} == {("http", "api.py"), ("tasks", "tasks.py"), ("topology", "api.py"), ("topology", "main.go")}
     one = graph.context("create").collect()
     assert len(one) == 1 and one[0]["is_entry"] and one[0]["depth"] == 0
     assert graph.context("store.py").first()["path"].endswith("store.py")
@@ -136,3 +136,26 @@ def test_levels_have_no_limit(spark):
     edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(66)], "src string, dst string").coalesce(1)
     got = levels(edges, spark.createDataFrame([("f0",)], "id string").coalesce(1))
     assert {r["id"]: r["depth"] for r in got.collect()} == {f"f{i}": i for i in range(67)}
+
+
+def test_reports(graph, monkeypatch):
+    from graphloom import engine
+
+    one = graph.trace_report("show")
+    assert one["found"] and not one["truncated"] and one["root_file"].endswith("/app/api.py") and len(one["chain"]) == 4 and "alternatives" not in one
+    none = graph.trace_report("tasks.py")
+    assert not none["found"] and [c["name"] for c in none["candidates"]] == ["remind"]
+    assert graph.trace_report("nothing") == {"root": "nothing", "found": False, "chain": []}
+    several = graph.trace_report("Order", file="store.py")
+    assert several["root"] == "Order"
+    deps = graph.dependencies_report("api.py", depth=9)
+    assert deps["dep_count"] == len(deps["deps"]) >= 2 and deps["truncated"] is False and deps["depth"] == 3
+    monkeypatch.setattr(engine, "ENTRIES", 1)
+    assert graph.entry_points().collect()[-1]["kind"] == "truncation_notice"
+
+
+def test_names_with_several_symbols(spark, tmp_path):
+    g = CodeGraph(spark, str(tmp_path / "store"))
+    g.write(spark.createDataFrame([("/r/a.py", "def go():\n    return 1\n"), ("/r/b.py", "def go():\n    return 2\n")], "path string, text string"))
+    assert [x["file"] for x in g.trace_report("go")["alternatives"]] == ["/r/b.py"]
+    assert g.trace_report("go", file="b.py")["root_file"] == "/r/b.py"

@@ -62,7 +62,7 @@ def test_calls_are_resolved(spark, sources):
 
 
 def test_graph_has_containment_and_inheritance(spark, sources):
-    nodes, judged = python_source.graph(sources)
+    nodes, judged, _ = python_source.graph(sources)
     assert nodes.where("label = 'Class'").count() == 3
     got = {(r["relation"], r["n"]) for r in judged.where("drop_reason is null").groupBy("relation").agg(F.count("*").alias("n")).collect()}
     assert ("INHERITS", 1) in got and ("CONTAINS", 5) in got
@@ -310,3 +310,54 @@ def test_methods_of_far_bases(spark):
     text = "class A:\n    def go(self): pass\n" + "".join(f"class {b}({a}): pass\n" for a, b in zip("ABCDEFG", "BCDEFGH")) + "class L(M): pass\nclass M(L): pass\ndef run():\n    x = H()\n    H.go(x)\n"
     found = python_source.facts(spark.createDataFrame([("m.py", text)], "path string, text string"))
     assert ("run", "A.go") in {(r["caller"], r["callee"]) for r in python_source.calls(found).collect()}
+
+
+SCRIPT = """import { Base, log as note } from './models/base';
+import * as util from "../lib/util.js";
+import Store from './store'; // import { not } from './comment'
+
+export class Order<T> extends Base {
+  private total = 0;
+  constructor(private s: Store) { super(s); }
+  async save(x: number): Promise<void> {
+    if (x > 0) { this.check(x); }
+    note(`saved ${x} if (y) {`);
+  }
+  check = (n) => n;
+  get sum() { return util.add(this.total, 1) }
+}
+
+export const make = async (id: string): Promise<Order> => {
+  const o = new Order(id);
+  o.save(1);
+  return helper(o);
+};
+function helper(o) { return o }
+const twice = x => helper(x);
+"""
+
+
+def test_scripts_and_go(spark):
+    rows = [
+        ("/r/src/order.ts", SCRIPT),
+        ("/r/src/models/base.ts", "export class Base { check(n) { return n } }\nexport function log(s) { console.log(s) }\n"),
+        ("/r/lib/util.js", "module.exports = {}; function add(a, b) { return a + b }\n"),
+        ("/r/src/store/index.ts", "export default class Store {}\n"),
+        ("/r/pkg/item.go", 'package pkg\n\nimport (\n\t"fmt"\n\th "x/helper"\n)\n\ntype Item struct {\n\tA int\n}\n\nfunc (i *Item) Save() error {\n\ti.check()\n\treturn h.Do(run(1))\n}\n\nfunc (i Item) check() { fmt.Println("run(2) {") }\n'),
+        ("/r/pkg/run.go", "package pkg\n\nfunc run(n int) int {\n\treturn n\n}\n"),
+        ("/r/helper/do.go", "package helper\n\nfunc Do(n int) error { return nil }\n"),
+    ]
+    known, links, linked = python_source.graph(spark.createDataFrame(rows, "path string, text string"))
+    names = {r["uid"]: r["name"] for r in known.collect()}
+    labels = {r["name"]: (r["label"], r["line_number"], r["end_line"]) for r in known.collect()}
+    assert set(labels) == {"Order", "Order.constructor", "Order.save", "Order.sum", "make", "helper", "twice", "Base", "Base.check", "log", "add", "Store", "Item", "Item.Save", "Item.check", "run", "Do"}
+    assert labels["Order"] == ("Class", 5, 14) and labels["Order.save"] == ("Function", 8, 11) and labels["Item.Save"] == ("Function", 12, 15) and labels["make"][2] == 20
+    found = {}
+    for r in links.where("drop_reason is null").collect():
+        found.setdefault(r["relation"], set()).add((names[r["source_uid"]], names[r["target_uid"]]))
+    assert found["CALLS"] == {
+        ("Order.save", "Base.check"), ("Order.save", "log"), ("Order.sum", "add"), ("make", "Order"), ("make", "Order.save"), ("make", "helper"), ("twice", "helper"),
+        ("Item.Save", "Item.check"), ("Item.Save", "run"), ("Item.Save", "Do"),
+    }
+    assert found["INHERITS"] == {("Order", "Base")} and ("Item", "Item.Save") in found["CONTAINS"] and ("Order", "Order.sum") in found["CONTAINS"]
+    assert {(r["src_path"][3:], r["dst_path"][3:]) for r in linked.collect()} == {("src/order.ts", "src/models/base.ts"), ("src/order.ts", "lib/util.js"), ("src/order.ts", "src/store/index.ts"), ("pkg/item.go", "helper/do.go")}
