@@ -60,11 +60,58 @@ def empty(spark, odd, tmp_path_factory):
     return d
 
 
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def odd_values(name, by, rows):
+    """What each operator states for the odd rows; ``by`` has the rows of a doc_id."""
+    one = lambda i, *names: {tuple(r[n] for n in names) for r in by[i]}
+    if name == "op1_toxicity":
+        # without evidence: null, empty and blank texts alike
+        assert len({r["score"] for i in (4, 5, 6) for r in by[i]}) == 1 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    if name == "op2_language":
+        assert all(one(i, "lang_pred", "score") == {("und", 0.0)} for i in (4, 5, 6, 8)) and all(0 <= r["score"] <= 1 for r in rows)
+    if name == "op3_pii":
+        assert one(12, "n_email", "n_ip", "n_card", "n_phone") == {(0, 1, 1, 1)} and one(12, "spans") == {("ip:26:34,card:40:59,phone:5:22",)}
+        assert one(11, "spans") == {("email:30006:30012",)} and one(4, "n_email", "base_sha256", "spans") == {(0, EMPTY, "")}
+    if name == "op4_near_dedup":
+        assert all(one(i, "component_id") == {(1,)} for i in (1, 2, 3, 13)) and one(13, "kept") == {(False,)} and one(1, "kept") == {(True,)}
+        assert all(one(i, "n_shingles", "component_id", "kept") == {(0, i, True)} for i in (4, 5, 6)) and one(7, "n_shingles") == {(1,)}
+        assert one(None, "component_id", "kept") == {(None, True)} and one(9, "component_id") == {(9,)}
+    if name == "op5_mixing":
+        assert one(4, "source", "lang", "topic", "n_tokens") == {("unknown", "unknown", "empty", 0)} and one(5, "p") == {(0.5,)} and one(13, "kept") in ({(True,)}, {(False,)})
+        assert all(0 <= r["p"] <= 1 and r["kept"] == (r["u"] < r["p"]) for r in rows)
+    if name == "op6_topk":
+        # 0 and 50 among those of their dimension; ties go to the smaller id, of 1 there are two
+        assert [tuple(r[n] for n in ("query_id", "rank", "vec_id", "score")) for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"]))] == [
+            (0, 1, 1, 327680), (0, 2, 1, 327680), (0, 3, 2, 327680), (0, 4, 50, -98304), (50, 1, 0, -98304), (50, 2, 1, -98304), (50, 3, 1, -98304), (50, 4, 2, -98304),
+        ]
+    if name == "op7_decontamination":
+        assert all(one(i, "n_hit", "n_items", "contaminated") == {(20, 1, True)} for i in (1, 2, 3, 13)) and one(4, "n_words", "n_hit", "items_sha256") == {(0, 0, EMPTY)}
+        assert one(None, "n_hit") == {(0,), (3,)} and one(7, "contaminated") == {(False,)}
+    if name == "op9_substring":
+        assert one(1, "n_words", "n_removed") == {(120, 0)} and one(2, "n_removed", "kept_sha256") == {(120, EMPTY)} and one(3, "n_removed") == {(119,)}
+        assert one(4, "n_words", "n_removed", "kept_sha256") == {(0, 0, EMPTY)} and one(None, "n_removed") == {(0,)}
+    if name == "op10_token_counts":
+        assert sum(r["n_docs"] for r in rows) == 17 and max(r["docs_from"] for r in rows) == 17 and {r["n_docs"] for r in rows if r["length"] == 0} == {3}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_rows(spark, odd, name):
-    n = QUERIES[name](spark, odd).count()
+    rows = QUERIES[name](spark, odd).collect()
+    if name == "op8_html":
+        text_of = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in rows}
+        assert len(rows) == 10 and text_of[7, None] == ("", 0) and text_of[8, "bad url"] == ("", 0) and text_of[9, "http://o.example/"] == ("plain words", 11)
+        assert text_of[0, "http://h.example/0"] == ("T 0\nBody 0 & more", 17) and text_of[None, "http://h.example/z"][0] == "unclosed"
+        return
     if name not in ("op6_topk", "op10_token_counts"):
-        assert n == (10 if name == "op8_html" else 17)
+        assert len(rows) == 17
+    by = {}
+    for r in rows:
+        if "doc_id" in r:
+            by.setdefault(r["doc_id"], []).append(r)
+    odd_values(name, by, rows)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -593,3 +640,77 @@ def test_teasers_do_not_hide_what_the_trees_find():
     page = "<html><body><div class=top>Menu</div><div class=story><p>{0} begins the long story of this page with many words</p><p>{0} ends it after many more words</p></div><div class=more><article>Teaser</article></div></body></html>"
     got = extraction.extract_group([page.format(n) for n in ("Ann", "Bob", "Cid", "Dan")])
     assert got[1] == "Bob begins the long story of this page with many words\nBob ends it after many more words"
+
+
+def test_tokens_by_a_plain_merge_loop(spark):
+    import base64
+
+    import regex
+
+    with open(token_counts.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+
+    def length(text_):
+        n = 0
+        for piece in regex.findall(token_counts.PATTERN, text_):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 30), i))
+                if parts[best] + parts[best + 1] not in ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            n += len(parts)
+        return n
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(40).collect()]
+    texts = [t[:1500] if t else t for t in texts] + [None, "", "  \n\n x", "don't 12 \u00fc\u00df<|endoftext|>", "\U0001f600\u200b" * 5]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r["k"]: r["length"] for r in token_counts.token_lengths(frame, keep=("k",)).collect()}
+    assert got == {k: length(t or "") for k, t in enumerate(texts)}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The first four stages in plain Python over a small table; the last one against the operator's plain version."""
+    import re
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    rows = [r.asDict() for r in docs.collect()]
+    out, frames = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialise(stage(spark, out, sf))
+        frames[name] = {r["doc_id"]: r for r in out.collect()}
+    # language: the out-of-place distance to the nearest learned profile
+    by = {}
+    for r in rows:
+        if r["lang"] and r["text"]:
+            by.setdefault(r["lang"], []).append(r["text"])
+    ranks = [{g: k for k, g in enumerate(profile(t))} for t in by.values()]
+
+    def distance(t):
+        own = profile([t or ""])
+        return min(sum(abs(x[g] - k) if g in x else 300 for k, g in enumerate(own)) / (300 * len(own)) for x in ranks) if own else 9.0
+
+    kept = [r for r in rows if distance(r["text"]) <= 0.85]
+    assert {r["doc_id"] for r in kept} == set(frames["language"])
+    home = components_by_brute_force([(r["doc_id"], r["text"]) for r in kept], 5)
+    kept = [r for r in kept if home[r["doc_id"]] == r["doc_id"]]
+    assert {r["doc_id"] for r in kept} == set(frames["near_dedup"])
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+    sizes = {len(w) for w in windows}
+    dirty = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    kept = [r for r in kept if not dirty(words(r["text"]))]
+    assert {r["doc_id"] for r in kept} == set(frames["decontamination"])
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    assert {r["doc_id"] for r in kept} == set(frames["pii"])
+    for r in kept:
+        new = frames["pii"][r["doc_id"]]["text"]
+        assert not mail.search(new) and new.count("<EMAIL>") >= len(mail.findall(r["text"])) and frames["pii"][r["doc_id"]]["n_chars"] == len(new)
+        if not re.search(r"[0-9@]", r["text"]):
+            assert new == r["text"]
+    whole = mixing.mix(spark.createDataFrame([tuple(frames["pii"][i][c] for c in ("doc_id", "text", "lang", "source")) for i in frames["pii"]], "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"] for r in whole.where("kept").collect()} == set(frames["mixing"])
