@@ -84,11 +84,11 @@ def _path_sql(hops: int) -> str:
     return f"{GRAPH_SQL}, {_ranked_sql(False, 30)}, {', '.join(parts)}, f as (select path from ({found}) order by len(path) limit 1) select cast(unnest(range(0, len(path))) as integer) as hop, unnest(path) as id from f"
 
 
-@query(_path_sql(5))
+@query(_path_sql(15))
 def q_find_path(spark: SparkSession, sf: str) -> DataFrame:
     """The first shortest path between two functions."""
     start, goal = _root(spark, sf).first(), _root(spark, sf, last=True).first()
-    return shortest_path(_edges(spark, sf), start[0] if start else "", goal[0] if goal else "", 5)
+    return shortest_path(_edges(spark, sf), start[0] if start else "", goal[0] if goal else "", 15)
 
 
 _FILES = """fp as materialized (select distinct a.path as s, b.path as d from calls join sym a on a.k = src join sym b on b.k = dst where a.path <> b.path),
@@ -123,7 +123,7 @@ def q_dependencies(spark: SparkSession, sf: str) -> DataFrame:
 _LOCAL = "ranked as materialized (select src, dst, cast(row_number() over (partition by src order by l_orderkey, line_number, dst) as integer) as rank from (select src, dst, min(l_orderkey) as l_orderkey, min(line_number) as line_number from raw where call_kind = 'local' and dst is not null and src <> dst group by src, dst))"
 
 
-@query(f"""{GRAPH_SQL}, {_LOCAL}, {_levels_sql("ranked", 2)}, u as (select dst, key, depth from e1 union all select dst, key, depth from e2)
+@query(f"""{GRAPH_SQL}, {_LOCAL}, {_levels_sql("ranked", 4)}, u as ({" union all ".join(f"select dst, key, depth from e{d}" for d in range(1, 5))})
 select path, cast(min(p) as integer) as position from (select sym.path, row_number() over (order by depth, key) as p from u join sym on k = dst) group by path""")
 def q_files_in_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Files of an execution chain over local calls, in order of first use."""
@@ -131,6 +131,6 @@ def q_files_in_chain(spark: SparkSession, sf: str) -> DataFrame:
 
     calls = raw_calls(spark, sf).where("call_kind = 'local' and dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("l_orderkey").alias("o"), F.min("line_number").alias("line"))
     edges = cut(capped(calls, ["o", "line", "dst"], None).select("src", "dst", "rank"))
-    found = traverse(edges, _root(spark, sf), 2).join(symbols(spark, sf).select(F.col("k").alias("dst"), "path"), "dst")
+    found = traverse(edges, _root(spark, sf), 4).join(symbols(spark, sf).select(F.col("k").alias("dst"), "path"), "dst")
     placed = found.withColumn("p", F.row_number().over(Window.orderBy("depth", "key")))
     return placed.groupBy("path").agg(F.min("p").alias("position"))
