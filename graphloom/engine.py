@@ -336,7 +336,9 @@ class CodeGraph:
 
     def _hits(self, queries: DataFrame, top: int, signs: int) -> DataFrame:
         pieces = self.table("chunks")
-        ranked = search.tiers(search.bm25(pieces.select("id", "text"), queries, top))
+        stored = self._read(f"{self.store}/{self._version}/postings")  # a store of an older version has none
+        found = search.bm25(pieces.select("id", "text"), queries, top) if stored is None else search.bm25_of_postings(stored, self.table("corpus"), queries, top)
+        ranked = search.tiers(found)
         rows = ranked.join(pieces, "id").withColumn("line", F.col("start_line").cast("long"))
         inside = self.table("nodes").where("label in ('Function', 'Class')").select("path", "line_number", F.struct("line_number", "name", "label").alias("s"))
         # the symbol around the chunk's first line, or the first one that begins in it

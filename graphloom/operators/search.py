@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Queries that are broadcast at once.
-BLOCK = 2048
+#: Queries that are broadcast at once, and asked terms that are looked up by a filter on the scan.
+BLOCK, FEW = 2048, 1000
 
 
 def terms(text: Column) -> Column:
@@ -28,8 +28,31 @@ def bm25(chunks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """
     asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = chunks.select("id", terms(F.coalesce("text", F.lit(""))).alias("w")).withColumn("size", F.size("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    stats = _statistics(words)
     tf = words.select("id", "size", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    return _scored(tf, stats, asked, top)
+
+
+def _statistics(words: DataFrame) -> DataFrame:
+    return words.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+
+
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row: n, the number of chunks, and mean, of their terms."""
+    return _statistics(chunks.select(F.size(terms(F.coalesce("text", F.lit("")))).alias("size")))
+
+
+def bm25_of_postings(stored: DataFrame, stats: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """What :func:`bm25` finds, from :func:`postings` and :func:`statistics` that were stored. Of postings in order of
+    term only the parts with the asked terms are read, while these are few."""
+    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    each = asked.select("term").distinct()
+    few = [r["term"] for r in each.limit(FEW + 1).collect()]
+    tf = stored.where(F.col("term").isin(few)) if len(few) <= FEW else stored.join(each, "term", "left_semi")
+    return _scored(tf, stats, asked, top)
+
+
+def _scored(tf: DataFrame, stats: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     rows = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routes, scalars
 from ..model import with_defaults
-from ..operators import community, joins, topology, writing
+from ..operators import community, joins, search, topology, writing
 from ..operators.expand import capped
 from ..session import cut
 from ..sources import python_source, scip
@@ -115,6 +115,7 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
     groups = cut(community.communities(calls.select("src", "dst"), nodes.select("uid")))
     stored = nodes.drop("community_id", "cluster_id").join(groups.select("uid", F.col("community_id").cast("string")), "uid", "left").join(placed.select("path", "cluster_id"), "path", "left").na.fill("", ["community_id", "cluster_id"])
     down = written.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+    pieces = cut(chunks(files))
     return {
         "nodes": stored,
         "edges": edges,
@@ -130,7 +131,9 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
         "clusters": topology.clusters(label, metrics, depth).drop("cluster_id").join(slugs, "seed", "left").na.fill("foundational", ["cluster_id"]).join(topology.entry_symbols(label, entry, nodes), "seed", "left"),
         "shared": topology.shared_dependencies(label, pairs, metrics),
         "communities": groups,
-        "chunks": chunks(files),
+        "chunks": pieces,
+        "postings": search.postings(pieces).repartitionByRange("term").sortWithinPartitions("term", "id"),
+        "corpus": search.statistics(pieces),
         "manifest": manifest.snapshot(files),
     }
 

@@ -159,3 +159,12 @@ def test_names_with_several_symbols(spark, tmp_path):
     g.write(spark.createDataFrame([("/r/a.py", "def go():\n    return 1\n"), ("/r/b.py", "def go():\n    return 2\n")], "path string, text string"))
     assert [x["file"] for x in g.trace_report("go")["alternatives"]] == ["/r/b.py"]
     assert g.trace_report("go", file="b.py")["root_file"] == "/r/b.py"
+
+
+def test_stored_postings_search_alike(graph):
+    from graphloom.operators import search
+
+    asked = graph.spark.createDataFrame([(1, "save the order total"), (2, "stamp x return"), (3, "nothing of it"), (4, "")], "qid int, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "rank", "id", "score").collect())
+    want = rows(search.bm25(graph.table("chunks").select("id", "text"), asked, 5))
+    assert want and rows(search.bm25_of_postings(graph.table("postings"), graph.table("corpus"), asked, 5)) == want
