@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .engine import CodeGraph
 
@@ -37,6 +37,11 @@ def _parser() -> argparse.ArgumentParser:
     command("entry-points", kind="all")
     command("handlers")
     command("tree")
+    command("cluster", "cluster_id")
+    command("node-detail", "uid")
+    command("web-graph")
+    command("remove-file", "path")
+    command("clear")
     command("evaluate", "truth", top=10)
     return p
 
@@ -48,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     if command == "evaluate":
         given["truth"] = spark.read.option("multiLine", True).json(given["truth"])
     answer = getattr(graph, command)(**given)
-    if isinstance(answer, dict):
+    if not isinstance(answer, DataFrame):
         print(json.dumps(answer))
         return
     for row in answer.toJSON().toLocalIterator():

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import routes, scalars
 from .model import EDGES, NODES
-from .operators import evaluation, expand, joins, search
+from .operators import evaluation, expand, export, joins, search
+from .operators.order import placed
 from .plans import build
 from .session import cut
 from .sources import files as disk
@@ -25,7 +26,7 @@ from .streaming import manifest
 
 # Limits of answers.
 TRACE_DEPTH, PATH_HOPS, FILE_DEPTH = 5, 20, 3
-EDGES_SHOWN, NODES_SHOWN, PEERS, ENTRIES = 100, 6000, 10, 50
+EDGES_SHOWN, PEERS, ENTRIES = 100, 10, 50
 #: Order in which labels are looked at when a name is resolved.
 PRIORITY = ("Function", "Class", "Interface", "Struct", "Enum", "Variable")
 
@@ -88,6 +89,28 @@ class CodeGraph:
             self.write(found, indexes)
         return {"state": "updated" if counts or force else "up_to_date", **{k: counts.get(k, 0) for k in ("added", "changed", "deleted")}}
 
+    def remove_file(self, path: str) -> int:
+        """Make a version without a file: its symbols go, and every edge and import at them. Returns the symbols gone."""
+        gone = self.table("nodes").where(F.col("path") == path).count()
+        known = self.table("sources")
+        if not known.where(F.col("path") == path).isEmpty():
+            self.write(known.where(F.col("path") != path))
+        return gone
+
+    def clear(self) -> int:
+        """Make an empty version; returns the symbols gone. Versions before it stay on disk until :meth:`prune`."""
+        gone = self.table("nodes").count()
+        self.write(self.table("sources").where("false"))
+        return gone
+
+    def prune(self, keep: int = 1) -> int:
+        """Delete the tables of all but the last ``keep`` versions; readers of those must be done. Returns how many."""
+        known = self._read(f"{self.store}/versions")
+        rows = [] if known is None else known.orderBy(F.desc("n"), F.desc("name")).collect()  # a row a build
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sum(bool(fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{r['name']}"), True)) for r in rows[max(keep, 1) :])
+
     def stale(self) -> list[str]:
         """Columns of the schema that the stored tables lack."""
         want = {"nodes": NODES, "edges": EDGES}
@@ -166,8 +189,10 @@ class CodeGraph:
     def _walk(self, table: str, root: str, depth: int, cap: int | None, top: int | None) -> DataFrame:
         edges = self.table(table)
         found = expand.traverse(edges if cap is None else edges.where(F.col("rank") <= cap), self._root(root), depth)
-        first = found.orderBy("depth", "key").limit(top) if top else found
-        return self._named(first.withColumn("position", F.row_number().over(Window.orderBy("depth", "key"))))
+        if top is None:
+            return self._named(placed(found, ["depth", "key"]))
+        first = found.orderBy("depth", "key").limit(top)
+        return self._named(first.withColumn("position", F.row_number().over(Window.orderBy("depth", "key")).cast("long")))
 
     def trace(self, symbol: str, direction: str = "callees", depth: int = 3, file: str = "") -> DataFrame:
         """The first hundred calls of a breadth-first search from a symbol; with ``callers``, src is the callee."""
@@ -317,16 +342,38 @@ class CodeGraph:
         n = F.least(F.greatest(F.col("end_line") - F.col("line_number") + 1, F.lit(1)), F.lit(lines)).cast("int")
         return joined.select("uid", "name", "path", F.array_join(F.slice(F.split("text", r"\r?\n"), F.col("line_number").cast("int"), n), "\n").alias("snippet"))
 
-    def export(self, limit: int = NODES_SHOWN) -> tuple[DataFrame, DataFrame]:
-        """Nodes, the most connected first, and the links between them, each pair and kind once."""
-        edges = self.table("edges").select("source_uid", "target_uid", "relation")
-        ends = edges.select(F.col("source_uid").alias("uid")).unionByName(edges.select(F.col("target_uid").alias("uid")))
-        degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
-        nodes = self.table("nodes").join(degree, "uid", "left").na.fill(0, ["degree"])
-        kept = cut(nodes.orderBy(F.desc("degree"), "uid").limit(limit).select("uid", "label", "name", "path", "line_number", "http_method", "http_path", "community_id", "degree"))
-        keep = kept.select("uid")  # at most ``limit`` rows
-        inside = edges.join(F.broadcast(keep.withColumnRenamed("uid", "source_uid")), "source_uid", "left_semi").join(F.broadcast(keep.withColumnRenamed("uid", "target_uid")), "target_uid", "left_semi")
-        return kept, inside.where("source_uid <> target_uid").distinct()
+    def export(self, symbols: int = export.SYMBOLS, files: int = export.FILES) -> tuple[DataFrame, DataFrame]:
+        """Nodes and links of the most called symbols and the files of the most symbols, for drawing."""
+        return export.drawn(self.table("nodes"), self.table("edges"), self.table("imports"), symbols, files)
+
+    def web_graph(self, symbols: int = export.SYMBOLS, files: int = export.FILES) -> dict:
+        """What :meth:`export` finds as lists of nodes and links, with stats; at most ``symbols`` + ``files`` nodes."""
+        nodes, links = self.export(symbols, files)
+        every = self.table("nodes").where(F.col("label").isin(*export.LABELS)).count()
+        by = lambda rows, *c: [r.asDict() for r in rows.orderBy(*c).collect()]
+        return {"nodes": by(nodes, "kind", F.desc("weight"), "id"), "links": by(links, "relation", "source", "target"), "stats": export.counts(nodes, links, every)}
+
+    def node_detail(self, uid: str) -> dict:
+        """A symbol with its snippet, its callers and its callees, thirty of each in order of name; empty if there is none."""
+        one = self.snippet(uid).first()
+        if one is None:
+            return {}
+        known = self.table("nodes").select(F.col("uid").alias("dst"), "name", "path", "line_number")
+
+        def of(table: str) -> list[dict]:
+            next_to = self.table(table).where((F.col("src") == uid) & (F.col("rank") <= 30)).select("dst", "rank").join(known, "dst")
+            return [r.asDict() for r in next_to.orderBy("rank").select(F.col("dst").alias("uid"), "name", "path", "line_number").collect()]
+
+        return one.asDict() | {"callers": of("callers"), "callees": of("callees")}
+
+    def cluster(self, cluster_id: str) -> DataFrame:
+        """what, value: a cluster's files, entry files, side effects, external calls and the foundational files it uses."""
+        own = self.table("cluster_details").where(F.col("cluster_id") == cluster_id).select("what", "value")
+        if cluster_id == "foundational":
+            own = self.table("topology").where("is_foundational").select(F.lit("file").alias("what"), F.col("path").alias("value"))
+        seed = self.table("clusters").where(F.col("cluster_id") == cluster_id).select("seed")
+        shared = self.table("shared").join(F.broadcast(seed), "seed", "left_semi").select(F.lit("shared_dependency").alias("what"), F.col("path").alias("value"))  # one row
+        return own.unionByName(shared).orderBy("what", "value")
 
     def missing(self) -> DataFrame:
         """Suffixes of code files that gave no symbol."""

@@ -1,4 +1,4 @@
-"""Communities of an undirected graph: synchronous modularity moves, isolates, splits, cohesion."""
+"""Communities of an undirected graph: modularity raised level by level, isolates, splits, cohesion; components."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import placed
 
 
 def undirected(calls: DataFrame) -> DataFrame:
@@ -17,39 +18,114 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def detect(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """uid, community: each round, nodes of one half (by hash, halves alternate, so that two nodes do not swap) move
-    to the neighbouring community of the greatest modularity gain, ties to the least; until nothing moves twice."""
-    both = cut(_both(edges))
-    degree = both.groupBy("u").agg(F.count("*").alias("k"))
+#: Levels end when one adds less than this to the modularity.
+THRESHOLD = 1e-4
+#: Turns that gain nothing before a level is given up.
+IDLE = 6
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> float:
+    """Of a partition (uid, community) of the ends of undirected ``edges`` (a, b): edges inside beyond what chance gives."""
+    both = _both(edges).withColumn("w", F.lit(1.0))
     total = edges.count() * 2.0
-    label = cut(degree.select(F.col("u").alias("uid"), F.col("u").alias("community"), "k"))
-    still = 0
-    for r in range(rounds if total else 0):
-        mass = label.groupBy("community").agg(F.sum("k").alias("mass"))
-        links = both.join(label.select(F.col("uid").alias("v"), "community"), "v").groupBy("u", "community").agg(F.count("*").alias("links"))
-        own = label.select(F.col("uid").alias("u"), F.col("community").alias("home"), "k").where(F.pmod(F.xxhash64("uid"), F.lit(2)) == r % 2)
-        # staying is an option too, even without a link inside
-        options = links.join(own, "u").unionByName(own.select("u", F.col("home").alias("community"), F.lit(0).cast("long").alias("links"), "home", "k"))
-        options = options.groupBy("u", "community", "home", "k").agg(F.max("links").alias("links")).join(mass, "community")
-        without = F.col("mass") - F.when(F.col("community") == F.col("home"), F.col("k")).otherwise(0)
-        gain = F.col("links") - F.col("k") * without / F.lit(total)
-        best = options.groupBy("u", "home").agg(F.max_by("community", F.struct(F.round(gain, 9), F.col("community") == F.col("home"), F.expr("-xxhash64(community)"))).alias("to"))
-        moved = cut(best.where("to <> home").select(F.col("u").alias("uid"), "to"))
-        if moved.isEmpty():
-            still += 1
-            if still == 2:
-                break
-            continue
-        still = 0
-        label = cut(label.join(moved, "uid", "left").select("uid", F.coalesce("to", "community").alias("community"), "k"))
-    return label.select("uid", "community")
+    return _quality(both, members, total) if total else 0.0
+
+
+def _quality(both: DataFrame, label: DataFrame, total: float) -> float:
+    at = label.select("uid", "community")
+    ends = both.join(at.select(F.col("uid").alias("u"), F.col("community").alias("cu")), "u").join(at.select(F.col("uid").alias("v"), F.col("community").alias("cv")), "v")
+    each = ends.groupBy("cu").agg(F.sum("w").alias("mass"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside"))
+    found = each.agg(F.sum(F.col("inside") / total - F.pow(F.col("mass") / total, 2))).first()[0]
+    return found or 0.0
+
+
+def _turn(both: DataFrame, label: DataFrame, total: float, turn: int) -> DataFrame:
+    """``label`` (uid, community, k, own) after a turn: the nodes of half the communities, by a hash of the turn, join
+    that one of the other half, all at once, which gains most, ties to the least hash. So two nodes never swap, and
+    none follows one that leaves. Beside it home, where each was, its weight inside there, and whether it would move."""
+    mass = label.groupBy("community").agg(F.sum("k").alias("mass"))
+    links = both.where("u <> v").join(label.select(F.col("uid").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("links"))
+    own = label.select(F.col("uid").alias("u"), F.col("community").alias("home"), "k", "own")
+    # staying is an option too, even without a link inside
+    options = links.join(own, "u").unionByName(own.select("u", F.col("home").alias("community"), F.lit(0.0).alias("links"), "home", "k", "own"))
+    options = options.join(mass, "community")
+    stays = F.col("community") == F.col("home")
+    gain = F.col("links") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(total)
+    side = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+    open_ = stays | ((side("home") == 0) & (side("community") == 1))
+    order = F.struct(F.round(gain, 9), stays, F.expr("-xxhash64(community)"))
+    best = options.groupBy("u", "home", "k", "own").agg(
+        F.max_by("community", order).alias("wish"),
+        F.max_by("community", F.when(open_, order)).alias("community"),
+        (F.max(F.when(stays, F.col("links"))) + F.first("own")).alias("inside"),
+    )
+    return cut(best.select(F.col("u").alias("uid"), "community", "k", "own", "home", "inside", (F.col("wish") != F.col("home")).alias("wishes")))
+
+
+def _judged(after: DataFrame, total: float) -> tuple[float, int]:
+    """The modularity of the state before a turn, and how many nodes would have moved."""
+    each = after.groupBy("home").agg(F.sum("k").alias("mass"), F.sum("inside").alias("inside"), F.count_if("wishes").alias("wishes"))
+    found = each.agg(F.sum(F.col("inside") / total - F.pow(F.col("mass") / total, 2)), F.sum("wishes")).first()
+    return found[0], found[1]
+
+
+def _local(both: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """uid, community, and its modularity: turns until no node would move, or ``IDLE`` of them in a row, each with
+    another half, gained nothing by nodes that moved at once. A turn that gains nothing is taken back."""
+    start = both.groupBy("u").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("own"))
+    now = _turn(both, start.select(F.col("u").alias("uid"), F.col("u").alias("community"), "k", "own"), total, 0)
+    reached, wishes = _judged(now, total)
+    idle, turn = 0, 0
+    while wishes and idle < IDLE:
+        turn += 1
+        then = _turn(both, now.select("uid", "community", "k", "own"), total, turn)
+        quality, more = _judged(then, total)
+        if quality > reached + 1e-9:
+            now, reached, wishes, idle = then, quality, more, 0
+        else:
+            idle, turn = idle + 1, turn + 1
+            now = _turn(both, now.select("uid", F.col("home").alias("community"), "k", "own"), total, turn)
+    return now.select("uid", F.col("home").alias("community")), reached
+
+
+def detect(edges: DataFrame) -> DataFrame:
+    """uid, community: modularity is raised level by level. On each, nodes move between communities; then communities
+    become the nodes of the next level, their links weighted, until a level gains less than ``THRESHOLD``."""
+    both = cut(_both(edges).withColumn("w", F.lit(1.0)))
+    total = edges.count() * 2.0
+    if not total:
+        return both.select(F.col("u").alias("uid"), F.col("u").alias("community"))
+    label, quality = _local(both, total)
+    known = label
+    while True:
+        at = known.select("uid", "community")
+        both = both.join(at.select(F.col("uid").alias("u"), F.col("community").alias("cu")), "u").join(at.select(F.col("uid").alias("v"), F.col("community").alias("cv")), "v")
+        both = cut(both.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        known, reached = _local(both, total)
+        if reached - quality < THRESHOLD:
+            return label
+        quality = reached
+        label = cut(label.join(known.select(F.col("uid").alias("community"), F.col("community").alias("above")), "community").select("uid", F.col("above").alias("community")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """uid, component: the least node that each node of undirected ``edges`` (a, b) reaches, by labels and jumps."""
+    both = cut(_both(edges))
+    label = cut(both.select("u").distinct().select("u", F.col("u").alias("c")))
+    while True:
+        seen = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
+        new = label.join(seen, "u").select("u", F.least("c", "m").alias("n"), "c")
+        # a jump: the label of the label
+        jump = cut(new.join(new.select(F.col("u").alias("n"), F.col("n").alias("far")), "n").select("u", F.least("n", "far").alias("n"), "c"))
+        if jump.where("n <> c").isEmpty():
+            return label.select(F.col("u").alias("uid"), F.col("c").alias("component"))
+        label = jump.select("u", F.col("n").alias("c"))
 
 
 def numbered(members: DataFrame) -> DataFrame:
     """uid, community_id: communities numbered by size, largest first, then by their least member."""
     size = members.groupBy("community").agg(F.count("*").alias("n"), F.min("uid").alias("first"))
-    order = size.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("community_id"))
+    order = placed(size, [F.desc("n"), F.col("first")], "place").select("community", (F.col("place") - 1).alias("community_id"))
     return members.join(order, "community").select("uid", "community_id")
 
 

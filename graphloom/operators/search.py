@@ -102,3 +102,24 @@ def tiers(ranked: DataFrame) -> DataFrame:
     """``ranked`` with tier: strong, fair or weak against the query's best score."""
     share = F.col("score") / F.max("score").over(Window.partitionBy("qid"))
     return ranked.withColumn("tier", F.when(share >= 0.7, "strong").when(share >= 0.4, "fair").otherwise("weak"))
+
+
+#: Signs of the pieces on which names and asked texts meet.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    piece = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, piece)))
+
+
+def holding(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """q, name: every name (name) that holds an asked text (q). A text meets the names on that of its pieces of three
+    signs which the fewest names hold (a shorter text on itself), then it is compared whole; an empty one meets none."""
+    whole = names.select("name").distinct()
+    pieces = whole.select("name", F.explode(_grams(F.col("name"), F.array(*(F.lit(n) for n in range(1, GRAM + 1))))).alias("g"))
+    want = asked.select("q").distinct().where("q <> ''")
+    own = want.select("q", F.explode(_grams(F.col("q"), F.array(F.least(F.length("q"), F.lit(GRAM))))).alias("g"))
+    spread = pieces.join(own.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("f"))
+    rarest = own.join(spread, "g").groupBy("q").agg(F.min_by("g", F.struct("f", "g")).alias("g"))
+    return pieces.join(rarest, "g").where(F.col("name").contains(F.col("q"))).select("q", "name")

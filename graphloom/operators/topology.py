@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .community import components
 from .expand import capped, levels, traverse
+from .order import placed
 
 UNREACHED = 999
 #: Depth to which an entry's cluster reaches.
 REACH = 4
+# Kinds of calls that act outside the caller's own flow, and of calls that leave the repository.
+EFFECTS, EXTERNAL = ("celery_dispatch", "signal_dispatch", "event_dispatch"), "external"
 
 
 def degrees(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -49,9 +53,7 @@ def labelled(pairs: DataFrame, metrics: DataFrame, entry: DataFrame) -> DataFram
     usual = metrics.where(~F.col("is_foundational")).select("path")
     inside = pairs.join(usual.select(F.col("path").alias("df")), "df", "left_semi").select(F.col("sf").alias("src"), F.col("df").alias("dst"))
     seeds = entry.join(usual, "path", "left_semi")
-    # One number a seed: entries are few beside rows, and the sort is of paths only.
-    ranked = seeds.select(F.col("path").alias("id"), F.row_number().over(Window.orderBy("path")).cast("int").alias("n"))
-    roots = cut(ranked)
+    roots = cut(placed(seeds.select(F.col("path").alias("id")), ["id"], "n").withColumn("n", F.col("n").cast("int")))
     emitted = traverse(capped(inside, ["dst"], None), roots.select("id", F.array("n").alias("key")), REACH)
     reached = roots.select(F.col("id").alias("path"), F.array("n").alias("key"), F.lit(0).alias("depth"))
     if emitted is not None:
@@ -124,9 +126,45 @@ def unique_slugs(seeds: DataFrame) -> DataFrame:
 
 
 def merged_by_overlap(members: DataFrame, least: float = 0.6) -> DataFrame:
-    """a, b, jaccard: pairs of overlapping clusters (cluster, path), met through the files that they share."""
+    """a, b, jaccard: pairs of overlapping clusters (cluster, path).
+
+    Clusters of n paths that overlap by ``least`` share one of the first n - ceil(least * n) + 1 of each, paths in
+    order of how many clusters hold them; only these meet, so a path of many clusters is met last, if at all. What
+    meets is then compared over all paths.
+    """
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    x, y = members.alias("x"), members.alias("y")
-    shared = x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.cluster") < F.col("y.cluster"))).groupBy(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b")).agg(F.count("*").alias("k"))
-    joined = shared.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-    return joined.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    spread = members.groupBy("path").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("f", "path"))
+    first = members.join(spread, "path").join(size, "cluster").withColumn("i", place)
+    # a share that rounding puts just above a whole number is not raised to the next
+    first = first.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("cluster", "path", "n")
+    side = lambda c, n: first.select(F.col("cluster").alias(c), "path", F.col("n").alias(n))
+    met = side("a", "na").join(side("b", "nb"), "path").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-9))
+    met = met.select("a", "b", "na", "nb").distinct()
+    shared = met.join(members.select(F.col("cluster").alias("a"), "path"), "a").join(members.select(F.col("cluster").alias("b"), "path"), ["b", "path"])
+    counted = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    return counted.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def united(members: DataFrame, least: float = 0.6) -> DataFrame:
+    """``members`` (cluster, path) after overlapping clusters became one, named after the largest of them (ties to the
+    least name), until no two overlap. Clusters that share no path stay as they are."""
+    while True:
+        pairs = cut(merged_by_overlap(members, least).select("a", "b"))
+        if pairs.isEmpty():
+            return members
+        size = members.groupBy("cluster").agg(F.count("*").alias("n"))
+        group = components(pairs).withColumnRenamed("uid", "cluster").join(size, "cluster")
+        named = group.groupBy("component").agg(F.min_by("cluster", F.struct(-F.col("n"), "cluster")).alias("to"))
+        to = group.select("cluster", "component").join(named, "component").select("cluster", "to")
+        members = cut(members.join(to, "cluster", "left").select(F.coalesce("to", "cluster").alias("cluster"), "path").distinct())
+
+
+def details(label: DataFrame, entry: DataFrame, calls: DataFrame) -> DataFrame:
+    """seed, what, value: a row each for a cluster's files, entry files, side effects (kind:callee) and external
+    calls, of ``calls`` (path of the caller, call_kind, callee)."""
+    row = lambda rows, what, value: rows.select("seed", F.lit(what).alias("what"), value.alias("value"))
+    out = row(label, "file", F.col("path")).unionByName(row(label.join(entry.select("path"), "path", "left_semi"), "entry_file", F.col("path")))
+    named = calls.where("callee <> ''").join(label, "path")
+    out = out.unionByName(row(named.where(F.col("call_kind").isin(*EFFECTS)), "side_effect", F.concat_ws(":", "call_kind", "callee")))
+    return out.unionByName(row(named.where(F.col("call_kind") == EXTERNAL), "external_call", F.col("callee"))).distinct()

@@ -114,6 +114,8 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
     placed = cut(of_file.join(slugs, "seed", "left").withColumn("cluster_id", cluster))
     groups = cut(community.communities(calls.select("src", "dst"), nodes.select("uid")))
     stored = nodes.drop("community_id", "cluster_id").join(groups.select("uid", F.col("community_id").cast("string")), "uid", "left").join(placed.select("path", "cluster_id"), "path", "left").na.fill("", ["community_id", "cluster_id"])
+    callee = nodes.select(F.col("uid").alias("dst"), F.col("name").alias("callee"))
+    outward = calls.where(F.col("call_kind").isin(*topology.EFFECTS, topology.EXTERNAL)).join(at.withColumnRenamed("uid", "src"), "src").join(callee, "dst")
     down = written.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
     pieces = cut(chunks(files))
     return {
@@ -130,6 +132,7 @@ def assemble(files: DataFrame, indexes: DataFrame | None = None) -> dict[str, Da
         "topology": placed,
         "clusters": topology.clusters(label, metrics, depth).drop("cluster_id").join(slugs, "seed", "left").na.fill("foundational", ["cluster_id"]).join(topology.entry_symbols(label, entry, nodes), "seed", "left"),
         "shared": topology.shared_dependencies(label, pairs, metrics),
+        "cluster_details": topology.details(label, entry, outward).join(slugs, "seed").drop("seed"),
         "communities": groups,
         "chunks": pieces,
         "postings": search.postings(pieces).repartitionByRange("term").sortWithinPartitions("term", "id"),

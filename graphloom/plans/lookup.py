@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..model import GRAPH_SQL, RAW_SQL, SYMBOLS_SQL, dense_calls, last_by, raw_calls, symbols
-from ..operators import joins, writing
+from ..operators import export, joins, search, writing
 from ..operators.expand import capped
 from ..streaming import manifest
 
@@ -137,7 +137,7 @@ select q, 'exact' as how, r, uid, label, name from eb where r <= 5 union all sel
 def q_resolve_symbol(spark: SparkSession, sf: str) -> DataFrame:
     """Names to symbols: exact matches of the first label that has any, else names that contain it.
 
-    Substring search joins the distinct parts of names of the asked lengths, so it is an equi-join too.
+    Substring search is an equi-join too: on the rarest piece of an asked text.
     """
     known = symbols(spark, sf).withColumn("p", F.expr(_PRIORITY)).select("uid", "label", "name", "path", "line_number", "p")
     asked = known.select(F.col("name").alias("q")).union(known.select(F.substring("name", 1, 4))).distinct()
@@ -148,11 +148,8 @@ def q_resolve_symbol(spark: SparkSession, sf: str) -> DataFrame:
         return ranked.where(F.col("r") <= n).select("q", F.lit(how).alias("how"), "r", "uid", "label", "name")
 
     exact = known.join(asked, F.col("name") == F.col("q"))
-    rest = asked.join(known.select(F.col("name").alias("q")).distinct(), "q", "left_anti").withColumn("n", F.length("q"))
-    sizes = rest.select("n").distinct()  # few: lengths of asked texts
-    names = known.select("name").distinct().crossJoin(F.broadcast(sizes)).where(F.length("name") >= F.col("n"))
-    pieces = names.select("name", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(name) - n + 1), i -> substring(name, i, n))"))).alias("q"))
-    holding = pieces.join(rest.select("q"), "q").join(known, "name")
+    rest = asked.join(known.select(F.col("name").alias("q")).distinct(), "q", "left_anti")
+    holding = search.holding(rest, known).join(known, "name")
     return of(exact, "exact", 5).unionByName(of(holding, "contains", 3))
 
 
@@ -164,11 +161,10 @@ def q_resolve_file(spark: SparkSession, sf: str) -> DataFrame:
     files = symbols(spark, sf).select("path").distinct()
     p = F.col("path")
     asked = files.select(p.alias("q")).union(files.select(scalars.basename(p))).union(files.select(F.substring("path", 7, 6))).distinct()
-    # whole paths and names by equality; parts by their own length, as above
+    # whole paths and names by equality; parts by their rarest piece
     equal = files.join(asked, p == F.col("q")).select("q", "path", F.lit(0).alias("w")).unionByName(files.join(asked, scalars.basename(p) == F.col("q")).select("q", "path", F.lit(1).alias("w")))
-    rest = asked.join(equal.select("q").distinct(), "q", "left_anti").withColumn("n", F.length("q"))
-    pieces = files.crossJoin(F.broadcast(rest.select("n").distinct())).select("path", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, length(path) - n + 1)), i -> substring(path, i, n)))")).alias("q"))
-    part = pieces.join(rest.select("q"), "q").select("q", "path", F.lit(2).alias("w"))
+    rest = asked.join(equal.select("q").distinct(), "q", "left_anti")
+    part = search.holding(rest, files.select(p.alias("name"))).select("q", F.col("name").alias("path"), F.lit(2).alias("w"))
     return equal.unionByName(part).groupBy("q").agg(F.min_by("path", F.struct("w", "path")).alias("path"))
 
 
@@ -255,14 +251,34 @@ def q_name_search(spark: SparkSession, sf: str) -> DataFrame:
     return first_rows(ranked.select("label", "name", "path", "uid", "n"), 50, "label", "n")
 
 
-@query(f"""{GRAPH_SQL}, keep as (select k, uid from sym where label in ('Function', 'Class') order by uid limit 6000)
-select a.uid as source, b.uid as target, 'CALLS' as kind from calls join keep a on a.k = src join keep b on b.k = dst""")
+_DRAWN = f"""{GRAPH_SQL}, w as (select dst as k, count(*) as weight from calls group by dst), keep as materialized (
+  select uid, k, label, name, path, line_number, coalesce(weight, 0) as weight from sym left join w using (k) order by coalesce(weight, 0) desc, uid limit 6000),
+big as materialized (select path, count(*) as weight from sym group by path order by count(*) desc, path limit 1500),
+imp as (select distinct a.path as s, b.path as d from calls join sym a on a.k = src join sym b on b.k = dst where a.path <> b.path and md5(a.path || b.path) < '1')"""
+
+
+def _drawn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    known = symbols(spark, sf)
+    end = lambda k, c: known.select(F.col("k").alias(k), F.col("uid").alias(f"{c}_uid"), F.col("path").alias(f"{c}_path"))
+    calls = dense_calls(spark, sf).select("src", "dst").join(end("src", "source"), "src").join(end("dst", "target"), "dst")
+    linked = calls.where("source_path <> target_path").select(F.col("source_path").alias("src_path"), F.col("target_path").alias("dst_path")).distinct()
+    linked = linked.where(F.md5(F.concat("src_path", "dst_path")) < "1")
+    return export.drawn(known, calls.select("source_uid", "target_uid", F.lit("CALLS").alias("relation")), linked)
+
+
+@query(f"""{_DRAWN} select a.uid as source, b.uid as target, 'CALLS' as relation from calls join keep a on a.k = src join keep b on b.k = dst where a.uid <> b.uid
+union all select s, d, 'IMPORTS' from imp where s in (select path from big) and d in (select path from big)
+union all select path, uid, 'CONTAINS' from keep where path in (select path from big)""")
 def q_web_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Links between the first six thousand nodes."""
-    keep = first_rows(symbols(spark, sf).where("label in ('Function', 'Class')").select("k", "uid"), 6000, "uid")
-    calls = dense_calls(spark, sf).select("src", "dst")
-    out = calls.join(F.broadcast(keep.select(F.col("k").alias("src"), F.col("uid").alias("source"))), "src")  # 6,000 rows
-    return out.join(F.broadcast(keep.select(F.col("k").alias("dst"), F.col("uid").alias("target"))), "dst").select("source", "target", F.lit("CALLS").alias("kind"))
+    """Links among the six thousand most called symbols and the fifteen hundred largest files."""
+    return _drawn(spark, sf)[1]
+
+
+@query(f"""{_DRAWN} select uid as id, label as kind, name, path, line_number as line, cast(weight as bigint) as weight from keep
+union all select path, 'File', regexp_extract(path, '([^/]+)$', 1), path, 0, weight from big""")
+def q_web_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Q18, A3: those symbols by calls, and those files by symbols."""
+    return _drawn(spark, sf)[0]
 
 
 @query("""with o as (select doc_id as p, md5(coalesce(text, '')) as m from documents where doc_id % 17 <> 0), n as (

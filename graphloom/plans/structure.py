@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SYMBOLS_SQL, TOPOLOGY_SQL, file_calls, sparse_calls, symbols
+from ..model import DENSE_SQL, RAW_SQL, SYMBOLS_SQL, TOPOLOGY_SQL, dense_calls, file_calls, sparse_calls, symbols
 from ..operators import community, topology
 from ..session import cut
 from .lookup import query
@@ -118,6 +118,17 @@ def q_shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return topology.shared_dependencies(label, pairs, metrics)
 
 
+@query(f"""{_label_sql()}, {_adopt_sql(8)}, {RAW_SQL}, {DENSE_SQL} select seed, 'file' as what, path as value from fin union all select seed, 'entry_file', path from fin where path in (select path from ent)
+union all select distinct seed, 'side_effect', call_kind || ':' || b.name from calls join sym a on a.k = src join sym b on b.k = dst join fin on fin.path = a.path where call_kind = 'celery_dispatch'""")
+def q_cluster_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, entry files and side effects of each cluster, a row each."""
+    pairs, metrics, entry = _files(spark, sf)
+    label = cut(topology.adopted(pairs, metrics, topology.labelled(pairs, metrics, entry)))
+    at = symbols(spark, sf)
+    calls = dense_calls(spark, sf).select("src", "dst", "call_kind").join(at.select(F.col("k").alias("src"), "path"), "src").join(at.select(F.col("k").alias("dst"), F.col("name").alias("callee")), "dst")
+    return topology.details(label, entry, calls)
+
+
 _MEMBERS = "mem as (select distinct l_returnflag || l_linestatus || (l_quantity::int % 5) as cluster, l_suppkey as path from lineitem)"
 
 
@@ -135,16 +146,7 @@ r(a, b) as (select distinct a, a from e union select r.a, e.b from r join e on e
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected components of the undirected call graph, by least reachable key."""
     edges = cut(community.undirected(sparse_calls(spark, sf)))
-    both = cut(community._both(edges))
-    label = cut(both.select("u").distinct().select("u", F.col("u").alias("c")))
-    while True:
-        seen = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        new = label.join(seen, "u").select("u", F.least("c", "m").alias("n"), "c")
-        # a jump: the label of the label
-        jump = cut(new.join(new.select(F.col("u").alias("n"), F.col("n").alias("far")), "n").select("u", F.least("n", "far").alias("n"), "c"))
-        if jump.where("n <> c").isEmpty():
-            return label.select(F.col("u").alias("k"), F.col("c").alias("component"))
-        label = jump.select("u", F.col("n").alias("c"))
+    return community.components(edges).select(F.col("uid").alias("k"), "component")
 
 
 @query(None)

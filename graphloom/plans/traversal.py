@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import GRAPH_SQL, dense_calls, symbols
 from ..operators.expand import capped, shortest_path, traverse
+from ..operators.order import placed
 from ..session import cut
 from .build import dependencies, file_links
 from .lookup import query
@@ -52,9 +53,11 @@ select * from (select cast(row_number() over (order by depth, key) as integer) a
 
 
 def _flat(found: DataFrame, top: int | None) -> DataFrame:
-    ordered = found if top is None else found.orderBy("depth", "key").limit(top)
-    position = F.row_number().over(Window.orderBy("depth", "key"))
-    return ordered.select(position.alias("position"), "depth", F.col("src").alias("from_k"), F.col("dst").alias("to_k"), "line_number", "call_kind", "confidence")
+    if top is None:
+        ordered = placed(found, ["depth", "key"]).withColumn("position", F.col("position").cast("int"))
+    else:
+        ordered = found.orderBy("depth", "key").limit(top).withColumn("position", F.row_number().over(Window.orderBy("depth", "key")))
+    return ordered.select("position", "depth", F.col("src").alias("from_k"), F.col("dst").alias("to_k"), "line_number", "call_kind", "confidence")
 
 
 @query(_trace_sql(False, 3, 30, 100))
@@ -132,5 +135,4 @@ def q_files_in_chain(spark: SparkSession, sf: str) -> DataFrame:
     calls = raw_calls(spark, sf).where("call_kind = 'local' and dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("l_orderkey").alias("o"), F.min("line_number").alias("line"))
     edges = cut(capped(calls, ["o", "line", "dst"], None).select("src", "dst", "rank"))
     found = traverse(edges, _root(spark, sf), 4).join(symbols(spark, sf).select(F.col("k").alias("dst"), "path"), "dst")
-    placed = found.withColumn("p", F.row_number().over(Window.orderBy("depth", "key")))
-    return placed.groupBy("path").agg(F.min("p").alias("position"))
+    return placed(found, ["depth", "key"]).groupBy("path").agg(F.min("position").cast("int").alias("position"))

@@ -75,8 +75,19 @@ def test_structure(graph):
     assert status["nodes", "Class"] == 2 and status["edges", "INHERITS"] == 1 and status["edges", "IMPORTS"] == 3
     stats = graph.call_stats().first()
     assert stats["total"] == stats["local"] + stats["external"] and stats["external"] == 5
-    nodes, links = graph.export(4)
-    assert nodes.count() == 4 and links.count() > 0
+    nodes, links = graph.export(4, 2)
+    drawn = [(r["kind"], r["name"], r["weight"]) for r in nodes.orderBy("kind", "name").collect()]
+    assert sum(k != "File" for k, _, _ in drawn) == 4 and [x for x in drawn if x[0] == "File"] == [("File", "api.py", 2), ("File", "store.py", 5)]
+    ids = {r["id"] for r in nodes.collect()}
+    assert all(r["source"] in ids and r["target"] in ids and r["source"] != r["target"] for r in links.collect())
+    whole = graph.web_graph()
+    assert {x["relation"] for x in whole["links"]} == {"CALLS", "INHERITS", "IMPORTS", "CONTAINS"} and not whole["stats"]["truncated"]
+    assert whole["stats"]["nodes"] == 13 and whole["stats"]["nodes_by_kind"]["File"] == 4 and graph.web_graph(4)["stats"]["truncated"]
+    detail = graph.node_detail(graph.resolve_symbol("remind").first()["uid"])
+    assert [x["name"] for x in detail["callers"]] == ["create"] and "Order.total" in [x["name"] for x in detail["callees"]] and graph.node_detail("none") == {}
+    of = {c: [(r["what"], r["value"].rpartition("/")[2]) for r in graph.cluster(c).collect()] for c in {r["cluster_id"] for r in graph.table("clusters").collect()}}
+    api = next(rows for rows in of.values() if ("entry_file", "api.py") in rows)
+    assert ("side_effect", "celery_dispatch:remind") in api and ("file", "api.py") in api
     uid = graph.resolve_symbol("remind").first()["uid"]
     assert graph.snippet(uid).first()["snippet"] == "def remind(order):\n    return Order().total()"
     assert graph.lines("tasks.py").count() == 6 and graph.lines("/etc/passwd").isEmpty()
@@ -168,3 +179,15 @@ def test_stored_postings_search_alike(graph):
     rows = lambda df: sorted(tuple(r) for r in df.select("qid", "rank", "id", "score").collect())
     want = rows(search.bm25(graph.table("chunks").select("id", "text"), asked, 5))
     assert want and rows(search.bm25_of_postings(graph.table("postings"), graph.table("corpus"), asked, 5)) == want
+
+
+def test_files_go_and_come(spark, root, tmp_path):
+    graph = CodeGraph(spark, str(tmp_path / "s"))
+    graph.index(str(root))
+    store = graph.resolve_file("app/store.py").first()["path"]
+    assert graph.remove_file(store) == 5 and graph.remove_file(store) == 0
+    left = graph.table("nodes")
+    assert left.where(left.path == store).isEmpty() and graph.table("imports").where("dst_path like '%store.py'").isEmpty()
+    assert graph.clear() == left.count() > 0
+    assert graph.table("nodes").isEmpty() and graph.resolve_symbol("show").isEmpty()
+    assert graph.prune() == 2 and graph.table("nodes").isEmpty()

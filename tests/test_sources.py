@@ -247,6 +247,75 @@ def test_hubs_join_their_neighbours(spark):
     assert set(found) == set("abcdefghz") and found["h"] == found["a"] == found["b"] == found["c"] != found["z"]
 
 
+def _modularity(edges, part):
+    total, q = 2 * len(edges), 0.0
+    for c in set(part.values()):
+        inside = sum(2 for a, b in edges if part[a] == part[b] == c)
+        mass = sum((part[a] == c) + (part[b] == c) for a, b in edges)
+        q += inside / total - (mass / total) ** 2
+    return q
+
+
+def test_communities_reach_the_planted_modularity(spark):
+    import random
+
+    from graphloom.operators import community
+
+    rng = random.Random(7)
+    planted = {f"n{i:03d}": i % 6 for i in range(180)}
+    names = sorted(planted)
+    edges = sorted({tuple(sorted((a, b))) for a in names for b in names if a < b and rng.random() < (0.4 if planted[a] == planted[b] else 0.01)})
+    table = spark.createDataFrame(edges, "a string, b string")
+    found = community.detect(table)
+    part = {r["uid"]: r["community"] for r in found.collect()}
+    assert set(part) == set(names) and len(set(part.values())) == 6
+    assert abs(community.modularity(table, found) - _modularity(edges, part)) < 1e-9
+    assert _modularity(edges, part) >= _modularity(edges, planted) - 1e-9
+
+
+def test_levels_join_small_cliques(spark):
+    """A ring of 30 cliques of 4: one level stops at the cliques, the next ones join neighbours."""
+    from graphloom.operators import community
+
+    edges = [(f"{c:02d}{a}", f"{c:02d}{b}") for c in range(30) for a in range(4) for b in range(a + 1, 4)] + [tuple(sorted((f"{c:02d}0", f"{(c + 1) % 30:02d}1"))) for c in range(30)]
+    part = {r["uid"]: r["community"] for r in community.detect(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert all(len({part[f"{c:02d}{a}"] for a in range(4)}) == 1 for c in range(30))
+    assert _modularity(edges, part) > _modularity(edges, {n: n[:2] for n in part}) and len(set(part.values())) < 30
+
+
+def test_overlaps_by_brute_force(spark):
+    import random
+
+    from graphloom.operators import topology
+
+    rng = random.Random(3)
+    sets = {f"c{i}": {f"p{rng.randrange(12)}" for _ in range(rng.randrange(1, 9))} | {"hot"} for i in range(60)}
+    members = spark.createDataFrame([(c, p) for c, ps in sets.items() for p in sorted(ps)], "cluster string, path string")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert want and {(r["a"], r["b"]) for r in topology.merged_by_overlap(members).collect()} == want
+    merged: dict = {}
+    for r in topology.united(members).collect():
+        merged.setdefault(r["cluster"], set()).add(r["path"])
+    assert all(len(merged[a] & merged[b]) / len(merged[a] | merged[b]) < 0.6 for a in merged for b in merged if a < b)
+    apart = spark.createDataFrame([("a", "x"), ("b", "y")], "cluster string, path string")
+    assert sorted(map(tuple, topology.united(apart).collect())) == [("a", "x"), ("b", "y")]
+
+
+def test_places_and_pieces(spark):
+    from graphloom.operators import order, search
+
+    rows = spark.createDataFrame([([i % 3, i % 7], i) for i in range(500)], "key array<int>, i int")
+    got = [r["i"] for r in order.placed(rows, ["key", "i"]).orderBy("position").collect()]
+    assert got == sorted(range(500), key=lambda i: ([i % 3, i % 7], i))
+    assert sorted(r["p"] for r in order.placed(rows, ["key", "i"], "p").collect()) == list(range(1, 501))
+    assert order.placed(rows.limit(0), ["key"]).isEmpty()
+    names = ["abcab", "xab", "b", "", "a.b%c", "\U0001f600é", None, "xab"]
+    asked = ["ab", "abcab", "b", "cabz", "", ".b%", "\U0001f600", "a", None]
+    table, want = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {(r["q"], r["name"]) for r in search.holding(want, table).collect()}
+    assert got == {(q, n) for q in asked for n in names if q and n is not None and q in n}
+
+
 def test_slugs_are_unique(spark):
     from graphloom.operators import topology
 
