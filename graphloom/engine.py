@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import routes, scalars
 from .model import EDGES, NODES
-from .operators import evaluation, expand, export, joins, search
+from .operators import evaluation, expand, joins, search
+from .operators import export as drawing
 from .operators.order import placed
 from .plans import build
 from .session import cut
@@ -342,16 +343,16 @@ class CodeGraph:
         n = F.least(F.greatest(F.col("end_line") - F.col("line_number") + 1, F.lit(1)), F.lit(lines)).cast("int")
         return joined.select("uid", "name", "path", F.array_join(F.slice(F.split("text", r"\r?\n"), F.col("line_number").cast("int"), n), "\n").alias("snippet"))
 
-    def export(self, symbols: int = export.SYMBOLS, files: int = export.FILES) -> tuple[DataFrame, DataFrame]:
+    def export(self, symbols: int = drawing.SYMBOLS, files: int = drawing.FILES) -> tuple[DataFrame, DataFrame]:
         """Nodes and links of the most called symbols and the files of the most symbols, for drawing."""
-        return export.drawn(self.table("nodes"), self.table("edges"), self.table("imports"), symbols, files)
+        return drawing.drawn(self.table("nodes"), self.table("edges"), self.table("imports"), symbols, files)
 
-    def web_graph(self, symbols: int = export.SYMBOLS, files: int = export.FILES) -> dict:
+    def web_graph(self, symbols: int = drawing.SYMBOLS, files: int = drawing.FILES) -> dict:
         """What :meth:`export` finds as lists of nodes and links, with stats; at most ``symbols`` + ``files`` nodes."""
         nodes, links = self.export(symbols, files)
-        every = self.table("nodes").where(F.col("label").isin(*export.LABELS)).count()
+        every = self.table("nodes").where(F.col("label").isin(*drawing.LABELS)).count()
         by = lambda rows, *c: [r.asDict() for r in rows.orderBy(*c).collect()]
-        return {"nodes": by(nodes, "kind", F.desc("weight"), "id"), "links": by(links, "relation", "source", "target"), "stats": export.counts(nodes, links, every)}
+        return {"nodes": by(nodes, "kind", F.desc("weight"), "id"), "links": by(links, "relation", "source", "target"), "stats": drawing.counts(nodes, links, every)}
 
     def node_detail(self, uid: str) -> dict:
         """A symbol with its snippet, its callers and its callees, thirty of each in order of name; empty if there is none."""

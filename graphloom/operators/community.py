@@ -20,8 +20,6 @@ def _both(edges: DataFrame) -> DataFrame:
 
 #: Levels end when one adds less than this to the modularity.
 THRESHOLD = 1e-4
-#: Turns that gain nothing before a level is given up.
-IDLE = 6
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:
@@ -39,10 +37,11 @@ def _quality(both: DataFrame, label: DataFrame, total: float) -> float:
     return found or 0.0
 
 
-def _turn(both: DataFrame, label: DataFrame, total: float, turn: int) -> DataFrame:
+def _turn(both: DataFrame, label: DataFrame, total: float, turn: int, only: str | None = None) -> DataFrame:
     """``label`` (uid, community, k, own) after a turn: the nodes of half the communities, by a hash of the turn, join
     that one of the other half, all at once, which gains most, ties to the least hash. So two nodes never swap, and
-    none follows one that leaves. Beside it home, where each was, its weight inside there, and whether it would move."""
+    none follows one that leaves. With ``only``, that node moves and no other. Beside it home, where each was, its
+    weight inside there, whether it would move, and what that gains."""
     mass = label.groupBy("community").agg(F.sum("k").alias("mass"))
     links = both.where("u <> v").join(label.select(F.col("uid").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("links"))
     own = label.select(F.col("uid").alias("u"), F.col("community").alias("home"), "k", "own")
@@ -52,40 +51,47 @@ def _turn(both: DataFrame, label: DataFrame, total: float, turn: int) -> DataFra
     stays = F.col("community") == F.col("home")
     gain = F.col("links") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(total)
     side = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
-    open_ = stays | ((side("home") == 0) & (side("community") == 1))
+    open_ = stays | ((side("home") == 0) & (side("community") == 1) if only is None else F.col("u") == only)
     order = F.struct(F.round(gain, 9), stays, F.expr("-xxhash64(community)"))
     best = options.groupBy("u", "home", "k", "own").agg(
         F.max_by("community", order).alias("wish"),
         F.max_by("community", F.when(open_, order)).alias("community"),
         (F.max(F.when(stays, F.col("links"))) + F.first("own")).alias("inside"),
+        (F.max(gain) - F.max(F.when(stays, gain))).alias("delta"),
     )
-    return cut(best.select(F.col("u").alias("uid"), "community", "k", "own", "home", "inside", (F.col("wish") != F.col("home")).alias("wishes")))
+    return cut(best.select(F.col("u").alias("uid"), "community", "k", "own", "home", "inside", "delta", (F.col("wish") != F.col("home")).alias("wishes")))
 
 
-def _judged(after: DataFrame, total: float) -> tuple[float, int]:
-    """The modularity of the state before a turn, and how many nodes would have moved."""
-    each = after.groupBy("home").agg(F.sum("k").alias("mass"), F.sum("inside").alias("inside"), F.count_if("wishes").alias("wishes"))
-    found = each.agg(F.sum(F.col("inside") / total - F.pow(F.col("mass") / total, 2)), F.sum("wishes")).first()
-    return found[0], found[1]
+def _judged(after: DataFrame, total: float):
+    """Of the state before a turn: its modularity, the node that would gain most by moving, and how many did move."""
+    each = after.groupBy("home").agg(
+        F.sum("k").alias("mass"),
+        F.sum("inside").alias("inside"),
+        F.max(F.when(F.col("wishes"), F.struct("delta", "uid"))).alias("best"),
+        F.count_if(F.col("community") != F.col("home")).alias("moved"),
+    )
+    return each.agg(F.sum(F.col("inside") / total - F.pow(F.col("mass") / total, 2)).alias("quality"), F.max("best")["uid"].alias("best"), F.sum("moved").alias("moved")).first()
 
 
 def _local(both: DataFrame, total: float) -> tuple[DataFrame, float]:
-    """uid, community, and its modularity: turns until no node would move, or ``IDLE`` of them in a row, each with
-    another half, gained nothing by nodes that moved at once. A turn that gains nothing is taken back."""
+    """uid, community, and its modularity: turns until no node would move. A turn that gained nothing, as nodes moved
+    at once or none was open, is taken back, and the one node that gains most moves alone."""
     start = both.groupBy("u").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("own"))
     now = _turn(both, start.select(F.col("u").alias("uid"), F.col("u").alias("community"), "k", "own"), total, 0)
-    reached, wishes = _judged(now, total)
-    idle, turn = 0, 0
-    while wishes and idle < IDLE:
+    at, turn, alone = _judged(now, total), 0, False
+    while at["best"] is not None:
         turn += 1
-        then = _turn(both, now.select("uid", "community", "k", "own"), total, turn)
-        quality, more = _judged(then, total)
-        if quality > reached + 1e-9:
-            now, reached, wishes, idle = then, quality, more, 0
-        else:
-            idle, turn = idle + 1, turn + 1
-            now = _turn(both, now.select("uid", F.col("home").alias("community"), "k", "own"), total, turn)
-    return now.select("uid", F.col("home").alias("community")), reached
+        if at["moved"]:
+            then = _turn(both, now.select("uid", "community", "k", "own"), total, turn)
+            reached = _judged(then, total)
+            if reached["quality"] > at["quality"] + 1e-9:
+                now, at, alone = then, reached, False
+                continue
+            if alone:  # a gain below what sums of doubles tell apart
+                break
+        now, alone = _turn(both, now.select("uid", F.col("home").alias("community"), "k", "own"), total, turn, at["best"]), True
+        at = _judged(now, total)
+    return now.select("uid", F.col("home").alias("community")), at["quality"]
 
 
 def detect(edges: DataFrame) -> DataFrame:
