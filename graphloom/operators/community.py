@@ -87,8 +87,8 @@ def _local(both: DataFrame, total: float) -> tuple[DataFrame, float]:
             if reached["quality"] > at["quality"] + 1e-9:
                 now, at, alone = then, reached, False
                 continue
-            if alone:  # a gain below what sums of doubles tell apart
-                break
+        if alone:  # a gain below what sums of doubles tell apart
+            break
         now, alone = _turn(both, now.select("uid", F.col("home").alias("community"), "k", "own"), total, turn, at["best"]), True
         at = _judged(now, total)
     return now.select("uid", F.col("home").alias("community")), at["quality"]
