@@ -69,15 +69,15 @@ m as (select b.item_id as qid, round(coalesce(dcg / list_sum(list_transform(rang
 
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     asked, chunks = _asked(spark, sf), _chunks(spark, sf)
-    # Passages of five words or more and the documents meet on their words two to five, then are compared; shorter
-    # ones, which have no such words, are broadcast in blocks to a scan of the documents.
+    # Passages of six words or more and the documents meet on their words two to five, which are whole in any text that
+    # holds the passage, then are compared; shorter ones are broadcast in blocks to a scan of the documents.
     ranked = search.bm25(chunks, asked, TOP)
-    head = lambda t: F.array_join(F.slice(F.split(t, " "), 2, 4), " ")
-    long = F.size(F.split("text", " ")) >= 5
-    wanted = asked.where(long).select("qid", "text", head(F.col("text")).alias("g"))
-    grams = chunks.select("id", F.split("text", r"[ \n]").alias("w"), F.col("text").alias("whole"))
-    grams = grams.select("id", "whole", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(w) - 3)), i -> array_join(slice(w, i, 4), ' ')))")).alias("g"))
-    near = grams.select("id", "g").join(wanted.select("qid", F.translate("g", "\n", " ").alias("g")), "g").select("qid", "id").distinct()
+    words = lambda t: F.split(t, r"[ \n]")
+    long = F.size(words(F.col("text"))) >= 6
+    wanted = asked.where(long).select("qid", F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("g"))
+    grams = chunks.select("id", words(F.col("text")).alias("w"))
+    grams = grams.select("id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(w) - 3)), i -> array_join(slice(w, i, 4), ' ')))")).alias("g"))
+    near = grams.join(wanted, "g").select("qid", "id").distinct()
     relevant = near.join(asked.select("qid", F.col("text").alias("t")), "qid").join(chunks, "id").where(F.col("text").contains(F.col("t"))).select("qid", "id")
     short = asked.where(~F.coalesce(long, F.lit(False)) & F.col("text").isNotNull()).select("qid", F.col("text").alias("t"))
     for block in search.blocks(short, "qid"):

@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from graphloom import catalogue
@@ -30,3 +34,23 @@ def test_every_file_has_one_cluster(spark):
 
     assert sum(r["files"] for r in found) == symbols(spark, SF).select("path").distinct().count()
     assert sum(r["is_foundational"] for r in found) <= 1
+
+
+def _with(tmp_path, **tables):
+    """A folder of the driver tables in which ``tables`` stand in for those of their names."""
+    for f in Path(SF).glob("*.parquet"):
+        if f.stem not in tables:
+            (tmp_path / f.name).symlink_to(f)
+    for name, rows in tables.items():
+        pq.write_table(rows, tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def test_passages_over_lines_and_to_the_middle_of_a_word(spark, tmp_path):
+    texts = ["zero one two three four five six seven", "zero one\ntwo three four five\nsix seven", "a one two three four fivefold", "nothing of it", None]
+    items = ["one two three four five six", "one\ntwo three four five\nsix", "ne two three four five", "ro one two three four five s", "two", None]
+    documents = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    sf = _with(tmp_path, documents=documents, benchmark=pa.table({"item_id": pa.array(range(len(items)), pa.int64()), "text": items}))
+    same(spark, connect(sf), catalogue.QUERIES["q_search_quality"], catalogue.SQL["q_search_quality"], sf)
+    found = {r["qid"]: r["ndcg"] for r in catalogue.QUERIES["q_search_quality"](spark, sf).collect()}
+    assert all(found[q] > 0 for q in range(5)) and found[5] == 0
