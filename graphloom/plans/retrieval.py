@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, search
@@ -20,6 +20,11 @@ df as (select term, count(*) as df from t group by term), bm as materialized (se
 kw as materialized (select * from (select *, cast(row_number() over (partition by qid order by score desc, id) as integer) as rank from bm) where rank <= {top})"""
 
 
+def _four(x: Column) -> Column:
+    """``x`` to four decimals as the SQL rounds, which scales the double and does not look at its digits."""
+    return F.round(x * 10000) / 10000
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
 
@@ -95,5 +100,5 @@ def q_search_quality(spark: SparkSession, sf: str) -> DataFrame:
 def q_eval_report(spark: SparkSession, sf: str) -> DataFrame:
     """Means by kind of query."""
     kind = F.when(F.col("qid") % 2 == 0, "even").otherwise("odd")
-    mean = lambda c: F.round(F.avg(c), 4).alias(c)
+    mean = lambda c: _four(F.avg(c)).alias(c)
     return _quality(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), mean("ndcg"), mean("mrr"), mean("precision"))

@@ -3,6 +3,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import catalogue
 
@@ -54,3 +55,15 @@ def test_passages_over_lines_and_to_the_middle_of_a_word(spark, tmp_path):
     same(spark, connect(sf), catalogue.QUERIES["q_search_quality"], catalogue.SQL["q_search_quality"], sf)
     found = {r["qid"]: r["ndcg"] for r in catalogue.QUERIES["q_search_quality"](spark, sf).collect()}
     assert all(found[q] > 0 for q in range(5)) and found[5] == 0
+
+
+def test_means_are_rounded_as_the_sql_rounds(spark, tmp_path):
+    from graphloom.plans.retrieval import _four
+
+    values = [0.50105, 0.12345, 0.38835, 0.00015, 0.70005, 1.0, 0.0, 24.64625]
+    pq.write_table(pa.table({"x": values}), tmp_path / "x.parquet")
+    want = connect(SF).execute(f"select x, round(x, 4) from '{tmp_path}/x.parquet'").fetchall()
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", _four(F.col("x")).alias("y")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    plain = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.round("x", 4)).collect()
+    assert sorted(map(tuple, plain)) != sorted(want)
