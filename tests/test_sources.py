@@ -430,3 +430,33 @@ def test_scripts_and_go(spark):
     }
     assert found["INHERITS"] == {("Order", "Base")} and ("Item", "Item.Save") in found["CONTAINS"] and ("Order", "Order.sum") in found["CONTAINS"]
     assert {(r["src_path"][3:], r["dst_path"][3:]) for r in linked.collect()} == {("src/order.ts", "src/models/base.ts"), ("src/order.ts", "lib/util.js"), ("src/order.ts", "src/store/index.ts"), ("pkg/item.go", "helper/do.go")}
+
+
+def test_communities_by_arrays_and_by_jobs_are_the_same(spark, monkeypatch):
+    from graphloom.operators import community
+
+    # a hub of many leaves, cliques in a ring, a chain, and names whose order is not that of their numbers
+    pairs = [("hub", f"leaf{i}") for i in range(30)] + [(f"p{i}", f"p{i + 1}") for i in range(12)]
+    pairs += [(f"c{c}é{i}", f"c{c}é{j}") for c in range(5) for i in range(4) for j in range(i)] + [(f"c{c}é0", f"c{(c + 1) % 5}é1") for c in range(5)]
+    edges = spark.createDataFrame(sorted((min(p), max(p)) for p in pairs), "a string, b string")
+    rows = lambda: {r["uid"]: r["community"] for r in community.detect(edges).collect()}
+    found = rows()
+    assert set(found) == {x for p in pairs for x in p} and set(found.values()) <= set(found)
+    assert len({found[f"leaf{i}"] for i in range(30)} | {found["hub"]}) == 1
+    monkeypatch.setattr(community, "LOCAL", 0)
+    assert rows() == found
+
+
+def test_communities_take_few_turns(spark, monkeypatch):
+    from graphloom.operators import community
+
+    taken = []
+    level = community._level
+    monkeypatch.setattr(community, "_level", lambda start, take, judge: level(start, lambda s, t: taken.append(t) or take(s, t), judge))
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    links = np.unique(np.sort(rng.integers(0, 20_000, (20_000, 2)), 1), axis=0)
+    links = links[links[:, 0] != links[:, 1]]
+    label = community._by_arrays(links[:, 0], links[:, 1], 20_000)
+    assert len(taken) < 500 and len(set(label.tolist())) < 10_000
