@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 K1, B, RRF = 1.2, 0.75, 60
 #: Queries that are broadcast at once, and asked terms that are looked up by a filter on the scan.
 BLOCK, FEW = 2048, 1000
@@ -77,17 +84,105 @@ def blocks(queries: DataFrame, key: str, size: int = BLOCK) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries] * n
 
 
+#: Candidates that are compared with a block of queries at once, some 100 megabytes.
+CHUNK = 1024
+#: Codes of scores in millionths: no number comes before all numbers, null after all, then nothing.
+_NAN, _NULL, _NONE = 2_000_000, -2_000_000, -3_000_000
+
+
+def _matrices(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors (a matrix of doubles) by length; null and empty vectors, and those that hold null, are left out."""
+    size = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = column.flatten()  # without what null lists cover
+    begin = np.cumsum(size) - size
+    value = flat.cast(pa.float64())
+    whole = size > 0
+    if value.null_count:
+        whole[np.repeat(np.arange(len(size)), size)[value.is_null().to_numpy(zero_copy_only=False)]] = False
+    value = pc.fill_null(value, 0.0).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size[whole]).tolist():
+        place = np.flatnonzero(whole & (size == d))
+        out[d] = place, value[begin[place, None] + np.arange(d)]
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in order, as SQL sums them."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _millionths(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of ``q`` and ``c`` in millionths, rounded. They come from a matrix product; those that it
+    leaves near the middle of two millionths are taken again from sums in order."""
+    with np.errstate(all="ignore"):
+        qq, cc = _dots(q, q), _dots(c, c)
+        x = (q @ c.T) / np.sqrt(qq[:, None] * cc) * 1e6
+        size = np.abs(x)
+        down = np.floor(size)
+        i, j = np.nonzero(np.abs(size - down - 0.5) < 1e-5 + 1e-9 * q.shape[1])
+        for k in range(0, len(i), 1 << 16):
+            s, t = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            size[s, t] = np.abs(_dots(q[s], c[t]) / np.sqrt(qq[s] * cc[t]) * 1e6)
+        down = np.floor(size)
+        near = np.copysign(down + (size - down >= 0.5), x)
+        return np.where(np.isnan(near), _NAN, near).astype(np.int64)
+
+
 def related(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """qid, id, score, rank: nearest vectors (id, v) to each query vector (qid, v), itself left out.
+    """qid, id, score, rank: nearest vectors (id, v) to each query vector (qid, v), itself left out; ids are integers.
 
-    The queries are broadcast to scans of the vectors, a block at a time; a task hands on its best ``top`` rows.
+    The queries are broadcast to scans of the vectors, a block at a time; a task hands on its best ``top`` rows of each.
+    A vector that is null, empty, of another length or holds null has a null score, the last; one without a direction
+    has no number, the first.
     """
+    spark = vectors.sparkSession
+    ship(spark)
+    types = {**dict(vectors.dtypes), **dict(queries.dtypes)}
+    # a file may be one row group, which is one task
+    dealt = vectors.where("id is not null").select(F.col("id").cast("long").alias("id"), "v")
+    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+    asked = queries.where("qid is not null").select(F.col("qid").cast("long").alias("qid"), "v")
     out = None
-    for block in blocks(queries, "qid") or [queries.limit(0)]:
-        pairs = vectors.join(F.broadcast(block.withColumnRenamed("v", "q")), F.col("id") != F.col("qid"))
-        found = best(pairs.select("qid", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), top)
+    for block in blocks(asked, "qid") or [asked.limit(0)]:
+        held = spark.sparkContext.broadcast(block.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            table = held.value.combine_chunks()
+            qid = table.column("qid").to_numpy()
+            if not len(qid):
+                return
+            q = _matrices(pa.concat_arrays(table.column("v").chunks))
+            best_score, best_id = np.full((len(qid), top), _NONE), np.zeros((len(qid), top), np.int64)
+            for batch in batches:
+                for k in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(k, CHUNK)
+                    id_ = part.column(0).to_numpy()
+                    score = np.full((len(qid), len(id_)), _NULL)
+                    for d, (place, c) in _matrices(part.column(1)).items():
+                        if d in q:
+                            score[np.ix_(q[d][0], place)] = _millionths(q[d][1], c)
+                    score[qid[:, None] == id_] = _NONE
+                    if len(id_) > top:
+                        order = np.empty(len(id_), np.int64)
+                        order[np.argsort(id_, kind="stable")] = np.arange(len(id_) - 1, -1, -1)
+                        at = np.argpartition(score * CHUNK + order, len(id_) - top, axis=1)[:, -top:]
+                    else:
+                        at = np.tile(np.arange(len(id_)), (len(qid), 1))
+                    score, id_ = np.concatenate([best_score, np.take_along_axis(score, at, 1)], 1), np.concatenate([best_id, id_[at]], 1)
+                    first = np.lexsort((id_, -score), axis=1)[:, :top]
+                    best_score, best_id = np.take_along_axis(score, first, 1), np.take_along_axis(id_, first, 1)
+            i, j = np.nonzero(best_score != _NONE)
+            code = best_score[i, j]
+            value = np.where(code == _NAN, np.nan, code / 1e6)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(best_id[i, j]), pa.array(value, mask=code == _NULL)], names=["qid", "id", "score"])
+
+        found = best(dealt.mapInArrow(run, "qid long, id long, score double"), top)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.select(F.col("qid").cast(types["qid"]).alias("qid"), F.col("id").cast(types["id"]).alias("id"), "score", "rank")
 
 
 def fused(lists: list[DataFrame], top: int) -> DataFrame:

@@ -55,7 +55,7 @@ def _nearest(spark: SparkSession, sf: str, top: int, items: DataFrame | None = N
 @query(f"with {_KNN.format(top=5, asked='q.vec_id % 50 = 0')} select qid, id, round(score, 4) as score, rank from nn")
 def q_find_related(spark: SparkSession, sf: str) -> DataFrame:
     """Q22: chunks most like a result, by cosine; results are the rows whose id is divisible by 50."""
-    return _nearest(spark, sf, 5).select("qid", "id", F.round("score", 4).alias("score"), "rank")
+    return _nearest(spark, sf, 5).select("qid", "id", _four(F.col("score")).alias("score"), "rank")
 
 
 @query(f"""{_bm25_sql(50)}, {_KNN.format(top=50, asked='q.vec_id in (select item_id from benchmark)')}, u as (select qid, id, rank from kw union all select qid, id, rank from nn), f as (select qid, id, round(sum(1.0 / (60 + rank)), 6) as score from u group by 1, 2)

@@ -67,3 +67,23 @@ def test_means_are_rounded_as_the_sql_rounds(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
     plain = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.round("x", 4)).collect()
     assert sorted(map(tuple, plain)) != sorted(want)
+
+
+def test_related_vectors_of_odd_rows_and_copies(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from graphloom.operators import search
+
+    monkeypatch.setattr(search, "CHUNK", 64)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(420, 8)).astype(np.float32).tolist()
+    rows[1] = rows[50] = rows[300] = [0.0] * 8  # no direction
+    rows[2] = rows[100] = rows[301] = None
+    rows[150:260] = [rows[150]] * 110  # copies, more than a chunk and the asked ones among them
+    rows[260:300] = rng.integers(-2, 3, (40, 8)).astype(np.float32).tolist()  # many equal cosines
+    rows[302] = [float("nan")] + [1.0] * 7
+    rows[303] = [float("inf")] + [1.0] * 7
+    table = pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))})
+    sf = _with(tmp_path, embeddings=table)
+    same(spark, connect(sf), catalogue.QUERIES["q_find_related"], catalogue.SQL["q_find_related"], sf)
