@@ -8,8 +8,10 @@ linked yet is compared exhaustively too, or, if that is still too much, the node
 its own path chooses. A node whose members are all linked is done, so the copies of one text, in a group of any size, are
 through with one comparison each.
 
-Work is dealt in cells of at most about two ``PART``s of members: a node beyond one part is cut by a hash of its
-members, and every two parts that hold members of different components meet in a cell. Members that candidates (a
+Work is dealt in cells of bounded size: members of a small node outside its largest component, some 2,000 at most, are
+one part, those inside are cut by a hash into parts no smaller, and every two parts that hold members of different
+components meet in a cell, so that a member has few copies. Parts of long texts, and of what is left after ``LEVELS``,
+are smaller: ``PART_SHINGLES``, ``PART``. Members that candidates (a
 sketched similarity of ``NEAR``) connect within a cell form a block, named by its members, so that the same block of
 several trees is one. In a block every pair is confirmed on full shingle sets through an inverted list of shingles,
 and its components are handed on as stars, so rows stay linear in a group of copies.
@@ -346,10 +348,14 @@ def _weighed(nodes: DataFrame, homes: DataFrame | None, level: int) -> tuple[Dat
         stats = stats.withColumn("top", F.col("w.component")).withColumn("most", F.col("w.c")).drop("w")
     fits = F.col("pairs") <= SMALL
     one = (F.col("size") <= PART) & (F.col("weight") <= PART_SHINGLES)
-    parts = lambda n: F.greatest(F.ceil(n / PART), F.ceil(F.col("weight") / PART_SHINGLES * n / F.col("size")), F.lit(1)).cast("int")
+    # Few enough pairs are few members outside the largest component, at most the root of 2 * SMALL: they meet in one
+    # cell unless their texts are long, and the others in parts no smaller than they are, so copies stay linear.
+    outside = F.col("size") - F.col("most")
+    parts = lambda n, part: F.greatest(F.ceil(n / part), F.ceil(F.col("weight") / PART_SHINGLES * n / F.col("size")), F.lit(1)).cast("int")
+    part = F.when(fits, F.greatest(outside, F.lit(PART))).otherwise(F.lit(PART))
     stats = stats.where("pairs > 0").withColumn("kind", F.when(one | (F.col("size") == 2) | F.lit(level == LEVELS) | (fits & F.lit(level > 0)), "small").when(fits, "again").otherwise("branch"))
-    stats = stats.withColumn("top", F.when(~one, F.col("top"))).withColumn("out_parts", F.when(one, 1).otherwise(parts(F.col("size") - F.col("most"))))
-    stats = materialise(stats.withColumn("in_parts", F.when(F.col("top").isNotNull(), parts(F.col("most"))).otherwise(0)).drop("most", "pairs"))
+    stats = stats.withColumn("top", F.when(~one, F.col("top"))).withColumn("out_parts", F.when(one, 1).otherwise(parts(outside, part)))
+    stats = materialise(stats.withColumn("in_parts", F.when(F.col("top").isNotNull(), parts(F.col("most"), part)).otherwise(0)).drop("most", "pairs"))
     once = stats.where("kind = 'small'").groupBy("size", "mark").agg(F.min_by(F.struct(*(c for c in stats.columns if c not in ("size", "mark"))), "node").alias("s")).select("size", "mark", "s.*")
     return nodes, stats.where("kind <> 'small'").unionByName(once)
 

@@ -256,6 +256,26 @@ def test_levels_at_an_end_are_compared_exhaustively(spark, monkeypatch):
     assert got == components_by_brute_force(rows, 5)
 
 
+@pytest.mark.parametrize(("inside", "outside", "words"), [(0, 1_500, 40), (900, 700, 40), (9_000, 60, 40), (300, 300, 4_000)])
+def test_cells_let_all_pairs_meet_with_few_copies(spark, inside, outside, words):
+    nodes = spark.range(inside + outside).select(F.lit(7).cast("long").alias("node"), F.col("id").alias("rep"), F.lit(words).cast("long").alias("n"))
+    homes = spark.range(inside).select("id", F.lit(0).cast("long").alias("component"))
+    placed, chosen = near_dedup._weighed(nodes, homes, 1)
+    assert [r["kind"] for r in chosen.collect()] == ["small"]
+    members = placed.join(chosen.drop("size", "weight", "mark", "kind"), "node")
+    members = members.withColumns({"id": F.col("rep"), "body": F.lit(b""), "sketch": F.lit(b"")})
+    cells = {}
+    rows = near_dedup._cells(members).select("cell", "side", "rep").collect()
+    for cell, side, rep in rows:
+        cells.setdefault(cell, ([], [], []))[side].append(rep)
+    met = {frozenset((a, b)) for zero, one, two in cells.values() for x, y in ((zero, zero), (one, two)) for a in x for b in y if max(a, b) >= inside and a != b}
+    assert len(met) == outside * (outside - 1) // 2 + inside * outside
+    if words == 40:
+        assert len(rows) <= 2 * (inside + outside) + 200
+    else:  # no cell holds more than two parts' shingles, by an even hash
+        assert max(sum(map(len, x)) for x in cells.values()) * words <= 2.5 * near_dedup.PART_SHINGLES
+
+
 def test_one_id_with_different_texts_links_through_all(spark):
     rng = random.Random(8)
     a, b = text(rng, 200), text(rng, 200)
