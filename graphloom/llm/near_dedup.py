@@ -6,7 +6,8 @@ tree's first coordinate form a node. Members of small nodes are compared exhaust
 those near to its pivot, the member nearest to the node's most common tokens, are linked with it first; then what is not
 linked yet is compared exhaustively too, or, if that is still too much, the node branches again, on two coordinates that
 its own path chooses. A node whose members are all linked is done, so the copies of one text, in a group of any size, are
-through with one comparison each.
+through with one comparison each. Components are looked up once a level, for the members of larger nodes after their
+stars; only nodes that still have too many pairs branch.
 
 Work is dealt in cells of bounded size: members of a small node outside its largest component, some 2,000 at most, are
 one part, those inside are cut by a hash into parts no smaller, and every two parts that hold members of different
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,7 +53,7 @@ PART, PART_SHINGLES = 256, 500_000
 LEVELS = 24
 #: Rows of blocks up to which their ids are broadcast to the texts (some 80 bytes each); beyond it texts are shuffled.
 BROADCAST_ROWS = 200_000
-#: Members of a node that elect the tokens of its pivot.
+#: Members of a node, drawn by lot, that elect the tokens of its pivot (about so many).
 VOTERS = 64
 #: Nodes of a level (some 100 bytes each), and nodes that get a star (some 300), up to which they are broadcast.
 BROADCAST_NODES, BROADCAST_STARS = 100_000, 20_000
@@ -185,10 +186,17 @@ def _cells(members: DataFrame) -> DataFrame:
     return dealt.select("at.cell", "at.side", "rep", "component", "n", "id", "body", "sketch")
 
 
-def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
-    """Blocks of large nodes: members near to the node's pivot, with it, part by part."""
+_LARGE = "node long, rep long, component long, n long, size double, weight long, id long, body binary, sketch binary, same long"
+
+
+def _large(nodes: DataFrame, chosen: DataFrame, n_nodes: int, sketches: DataFrame) -> DataFrame:
+    """Members of large nodes, with ``same``: on how many coordinates each has the value that is the most common one
+    among the node's voters."""
     few = n_nodes <= BROADCAST_STARS
-    voters = members.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= VOTERS)
+    chosen = chosen.where("kind = 'large'").select("node", F.col("size").cast("double").alias("size"), F.col("weight").cast("long").alias("weight"))
+    lot = F.pmod(F.xxhash64("rep", F.lit("voter")), F.lit(1 << 32))
+    voters = nodes.join(F.broadcast(chosen) if few else chosen, (nodes["node"] == chosen["node"]) & (lot * chosen["size"] <= VOTERS * 2.0**32)).select(nodes["node"], "rep")
+    voters = sketches.join(F.broadcast(voters) if n_nodes * VOTERS <= BROADCAST_ROWS else voters, "rep").select("node", "rep", "sketch")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches):
@@ -200,16 +208,25 @@ def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
             common = x[run.argmax(0), np.arange(x.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array([group.column(0)[0].as_py()], pa.int64()), pa.array([common.tobytes()], pa.binary())], names=["node", "common"])
 
-    common = voters.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node", "rep").select("node", "sketch").mapInArrow(vote, "node long, common binary")
+    common = voters.repartition("node").sortWithinPartitions("node", "rep").select("node", "sketch").mapInArrow(vote, "node long, common binary")
+    # a node without a voter, should the lots fall so, has any member as its pivot
+    chosen = chosen.join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(bytes(COORDINATES))))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 same = (_sketches(batch.column("sketch")) == _sketches(batch.column("common"))).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int64))], names=["node", "rep", "same"])
+                rows = batch.drop_columns(["common"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(same.astype(np.int64))], names=[*rows.schema.names, "same"])
+
+    members = nodes.select("node", "rep", "component", "n").join(F.broadcast(chosen) if few else chosen, "node").join(sketches, "rep")
+    return materialise(members.select("node", "rep", "component", "n", "size", "weight", "id", "body", "sketch", "common").mapInArrow(agree, _LARGE))
 
-    agreed = members.join(F.broadcast(common) if few else common, "node").select("node", "rep", "sketch", "common").mapInArrow(agree, "node long, rep long, same long")
-    best = agreed.groupBy("node").agg(F.max(F.struct("same", F.negative("rep").alias("r"))).alias("w")).select("node", F.negative("w.r").alias("rep"))
+
+def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
+    """Blocks of large nodes: members near to the node's pivot, with it, part by part."""
+    few = n_nodes <= BROADCAST_STARS
+    best = members.groupBy("node").agg(F.max(F.struct("same", F.negative("rep").alias("r"))).alias("w")).select("node", F.negative("w.r").alias("rep"))
     pivots = members.join(F.broadcast(best) if few else best, ["node", "rep"]).select(
         "node", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "sketch", "id", "body")), F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("weight") / PART_SHINGLES)).alias("parts")
     )
@@ -231,23 +248,49 @@ def _stars(members: DataFrame, n_nodes: int, percent: int) -> DataFrame:
     return met.select(block.alias("block"), "rep", "id", "body", "sketch", "p_rep", "p_id", "p_body", "p_sketch").mapInArrow(run, _BLOCK)
 
 
+def _pairs(c) -> Column:
+    """Pairs of members in different components, from the sizes ``c`` of a node's components."""
+    return (F.pow(F.sum(c), F.lit(2)) - F.sum(c * c)) / 2
+
+
+def _placed(members: DataFrame, homes: DataFrame) -> DataFrame:
+    """``members`` with their components, written."""
+    found = members.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return materialise(found.withColumn("component", F.coalesce("component", "rep")))
+
+
 def _children(members: DataFrame) -> DataFrame:
-    """The next level of nodes that branch: two nodes a member, on coordinates that the node's name chooses."""
+    """Two nodes a member of nodes that branch, on coordinates that the node's name chooses (one, if both are the same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                sketch = _sketches(batch.column(2)).astype(np.uint64)
-                parts = []
+                node = batch.column("node").to_numpy().view(np.uint64)
+                sketch = _sketches(batch.column("sketch")).astype(np.uint64)
+                names = []
                 for k in (1, 2):
                     at = mix(node + np.uint64(k)) % np.uint64(COORDINATES)
-                    value = sketch[np.arange(len(rep)), at.astype(np.int64)]
-                    parts.append(mix(node * _STEP + at * np.uint64(65536) + value).view(np.int64))
-                n = batch.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.tile(rep, 2)), pa.array(np.tile(n, 2))], names=["node", "rep", "n"])
+                    value = sketch[np.arange(len(node)), at.astype(np.int64)]
+                    names.append(mix(node * _STEP + at * np.uint64(65536) + value).view(np.int64))
+                second = np.flatnonzero(names[0] != names[1])
+                rows = batch.select(["rep", "component", "n"]).take(pa.array(np.concatenate([np.arange(len(node)), second])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[0], names[1][second]])), *rows.columns], names=["node", "rep", "component", "n"])
+
+    return members.select("node", "rep", "component", "n", "sketch").mapInArrow(run, "node long, rep long, component long, n long")
 
-    return members.select("node", "rep", "sketch", "n").mapInArrow(run, "node long, rep long, n long")
+
+def _descend(members: DataFrame, level: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """What large nodes hand to the next level once their stars are linked: nodes that they branch into, written, and the
+    members of those that have few enough pairs left. The others, whose members are all linked, are done."""
+    _, chosen = _weighed(members, None, level)
+    kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+
+    def of(kind: str, *columns: str) -> DataFrame:
+        named = chosen.where(F.col("kind") == kind).select("node", *columns)
+        return members.join(F.broadcast(named) if kinds[kind] <= BROADCAST_NODES else named, "node")
+
+    nodes = materialise(_children(of("large"))) if "large" in kinds else None
+    return nodes, of("small", "top", "out_parts", "in_parts") if "small" in kinds else None
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -328,22 +371,23 @@ def _confirm(blocks: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def _weighed(nodes: DataFrame, homes: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and what to do (``kind``) with the nodes that hold two components or more.
 
-    Nodes that are no cell's work get a star (``again``, ``branch``); small ones are compared. Of small nodes with the
-    same members one is kept.
+    Components are those of ``homes``, if given, else those that ``nodes`` has, else each member is one. Nodes that are
+    no cell's work get a star (``large``); small ones are compared. Of small nodes with the same members one is kept.
     """
     mark = F.bit_xor(F.xxhash64("rep"))
-    if homes is None:
+    if homes is not None:
+        nodes = _placed(nodes, homes)
+    if "component" not in nodes.columns:
         nodes = nodes.withColumn("component", F.col("rep"))
         size = F.count("*")
         stats = nodes.groupBy("node").agg(
             size.alias("size"), F.sum("n").alias("weight"), mark.alias("mark"), (size.cast("double") * (size - 1) / 2).alias("pairs"), F.lit(None).cast("long").alias("top"), F.lit(0).cast("long").alias("most")
         )
     else:
-        nodes = nodes.join(homes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = nodes.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), mark.alias("mark"))
         c = F.col("c").cast("double")
         stats = parts.groupBy("node").agg(
-            F.sum("c").alias("size"), F.sum("weight").alias("weight"), F.bit_xor("mark").alias("mark"), ((F.pow(F.sum(c), F.lit(2)) - F.sum(c * c)) / 2).alias("pairs"), F.max(F.struct("c", "component")).alias("w")
+            F.sum("c").alias("size"), F.sum("weight").alias("weight"), F.bit_xor("mark").alias("mark"), _pairs(c).alias("pairs"), F.max(F.struct("c", "component")).alias("w")
         )
         stats = stats.withColumn("top", F.col("w.component")).withColumn("most", F.col("w.c")).drop("w")
     fits = F.col("pairs") <= SMALL
@@ -353,7 +397,7 @@ def _weighed(nodes: DataFrame, homes: DataFrame | None, level: int) -> tuple[Dat
     outside = F.col("size") - F.col("most")
     parts = lambda n, part: F.greatest(F.ceil(n / part), F.ceil(F.col("weight") / PART_SHINGLES * n / F.col("size")), F.lit(1)).cast("int")
     part = F.when(fits, F.greatest(outside, F.lit(PART))).otherwise(F.lit(PART))
-    stats = stats.where("pairs > 0").withColumn("kind", F.when(one | (F.col("size") == 2) | F.lit(level == LEVELS) | (fits & F.lit(level > 0)), "small").when(fits, "again").otherwise("branch"))
+    stats = stats.where("pairs > 0").withColumn("kind", F.when(one | (F.col("size") == 2) | F.lit(level == LEVELS) | (fits & F.lit(level > 0)), "small").otherwise("large"))
     stats = stats.withColumn("top", F.when(~one, F.col("top"))).withColumn("out_parts", F.when(one, 1).otherwise(parts(outside, part)))
     stats = materialise(stats.withColumn("in_parts", F.when(F.col("top").isNotNull(), parts(F.col("most"), part)).otherwise(0)).drop("most", "pairs"))
     once = stats.where("kind = 'small'").groupBy("size", "mark").agg(F.min_by(F.struct(*(c for c in stats.columns if c not in ("size", "mark"))), "node").alias("s")).select("size", "mark", "s.*")
@@ -387,30 +431,34 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sketches = reps.select("rep", "id", "body", "sketch")
     nodes = reps.select("rep", "n", F.posexplode("first").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep", "n")
     homes = None if same_id is None else materialise(components(same_id))
-    parent = None
+    last = kept = None
     for level in range(LEVELS + 1):
-        placed, chosen = _weighed(nodes, homes, level)
-        kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        if not kinds:
+        kinds = {}
+        if nodes is not None:
+            nodes, chosen = _weighed(nodes, homes if level == 0 else None, level)
+            kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        if not kinds and kept is None:
             break
-        members = placed.select("node", "rep", "component", "n").join(F.broadcast(chosen) if sum(kinds.values()) <= BROADCAST_NODES else chosen, "node")
-        blocks, large = [], None
+        cells, blocks, large = [] if kept is None else [kept], [], None
         if "small" in kinds:
-            few = members.where("kind = 'small'").select("node", "rep", "component", "n", "top", "out_parts", "in_parts").join(sketches, "rep")
-            blocks.append(_offers(_cells(few), percent))
-        if stars := sum(n for kind, n in kinds.items() if kind != "small"):
-            large = materialise(members.where("kind <> 'small'").select("node", "rep", "component", "n", "kind", "size", "weight").join(sketches, "rep"))
-            blocks.append(_stars(large, stars, percent))
+            small = chosen.where("kind = 'small'").select("node", "top", "out_parts", "in_parts")
+            few = nodes.select("node", "rep", "component", "n").join(F.broadcast(small) if kinds["small"] <= BROADCAST_NODES else small, "node")
+            cells.append(few.join(sketches, "rep"))
+        if cells:
+            blocks.append(_offers(_cells(cells[0] if len(cells) == 1 else cells[0].unionByName(cells[1])), percent))
+        if "large" in kinds:
+            large = _large(nodes, chosen, kinds["large"], sketches)
+            blocks.append(_stars(large, kinds["large"], percent))
         offered = materialise((blocks[0] if len(blocks) == 1 else blocks[0].unionByName(blocks[1])).distinct())
         new = materialise(_confirm(offered, docs, width, percent))
         links = new if homes is None else new.unionByName(homes.select(F.col("id").alias("a"), F.col("component").alias("b")))
         old, homes = homes, materialise(components(links))
-        forget(offered, new, old, parent)
+        forget(offered, new, old, nodes, last)
         if large is None:
             break
-        parent, nodes = large, large.where("kind = 'again'").select("node", "rep", "n")
-        if "branch" in kinds:
-            nodes = nodes.unionByName(_children(large.where("kind = 'branch'")).distinct())
+        last = _placed(large.select("node", "rep", "n", "id", "body", "sketch"), homes)
+        forget(large)
+        nodes, kept = _descend(last, level + 1)
     named = reps.select("body", "rep", "id")
     if homes is not None:
         named = named.join(homes.withColumnRenamed("id", "rep"), "rep", "left").select("body", "id", F.coalesce("component", "rep").alias("component"))

@@ -1,6 +1,7 @@
 """Each operator against brute force, and over odd tables: nulls, empty and long texts, ties, repeated rows, extra columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -276,6 +277,49 @@ def test_cells_let_all_pairs_meet_with_few_copies(spark, inside, outside, words)
         assert max(sum(map(len, x)) for x in cells.values()) * words <= 2.5 * near_dedup.PART_SHINGLES
 
 
+def rows_made(spark, since, kind):
+    """Rows that joins whose description holds ``kind`` have made, in the queries from number ``since`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed, made = store.executionsList(), 0
+    for i in range(since, listed.size()):
+        at = listed.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and kind in re.sub(r"#\d+L?", "", node.desc()):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                        made += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return made
+
+
+def test_components_are_looked_up_once_a_level(spark, monkeypatch):
+    # one group of near copies, in each tree a node too large for its pairs until its star is linked
+    monkeypatch.setattr(near_dedup, "SMALL", 4_000)
+    monkeypatch.setattr(near_dedup, "PART", 64)
+    rng = random.Random(23)
+    rows = variants(rng, 1, 600, 200, 3)
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == components_by_brute_force(rows, 4)
+    # each text once for each tree at most, and once for its result
+    assert 0 < rows_made(spark, since, "[rep], [rep], LeftOuter") <= (near_dedup.TREES + 1) * len(rows)
+
+
+def test_only_nodes_with_too_many_pairs_branch(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4_000)
+    # of 500 members each: all linked (node 1), all but five (2), none (3)
+    rows = [(node, rep, 0 if node == 1 or node == 2 and rep > 5 else rep, 10, bytes(rep % 7 for _ in range(near_dedup.COORDINATES))) for node in (1, 2, 3) for rep in range(1, 501)]
+    members = spark.createDataFrame(rows, "node long, rep long, component long, n long, sketch binary")
+    nodes, kept = near_dedup._descend(members, 1)
+    assert {(r["node"], r["rep"]) for r in kept.collect()} == {(2, rep) for rep in range(1, 501)} and kept.count() == 500
+    children = {(r["node"], r["rep"], r["component"], r["n"]) for r in nodes.collect()}
+    assert nodes.count() == len(children) == 1_000 and {x[1:] for x in children} == {(rep, rep, 10) for rep in range(1, 501)}
+    home = {}
+    for node, rep, _, _ in children:
+        home.setdefault(node, set()).add(rep % 7)
+    assert len(home) == 14 and all(len(x) == 1 for x in home.values())
+
+
 def test_one_id_with_different_texts_links_through_all(spark):
     rng = random.Random(8)
     a, b = text(rng, 200), text(rng, 200)
